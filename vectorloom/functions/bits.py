@@ -39,30 +39,23 @@ def packed_len(d: int, bits: int) -> int:
     return d
 
 
-def byte_values(codes: Column, d: int, bits: int) -> list[Column]:
-    """Integer value of each packed byte (one expression per byte)."""
+def pack_hex(codes: Column, d: int, bits: int) -> Column:
+    """Upper-case hex string of the packed bytes (two characters per byte).
+
+    Each byte folds its codes most-significant first; a short last byte (1 bit,
+    D not a multiple of 8) is shifted left, i.e. zero-padded on the right.
+    """
     n = packed_len(d, bits)
     per = codes_per_byte(bits)
-    out = []
-    for b in range(n):
-        terms = []
-        for j in range(per):
-            i = b * per + j
-            if i >= d:
-                break
-            shift = 8 - bits * (j + 1) if bits in PACKED_WIDTHS else 0
-            c = codes[i].cast("int")
-            terms.append(F.shiftleft(c, shift) if shift else c)
-        v = terms[0]
-        for t in terms[1:]:
-            v = v.bitwiseOR(t)
-        out.append(v)
-    return out
+    base = 1 << bits
 
+    def byte(b):
+        part = F.slice(codes, b * per + 1, per)
+        v = F.aggregate(part, F.lit(0), lambda a, x: a * base + x.cast("int"))
+        pad = (F.lit(per) - F.size(part)) * bits
+        return F.lpad(F.hex(v * F.pow(F.lit(2), pad).cast("int")), 2, "0")
 
-def pack_hex(codes: Column, d: int, bits: int) -> Column:
-    """Upper-case hex string of the packed bytes (two characters per byte)."""
-    return F.concat(*[F.lpad(F.hex(v), 2, "0") for v in byte_values(codes, d, bits)])
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), byte), "")
 
 
 def pack(codes: Column, d: int, bits: int) -> Column:
@@ -70,15 +63,16 @@ def pack(codes: Column, d: int, bits: int) -> Column:
 
 
 def unpack(packed: Column, d: int, bits: int) -> Column:
-    """array<int> of the D codes held in ``packed`` (binary)."""
-    h = F.hex(packed)
+    """array<int> of the D codes held in ``packed`` (binary), truncated to D."""
     per = codes_per_byte(bits)
-    mask = (1 << bits) - 1
-    out = []
-    for i in range(d):
-        b, j = divmod(i, per)
-        byte = F.conv(F.substring(h, 2 * b + 1, 2), 16, 10).cast("int")
-        shift = 8 - bits * (j + 1) if bits in PACKED_WIDTHS else 0
-        v = F.shiftright(byte, shift) if shift else byte
-        out.append(v.bitwiseAND(F.lit(mask)) if bits in PACKED_WIDTHS else v)
-    return F.array(*out)
+    mask = 1 << bits if bits in PACKED_WIDTHS else 256
+
+    def body(h):
+        def code(i):
+            byte = F.conv(h.substr((F.floor(i / per) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+            shift = (F.lit(8) - (i % per + 1) * bits) if bits in PACKED_WIDTHS else F.lit(0)
+            return (F.floor(byte / F.pow(F.lit(2), shift)) % mask).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(d - 1)), code)
+
+    from .vectors import let
+    return let(F.hex(packed), body)

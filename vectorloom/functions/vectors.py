@@ -1,10 +1,11 @@
 """Column expressions over fixed-width vectors.
 
 Vectors are stored as ``array<double>`` (``array<float>`` on input is cast).
-The hot paths do not use higher-order functions: a vector of known width D is
-opened into D ordinary columns (``v[0] .. v[D-1]``) so every multiply/add is a
-plain expression inside whole-stage codegen. Sums are built as balanced trees
-so the expression depth is log2(D), not D.
+Row-level vector math uses higher-order functions (``transform``,
+``aggregate`` with a finish lambda, ``zip_with``): the expression stays the
+same small size for any width D, so generated code never approaches the JVM's
+method-size limits. Column-wise sums across rows use D plain ``sum``
+aggregates, which Spark runs as a partial aggregation before the shuffle.
 """
 
 from __future__ import annotations
@@ -65,41 +66,64 @@ def dim_names(prefix: str, d: int) -> list[str]:
     return [f"{prefix}{i}" for i in range(d)]
 
 
-def open_vector(df: DataFrame, c: str, d: int, prefix: str = "_v",
-                keep: Sequence[str] | None = None) -> DataFrame:
-    """Project ``c`` into D double columns ``{prefix}0..`` (other columns kept)."""
-    keep = [x for x in (keep if keep is not None else df.columns) if x != c]
-    v = as_double_array(c)
-    return df.select(*keep, *[v[i].alias(f"{prefix}{i}") for i in range(d)])
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element transform).
 
+    Keeps the optimizer from inlining an expensive expression into a lambda,
+    where it would be re-evaluated for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def close_vector(df: DataFrame, out: str, d: int, prefix: str = "_v") -> DataFrame:
-    names = dim_names(prefix, d)
-    rest = [x for x in df.columns if x not in set(names)]
-    return df.select(*rest, F.array(*[F.col(n) for n in names]).alias(out))
 
+def sq_norm_hof(c: str | Column) -> Column:
+    return F.aggregate(as_double_array(c), F.lit(0.0), lambda a, x: a + x * x)
 
-def l2_normalise_df(df: DataFrame, c: str, d: int, out: str | None = None,
+
+def l2_normalise_expr(c: str | Column, floor: float = NORM_FLOOR) -> Column:
+    """row / max(||row||, floor); the norm is folded once per row (finish lambda)."""
+    def body(v):
+        return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x,
+                           lambda a: F.transform(v, lambda x: x / F.greatest(F.sqrt(a), F.lit(floor))))
+    if isinstance(c, str):
+        return body(as_double_array(c))
+    return let(as_double_array(c), body)
+
+
+def l2_normalise_df(df: DataFrame, c: str, d: int | None = None, out: str | None = None,
                     floor: float = NORM_FLOOR) -> DataFrame:
-    """row / max(||row||, floor), computed per dimension in two projections."""
     out = out or c
-    rest = [x for x in df.columns if x != c]
-    v = as_double_array(c)
-    x = [v[i] for i in range(d)]
-    staged = df.select(*rest, *[x[i].alias(f"_n{i}") for i in range(d)])
-    xs = [F.col(f"_n{i}") for i in range(d)]
-    staged = staged.withColumn("_nrm", F.greatest(norm(xs), F.lit(floor)))
-    return staged.select(*rest, F.array(*[xs[i] / F.col("_nrm") for i in range(d)]).alias(out))
+    rest = [x for x in df.columns if x not in (c, out)]
+    return df.select(*rest, l2_normalise_expr(c, floor).alias(out))
 
 
-def row_norm_expr(c: str | Column, d: int, floor: float | None = NORM_FLOOR) -> Column:
-    n = norm([as_double_array(c)[i] for i in range(d)])
+def row_norm_expr(c: str | Column, d: int | None = None, floor: float | None = NORM_FLOOR) -> Column:
+    n = F.sqrt(sq_norm_hof(c))
     return F.greatest(n, F.lit(floor)) if floor is not None else n
 
 
-def dot_expr(a: str | Column, b: str | Column, d: int) -> Column:
-    va, vb = as_double_array(a), as_double_array(b)
-    return dot([va[i] for i in range(d)], [vb[i] for i in range(d)])
+def dot_expr(a: str | Column, b: str | Column, d: int | None = None) -> Column:
+    prod = F.zip_with(as_double_array(a), as_double_array(b), lambda x, y: x * y)
+    return F.aggregate(prod, F.lit(0.0), lambda s, v: s + v)
+
+
+def scale_expr(c: str | Column, factor: Column) -> Column:
+    return F.transform(as_double_array(c), lambda x: x * factor)
+
+
+def sq_dist_expr(a: str | Column, b: str | Column) -> Column:
+    diff = F.zip_with(as_double_array(a), as_double_array(b), lambda x, y: (x - y) * (x - y))
+    return F.aggregate(diff, F.lit(0.0), lambda s, v: s + v)
+
+
+def sum_vectors(df: DataFrame, key: str | list[str], c: str, d: int,
+                extra: list[Column] | None = None) -> DataFrame:
+    """Element-wise sum of a vector column per key: D plain ``sum`` aggregates
+    (partial aggregation before the shuffle), reassembled into an array."""
+    keys = [key] if isinstance(key, str) else list(key)
+    v = F.col(c)
+    agg = df.groupBy(*keys).agg(*(extra or []), *[F.sum(v[i]).alias(f"_s{i}") for i in range(d)])
+    others = [x for x in agg.columns if not x.startswith("_s") or not x[2:].isdigit()]
+    return agg.select(*others, F.array(*[F.col(f"_s{i}") for i in range(d)]).alias(c))
 
 
 def vector_width(df: DataFrame, c: str) -> int:

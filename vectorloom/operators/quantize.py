@@ -1,7 +1,8 @@
 """Scalar quantization of embedding tables: uniform and rotation + Max-Lloyd.
 
-All per-element work is written as one column expression per dimension, so the
-whole quantizer is a narrow, codegen'd projection: no shuffle, no Python.
+Quantizers are narrow projections (no shuffle): one ``aggregate`` fold per row
+finds the row scale and its finish lambda emits the codes. Rotations multiply
+by a broadcast D x D matrix in an Arrow kernel.
 """
 
 from __future__ import annotations
@@ -12,72 +13,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.levels import (hadamard_signs, lloyd_levels, midpoints, qr_rotation,
+from ..functions.levels import (hadamard_matrix, lloyd_levels, midpoints, qr_rotation,
                                 stored_codebook, uniform_qmax)
 from . import kernels
 from .tables import CODEBOOK, DENSE, PQ, UNIFORM, EmbeddingModel
 
 
 # --------------------------------------------------------------------------
-# expressions on opened vectors
+# row expressions
 # --------------------------------------------------------------------------
 
 def uniform_codes_df(df: DataFrame, d: int, bits: int, c: str = "embedding") -> DataFrame:
-    """(.., codes array<tinyint>, scale double): code = clamp(rint(x/scale*q_max))."""
-    q = uniform_qmax(bits)
+    """(.., codes array<tinyint>, scale double): code = clamp(rint(x/scale*q_max)),
+    scale = max(max|x|, 1e-8). One fold per row; the finish lambda emits both."""
+    q = float(uniform_qmax(bits))
     rest = [k for k in df.columns if k != c]
     v = V.as_double_array(c)
-    s = df.select(*rest, *[v[i].alias(f"_u{i}") for i in range(d)])
-    xs = [F.col(f"_u{i}") for i in range(d)]
-    s = s.withColumn("scale", F.greatest(V.tree_max([F.abs(x) for x in xs]), F.lit(V.NORM_FLOOR)))
-    codes = [F.least(F.greatest(F.rint(x / F.col("scale") * F.lit(float(q))), F.lit(float(-q - 1))),
-                     F.lit(float(q))).cast("tinyint") for x in xs]
-    return s.select(*rest, F.array(*codes).alias("codes"), "scale")
 
+    def finish(m):
+        sc = F.greatest(m, F.lit(V.NORM_FLOOR))
+        codes = F.transform(v, lambda x: F.least(F.greatest(F.rint(x / sc * F.lit(q)), F.lit(-q - 1.0)),
+                                                 F.lit(q)).cast("tinyint"))
+        return F.struct(codes.alias("codes"), sc.alias("scale"))
 
-def hadamard_df(df: DataFrame, d: int, c: str = "embedding", out: str | None = None,
-                seed: int | None = None) -> DataFrame:
-    """Random-sign fast Walsh-Hadamard rotation, log2(D) butterfly projections.
-
-    y = (H diag(s) x) / sqrt(D) with H[i, j] = (-1)^popcount(i & j).
-    """
-    out = out or c
-    signs = hadamard_signs(d) if seed is None else hadamard_signs(d, seed)
-    rest = [k for k in df.columns if k != c]
-    v = V.as_double_array(c)
-    cur = df.select(*rest, *[(v[i] * F.lit(float(signs[i]))).alias(f"_h{i}") for i in range(d)])
-    h = 1
-    while h < d:
-        ex = []
-        for i in range(d):
-            if (i // h) % 2 == 0:
-                ex.append((F.col(f"_h{i}") + F.col(f"_h{i + h}")).alias(f"_h{i}"))
-            else:
-                ex.append((F.col(f"_h{i - h}") - F.col(f"_h{i}")).alias(f"_h{i}"))
-        cur = cur.select(*rest, *ex)
-        h *= 2
-    r = 1.0 / math.sqrt(d)
-    return cur.select(*rest, F.array(*[F.col(f"_h{i}") * F.lit(r) for i in range(d)]).alias(out))
+    st = F.aggregate(v, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)), finish)
+    return df.select(*rest, st.alias("_q")).select(*rest, "_q.codes", "_q.scale")
 
 
 def codebook_codes_df(df: DataFrame, d: int, bits: int, c: str = "embedding") -> DataFrame:
     """(.., codes array<tinyint>, scale double): nearest Max-Lloyd level of
-    x * sqrt(D) / ||x|| (first level on ties), scale = ||x|| (floored 1e-8)."""
+    x * sqrt(D) / ||x|| (first level on ties, via the level midpoints),
+    scale = ||x|| (floored 1e-8)."""
     mids = midpoints(lloyd_levels(bits))
     rest = [k for k in df.columns if k != c]
     v = V.as_double_array(c)
-    s = df.select(*rest, *[v[i].alias(f"_c{i}") for i in range(d)])
-    xs = [F.col(f"_c{i}") for i in range(d)]
-    s = s.withColumn("scale", F.greatest(V.norm(xs), F.lit(V.NORM_FLOOR)))
     sq = float(math.sqrt(d))
-    s = s.select(*rest, "scale", *[(x / F.col("scale") * F.lit(sq)).alias(f"_z{i}")
-                                   for i, x in enumerate(xs)])
-    codes = []
-    for i in range(d):
-        z = F.col(f"_z{i}")
-        codes.append(V.tree_sum([F.when(z > F.lit(m), 1).otherwise(0) for m in mids])
-                     .cast("tinyint"))
-    return s.select(*rest, F.array(*codes).alias("codes"), "scale")
+
+    def finish(a):
+        sc = F.greatest(F.sqrt(a), F.lit(V.NORM_FLOOR))
+
+        def code(x):
+            z = x / sc * F.lit(sq)
+            return V.tree_sum([F.when(z > F.lit(m), 1).otherwise(0) for m in mids]).cast("tinyint")
+        return F.struct(F.transform(v, code).alias("codes"), sc.alias("scale"))
+
+    st = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x, finish)
+    return df.select(*rest, st.alias("_q")).select(*rest, "_q.codes", "_q.scale")
+
+
+def hadamard_df(df: DataFrame, d: int, c: str = "embedding", out: str | None = None,
+                seed: int | None = None) -> DataFrame:
+    """Random-sign Walsh-Hadamard rotation: rows @ (diag(s) H / sqrt(D)),
+    H[i, j] = (-1)^popcount(i & j); the D x D matrix is broadcast to a kernel."""
+    m = hadamard_matrix(d) if seed is None else hadamard_matrix(d, seed)
+    return kernels.matmul(df, m, vec_col=c, out=out)
 
 
 # --------------------------------------------------------------------------
@@ -142,9 +131,7 @@ def quantization_error(original: DataFrame, model: EmbeddingModel,
     (pass it as ``original`` with ``rotated=True``), since rotation is not undone.
     """
     d = model.dim
-    dec = model.weights.select("row_id", F.array(*model.decoded_dims()).alias("_y"))
+    dec = model.weights.select("row_id", model.decode_expr().alias("_y"))
     j = original.select("row_id", V.as_double_array("embedding").alias("_x")).join(dec, "row_id")
-    sq = V.tree_sum([(F.col("_x")[i] - F.col("_y")[i]) * (F.col("_x")[i] - F.col("_y")[i])
-                     for i in range(d)])
-    return j.agg((F.sum(sq) / (F.count(F.lit(1)) * F.lit(float(d)))).alias("mse"),
+    return j.agg((F.sum(V.sq_dist_expr("_x", "_y")) / (F.count(F.lit(1)) * F.lit(float(d)))).alias("mse"),
                  F.count(F.lit(1)).alias("rows"))

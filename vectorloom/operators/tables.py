@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.levels import uniform_qmax
 
-DENSE, UNIFORM, CODEBOOK, PQ = "dense", "uniform", "codebook", "pq"
+DENSE, UNIFORM, CODEBOOK, PQ, PACKED = "dense", "uniform", "codebook", "pq", "packed"
 
 
 @dataclass
@@ -68,38 +68,37 @@ class EmbeddingModel:
         return replace(self, provenance=list(self.provenance) + [tag], **kw)
 
     # -- decoding -----------------------------------------------------------
-    def decoded_dims(self) -> list[Column]:
-        """Per-dimension decode expressions over the columns of ``weights``.
+    def decode_expr(self) -> Column:
+        """array<double> decode expression over the columns of ``weights``.
 
         Gather-then-decode: callers join the (compact) weights first and apply
-        these expressions after the join, so only used rows are decoded.
+        this after the join, so only the rows used are decoded.
         """
-        d = self.dim
         if self.kind == DENSE:
-            e = F.col("embedding")
-            return [e[i].cast("double") for i in range(d)]
+            return V.as_double_array("embedding")
         if self.kind == UNIFORM:
             q = float(uniform_qmax(self.bits))
-            codes, scale = F.col("codes"), F.col("scale")
-            return [scale * (codes[i].cast("double") / F.lit(q)) for i in range(d)]
-        if self.kind == CODEBOOK:
-            cb = F.array(*[F.lit(float(v)) for v in self.codebook])
-            codes, scale = F.col("codes"), F.col("scale")
-            return [scale * F.element_at(cb, codes[i].cast("int") + 1) for i in range(d)]
+            return F.transform("codes", lambda c: F.col("scale") * (c.cast("double") / F.lit(q)))
+        if self.kind in (CODEBOOK, PACKED):
+            cb = F.lit([float(v) for v in self.codebook])
+            codes = F.col("codes")
+            if self.kind == PACKED:
+                from ..functions.bits import unpack
+                codes = unpack(F.col("packed"), self.dim, self.bits)
+            return F.transform(codes, lambda c: F.col("scale") * F.element_at(cb, c.cast("int") + 1))
         if self.kind == PQ:
             m, k, dsub = self.pq_codebooks.shape
-            codes = F.col("codes")
-            out = []
-            for j in range(m):
-                for o in range(dsub):
-                    lvl = F.array(*[F.lit(float(x)) for x in self.pq_codebooks[j, :, o]])
-                    out.append(F.element_at(lvl, codes[j].cast("int") + 1))
-            return out
+            books = F.lit([[[float(x) for x in row] for row in self.pq_codebooks[j]] for j in range(m)])
+            return F.flatten(F.transform(
+                F.sequence(F.lit(0), F.lit(m - 1)),
+                lambda j: F.element_at(F.element_at(books, j + 1),
+                                       F.element_at(F.col("codes"), j + 1).cast("int") + 1)))
         raise ValueError(f"unknown weight kind {self.kind!r}")
 
     def weight_columns(self) -> list[str]:
         return {DENSE: ["embedding"], UNIFORM: ["codes", "scale"],
-                CODEBOOK: ["codes", "scale"], PQ: ["codes"]}[self.kind]
+                CODEBOOK: ["codes", "scale"], PQ: ["codes"],
+                PACKED: ["packed", "scale"]}[self.kind]
 
     def row_bytes(self) -> int:
         """Estimated in-memory bytes of one weights row (for broadcast checks)."""
@@ -107,6 +106,8 @@ class EmbeddingModel:
             return 48 + 8 * self.dim
         if self.kind == PQ:
             return 48 + 2 * self.pq_codebooks.shape[0]
+        if self.kind == PACKED:
+            return 56 + self.dim * self.bits // 8 + 1
         return 56 + self.dim
 
 
@@ -115,7 +116,7 @@ def model_size_bytes(kind: str, n: int, d: int, bits: int | None,
     """dense N*D*4; quantized ceil(N*D*bits/8) + 4N; PQ N*M + 4*M*K*D/M."""
     if kind == DENSE:
         return n * d * 4
-    if kind in (UNIFORM, CODEBOOK):
+    if kind in (UNIFORM, CODEBOOK, PACKED):
         return (n * d * bits + 7) // 8 + 4 * n
     if kind == PQ:
         m, k, dsub = pq_codebooks.shape
@@ -128,7 +129,7 @@ def decode(model: EmbeddingModel, rows: DataFrame | None = None) -> DataFrame:
     w = model.weights
     if rows is not None:
         w = w.join(rows.select("row_id").distinct(), "row_id")
-    return w.select("row_id", F.array(*model.decoded_dims()).alias("embedding"))
+    return w.select("row_id", model.decode_expr().alias("embedding"))
 
 
 def dense_model(weights: DataFrame, dim: int, num_rows: int,
@@ -165,10 +166,8 @@ def fold_token_weights(df: DataFrame, weights: DataFrame, d: int,
                        c: str = "embedding") -> DataFrame:
     """Scale each row by its importance weight (rows without a weight kept as is)."""
     w = df.join(weights.select("row_id", F.col("weight").cast("double")), "row_id", "left")
-    x = V.as_double_array(c)
-    scaled = [x[i] * F.coalesce(F.col("weight"), F.lit(1.0)) for i in range(d)]
     rest = [k for k in df.columns if k != c]
-    return w.select(*rest, F.array(*scaled).alias(c))
+    return w.select(*rest, V.scale_expr(c, F.coalesce(F.col("weight"), F.lit(1.0))).alias(c))
 
 
 def remap_token_ids(tokens: DataFrame, id_map: DataFrame | None) -> DataFrame:
@@ -192,7 +191,7 @@ def gather_rows(ids: DataFrame, model: EmbeddingModel) -> DataFrame:
     """weights[idx]: join on row_id first, decode only the matched rows."""
     j = ids.join(model.weights, "row_id")
     rest = [c for c in ids.columns]
-    return j.select(*rest, F.array(*model.decoded_dims()).alias("embedding"))
+    return j.select(*rest, model.decode_expr().alias("embedding"))
 
 
 def model_size_df(spark, models: list[EmbeddingModel]) -> DataFrame:

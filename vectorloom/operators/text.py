@@ -84,26 +84,21 @@ def lexicon(model: EmbeddingModel, vocab: DataFrame) -> DataFrame:
     return toks.join(model.weights, "row_id").select("word", *model.weight_columns())
 
 
-def mean_pool_df(joined: DataFrame, model: EmbeddingModel, key: str = "text_id",
-                 present: str = "_hit") -> DataFrame:
-    """Sum decoded rows per ``key``; mean over matched tokens; L2 normalise.
-
-    Rows whose ``present`` flag is false carry no token (texts without any
-    known word) and give a zero vector.
-    """
-    d = model.dim
-    dec = model.decoded_dims()
-    cols = [F.when(F.col(present), x) for x in dec]
-    staged = joined.select(key, F.col(present), *[c.alias(f"_e{i}") for i, c in enumerate(cols)])
-    agg = staged.groupBy(key).agg(
-        F.count(F.when(F.col(present), 1)).alias("_n"),
-        *[F.sum(f"_e{i}").alias(f"_s{i}") for i in range(d)])
+# Decode the lexicon before broadcasting it when the decoded table is this small;
+# beyond it the compact (quantized / packed) rows are broadcast and each token
+# is decoded after the join.
+DECODED_LEXICON_BYTES = 64 * 1024 * 1024
+
+
+def mean_pool_df(joined: DataFrame, d: int, key: str = "text_id",
+                 vec: str = "embedding") -> DataFrame:
+    """Sum the token vectors per ``key``, divide by the number of tokens that
+    have a vector (at least 1), L2-normalise. Null vectors (placeholder rows of
+    texts without known words) count as absent, giving a zero vector."""
+    summed = V.sum_vectors(joined, key, vec, d, extra=[F.count(vec).alias("_n")])
     n = F.greatest(F.col("_n"), F.lit(1)).cast("double")
-    mean = agg.select(key, *[F.coalesce(F.col(f"_s{i}") / n, F.lit(0.0)).alias(f"_m{i}")
-                             for i in range(d)])
-    ms = [F.col(f"_m{i}") for i in range(d)]
-    mean = mean.withColumn("_nrm", F.greatest(V.norm(ms), F.lit(V.NORM_FLOOR)))
-    return mean.select(key, F.array(*[m / F.col("_nrm") for m in ms]).alias("embedding"))
+    mean = F.transform(vec, lambda x: F.coalesce(x / n, F.lit(0.0)))
+    return summed.select(key, V.l2_normalise_expr(mean).alias("embedding"))
 
 
 def encode(texts: DataFrame, model: EmbeddingModel, vocab: DataFrame,
@@ -111,14 +106,23 @@ def encode(texts: DataFrame, model: EmbeddingModel, vocab: DataFrame,
            lex: DataFrame | None = None) -> DataFrame:
     """(text_id, embedding) for every input text (no known word -> zero vector)."""
     lx = lex if lex is not None else lexicon(model, vocab)
-    lx, _ = broadcast_if_bounded(lx, model.row_bytes() + 48)
+    decoded_row = 64 + 8 * model.dim
+    dec_lx, small = broadcast_if_bounded(
+        lx.select("word", model.decode_expr().alias("embedding")), decoded_row,
+        DECODED_LEXICON_BYTES)
+    if small:
+        lx_b, decode_after = dec_lx, False
+    else:
+        lx_b, _ = broadcast_if_bounded(lx, model.row_bytes() + 48)
+        decode_after = True
     words = texts.select(F.col(id_col).alias("text_id"),
                          F.posexplode_outer(words_expr(text_col)).alias("pos", "word"))
-    joined = words.join(lx, "word", "left")
-    hit = F.col(model.weight_columns()[0]).isNotNull()
-    joined = joined.where(hit | F.col("pos").isNull() | (F.col("pos") == 0)) \
-                   .withColumn("_hit", hit)
-    return mean_pool_df(joined, model)
+    joined = words.join(lx_b, "word", "left")
+    hit = F.col(lx_b.columns[1]).isNotNull()
+    joined = joined.where(hit | F.col("pos").isNull() | (F.col("pos") == 0))
+    if decode_after:
+        joined = joined.select("text_id", F.when(hit, model.decode_expr()).alias("embedding"))
+    return mean_pool_df(joined.select("text_id", "embedding"), model.dim)
 
 
 def encode_ids(tokens: DataFrame, model: EmbeddingModel) -> DataFrame:
@@ -129,5 +133,5 @@ def encode_ids(tokens: DataFrame, model: EmbeddingModel) -> DataFrame:
     else:
         t = t.join(F.broadcast(model.token_to_row), "token_id")
     w, _ = broadcast_if_bounded(model.weights, model.row_bytes())
-    j = t.join(w, "row_id").withColumn("_hit", F.lit(True))
-    return mean_pool_df(j, model)
+    j = t.join(w, "row_id").select("text_id", model.decode_expr().alias("embedding"))
+    return mean_pool_df(j, model.dim)

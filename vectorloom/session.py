@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.codegen.maxFields", "2000")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -73,3 +74,22 @@ def local_dir(path: str) -> str:
     p = path[len("file:"):] if path.startswith("file:") else path
     os.makedirs(p, exist_ok=True)
     return p
+
+
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def materialize(df_builder, key: tuple, spark: SparkSession, name: str = "table") -> DataFrame:
+    """Build a derived table once per process and key, write it to the shared
+    checkpoint folder, and read it back (later calls reuse the written table).
+
+    For artifacts that several plans read (a vocabulary, derived judgments):
+    they are computed by one job instead of being recomputed inside each plan.
+    """
+    full_key = (ensure_checkpoint_dir(spark),) + tuple(key)
+    path = _MATERIALIZED.get(full_key)
+    if path is None:
+        path = scratch_path(spark, name)
+        df_builder().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[full_key] = path
+    return spark.read.parquet(path)

@@ -98,10 +98,14 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key:
 
 
 def qrels_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = containment_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
-                              "doc_id", "item_id")
-    return pairs.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("docid"),
-                        F.lit(1).alias("rel"))
+    from ..session import materialize
+
+    def build():
+        pairs = containment_pairs(table(spark, sf_dir, "documents"),
+                                  table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+        return pairs.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("docid"),
+                            F.lit(1).alias("rel"))
+    return materialize(build, ("qrels_a", sf_dir), spark, "qrels_a")
 
 
 def judgments_a(spark: SparkSession, sf_dir: str) -> Judgments:
