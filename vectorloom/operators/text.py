@@ -101,10 +101,22 @@ def mean_pool_df(joined: DataFrame, d: int, key: str = "text_id",
     return summed.select(key, V.l2_normalise_expr(mean).alias("embedding"))
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Round-robin the texts over the cluster when the input has fewer partitions
+    than the cluster has cores (small inputs, or a file with a single row group,
+    which one task would otherwise tokenize alone). Large inputs already have
+    many partitions and are left as they are, so no extra shuffle."""
+    par = texts.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < par:
+        return texts.repartition(2 * par)
+    return texts
+
+
 def encode(texts: DataFrame, model: EmbeddingModel, vocab: DataFrame,
            id_col: str = "text_id", text_col: str = "text",
            lex: DataFrame | None = None) -> DataFrame:
     """(text_id, embedding) for every input text (no known word -> zero vector)."""
+    texts = spread(texts)
     lx = lex if lex is not None else lexicon(model, vocab)
     decoded_row = 64 + 8 * model.dim
     dec_lx, small = broadcast_if_bounded(
