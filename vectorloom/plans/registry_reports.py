@@ -190,15 +190,16 @@ def _pair_scores(spark, sf) -> DataFrame:
         F.lit("pairs").alias("task"))
 
 
-PAIRS_SQL = ("SELECT a.vec_id // 2 AS pair_id, round(c.cos, 9) AS score, (a.label = b.label)::INTEGER AS gold, "
-             "CASE WHEN (a.vec_id // 2) % 2 = 0 THEN 'test' ELSE 'validation' END AS split, 'pairs' AS task "
-             "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN ({cos}) c ON c.pair_id = a.vec_id // 2 "
-             "WHERE a.vec_id % 2 = 0")
-
-
 def _pairs_sql():
-    from .registry import _sql_simpair
-    return PAIRS_SQL.format(cos=_sql_simpair())
+    s = O.Sql()
+    n = s.normalised(s.dense(), "dn")
+    s.add("pc", f"SELECT a.text_id // 2 AS pair_id, sum(a.v * b.v) AS cos FROM {n} a JOIN {n} b "
+                f"ON b.text_id = a.text_id + 1 AND a.dim = b.dim WHERE a.text_id % 2 = 0 GROUP BY a.text_id")
+    return s.build(
+        "SELECT a.vec_id // 2 AS pair_id, round(c.cos, 9) AS score, (a.label = b.label)::INTEGER AS gold, "
+        "CASE WHEN (a.vec_id // 2) % 2 = 0 THEN 'test' ELSE 'validation' END AS split, 'pairs' AS task "
+        "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN pc c ON c.pair_id = a.vec_id // 2 "
+        "WHERE a.vec_id % 2 = 0")
 
 
 def _spearman_sql(part):
