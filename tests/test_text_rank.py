@@ -93,3 +93,18 @@ def test_metrics_match_definitions(spark):
         if nrel:
             assert abs(got[q]["recall_3"] - sum(1 for r in rels[:3] if r > 0) / nrel) < 1e-12
     assert 6 not in got        # unjudged query is not scored
+
+
+def test_topk_split_query_blocks(spark, monkeypatch):
+    """A query side larger than one broadcast block is split; results unchanged."""
+    rng = np.random.default_rng(11)
+    docs = rng.standard_normal((120, 4))
+    qs = rng.standard_normal((30, 4))
+    ddf = spark.createDataFrame([(i, [float(v) for v in docs[i]]) for i in range(120)],
+                                "docid bigint, embedding array<double>")
+    qdf = spark.createDataFrame([(i, [float(v) for v in qs[i]]) for i in range(30)],
+                                "qid bigint, embedding array<double>")
+    one = {tuple(r) for r in R.topk(qdf, ddf, 5, 4).collect()}
+    monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 8 * (8 * 4 + 64))   # 8 queries per block
+    split = {tuple(r) for r in R.topk(qdf, ddf, 5, 4).collect()}
+    assert one == split and len(one) == 150

@@ -16,35 +16,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.joins import bounded_rows
 from . import kernels
 
 # bytes of one broadcast query block (queries x D x 8)
 QUERY_BLOCK_BYTES = 128 * 1024 * 1024
 
 
-def _blocks(queries: DataFrame, d: int, key: str) -> list[DataFrame]:
+def _query_blocks(queries: DataFrame, d: int, key: str, vec: str):
+    """Yield (qids, matrix) blocks of at most QUERY_BLOCK_BYTES each.
+
+    One bounded collect (limit max + 1) serves the common case. A larger query
+    side is written once to the shared folder and split by a hash of the key,
+    each block collected and broadcast on its own (one scoring pass per block).
+    """
     max_rows = max(1, QUERY_BLOCK_BYTES // (8 * d + 64))
-    n = bounded_rows(queries, max_rows)
-    if n is not None:
-        return [queries]
-    total = queries.count()
-    nb = math.ceil(total / max_rows) * 2
-    h = F.pmod(F.xxhash64(F.col(key)), F.lit(nb))
-    return [queries.where(h == b) for b in range(nb)]
+    sel = queries.select(F.col(key).cast("bigint").alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    t = sel.limit(max_rows + 1).toArrow()
+    if t.num_rows <= max_rows:
+        if t.num_rows:
+            yield t.column("k").to_numpy(), kernels._matrix(t.column("v"), d)
+        return
+    from ..session import cut_lineage
+    stored = cut_lineage(sel, "query-blocks")
+    yield from _split_blocks(stored, d, max_rows, 2 * math.ceil(stored.count() / max_rows), 0)
+
+
+def _split_blocks(part: DataFrame, d: int, max_rows: int, nb: int, seed: int):
+    h = F.pmod(F.xxhash64(F.col("k"), F.lit(seed)), F.lit(nb))
+    for b in range(nb):
+        blk = part.where(h == b)
+        t = blk.limit(max_rows + 1).toArrow()
+        if t.num_rows > max_rows:          # an unlucky block: split it again
+            yield from _split_blocks(blk, d, max_rows, 2, seed + 1)
+        elif t.num_rows:
+            yield t.column("k").to_numpy(), kernels._matrix(t.column("v"), d)
 
 
 def score_topk(queries: DataFrame, rows: DataFrame, k: int | None, d: int,
                qkey: str = "qid", rkey: str = "docid", vec: str = "embedding") -> DataFrame:
     """(qid, docid, score) before the final merge (local top-K per partition)."""
     outs = []
-    for blk in _blocks(queries, d, qkey):
-        qids, qm = kernels.collect_block(blk, qkey, vec, d, max(1, QUERY_BLOCK_BYTES // (8 * d + 64)))
-        if len(qids) == 0:
-            continue
-        outs.append(kernels.score_block(rows.select(F.col(rkey).alias("docid"),
-                                                    F.col(vec).alias("embedding")),
-                                        qids, qm, k, d))
+    src = rows.select(F.col(rkey).alias("docid"), F.col(vec).alias("embedding"))
+    for qids, qm in _query_blocks(queries, d, qkey, vec):
+        outs.append(kernels.score_block(src, qids, qm, k, d))
     if not outs:
         spark = rows.sparkSession
         return spark.createDataFrame([], "qid bigint, docid bigint, score double")

@@ -60,6 +60,14 @@ def recipe(spark: SparkSession, sf: str, name: str, m: TB.EmbeddingModel | None
     raise ValueError(name)
 
 
+def model_artifact(spark: SparkSession, sf: str, name: str) -> TB.EmbeddingModel:
+    """A compressed model as its consumers see it: built once, written to the
+    shared checkpoint folder, read back (encode / rank / evaluate read it)."""
+    from ..session import materialize
+    m = recipe(spark, sf, name)
+    return m.derive(weights=materialize(lambda: m.weights, ("model", sf, name), spark, "model"))
+
+
 def vocab(spark: SparkSession, sf: str, m: TB.EmbeddingModel) -> DataFrame:
     """The vocabulary of ``documents`` sized to the model (written once, reused)."""
     from ..session import materialize
@@ -468,7 +476,7 @@ def _sql_encode(recipe_name, texts_sql):
 
 def _encode_query(recipe_name, which):
     def q(spark, sf):
-        m = recipe(spark, sf, recipe_name)
+        m = model_artifact(spark, sf, recipe_name)
         v = vocab(spark, sf, m)
         texts = T.texts(spark, sf) if which == "docs" else \
             T.topics_a(spark, sf).withColumnRenamed("qid", "text_id")
@@ -492,7 +500,7 @@ def q_encode_packed(spark, sf):
 # --------------------------------------------------------------------------
 
 def _model_and_vocab(spark, sf, r="turbo-lloyd-1"):
-    m = recipe(spark, sf, r)
+    m = model_artifact(spark, sf, r)
     return m, vocab(spark, sf, m)
 
 

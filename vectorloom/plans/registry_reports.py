@@ -19,7 +19,8 @@ from ..session import materialize, scratch_path
 from ..sources import testdata as T
 from . import evaluation as E
 from . import oracle as O
-from .registry import SIZE_RECIPES, _size_sql_expr, _size_spark, base, recipe, register, vocab
+from .registry import (SIZE_RECIPES, _size_sql_expr, _size_spark, base, model_artifact, recipe,
+                       register, vocab)
 
 # Fixed configuration: the recipes of the grid, the languages asked for, the base model.
 GRID = ("baseline", "int8", "int4", "turbo-lloyd-1", "turbo-lloyd-2")
@@ -44,7 +45,7 @@ def grid(spark, sf) -> DataFrame:
         v = vocab(spark, sf, m0)
         parts = []
         for r in GRID:
-            m = recipe(spark, sf, r, m0)
+            m = model_artifact(spark, sf, r)
             e = E.eval_pooled(m, v, T.topics_b(spark, sf), T.passages_b(spark, sf),
                               T.judgments_b(spark, sf), group_cols=("lang",))
             parts.append(e.select(F.lit(model_name(r)).alias("model"), *e.columns))
@@ -166,7 +167,7 @@ def _requested(spark) -> DataFrame:
 
 def _totals(spark, sf):
     m0 = base(spark, sf)
-    m = recipe(spark, sf, "turbo-lloyd-1", m0)
+    m = model_artifact(spark, sf, "turbo-lloyd-1")
     e = E.eval_full(m, vocab(spark, sf, m0), T.topics_b(spark, sf), T.passages_b(spark, sf),
                     T.judgments_b(spark, sf), group_cols=("lang",))
     return e.withColumn("model", F.lit(model_name("turbo-lloyd-1")))
