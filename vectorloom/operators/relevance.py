@@ -92,12 +92,32 @@ def per_query_metrics(labelled: DataFrame, ks_ndcg=(10,), ks_recall=(10,)) -> Da
     return lab.groupBy("qid").agg(*aggs)
 
 
+def qrels_ideal(j: Judgments, ks=(10,)) -> DataFrame:
+    """(qid, _idcg{k}): the textbook ideal DCG from all judgments of the query
+    (explicit qrels), the best k labels in descending order."""
+    w = Window.partitionBy("qid").orderBy(F.desc("rel"), F.asc("docid"))
+    r = j.qrels.where(F.col("rel") > 0).withColumn("_r", F.row_number().over(w))
+    return r.groupBy("qid").agg(*[F.sum(F.when(F.col("_r") <= k, F.col("rel") / F.log2(F.col("_r") + 1)))
+                                  .alias(f"_idcg{k}") for k in ks])
+
+
 def query_scores(queries: DataFrame, ranked: DataFrame, j: Judgments,
-                 ks_ndcg=(10,), ks_recall=(10,), group_cols=()) -> DataFrame:
-    """One row per judged query: ndcg_{k}, recall_{k}, num_relevant, skipped flag."""
+                 ks_ndcg=(10,), ks_recall=(10,), group_cols=(), ideal: str = "retrieved") -> DataFrame:
+    """One row per judged query: ndcg_{k}, recall_{k}, num_relevant, skipped flag.
+
+    ``ideal='retrieved'`` (default) takes the ideal DCG from the retrieved list
+    re-sorted by label, so missing relevant documents do not lower nDCG;
+    ``ideal='qrels'`` is the textbook form over all judged documents.
+    """
     jq = judged_queries(queries.select("qid", *group_cols), j)
     nr = num_relevant(j)
     pq = per_query_metrics(ranked_rels(ranked, j), ks_ndcg, ks_recall)
+    if ideal == "qrels":
+        if not j.explicit:
+            raise ValueError("ideal='qrels' needs explicit qrels")
+        pq = pq.drop(*[f"_idcg{k}" for k in ks_ndcg]).join(qrels_ideal(j, ks_ndcg), "qid", "left")
+    elif ideal != "retrieved":
+        raise ValueError(f"unknown ideal {ideal!r}")
     base = jq.join(nr, "qid", "left").join(pq, "qid", "left") \
              .withColumn("num_relevant", F.coalesce(F.col("num_relevant"), F.lit(0)))
     out = [F.col("qid"), *[F.col(c) for c in group_cols], F.col("num_relevant"),

@@ -774,3 +774,25 @@ def _sql_eval_vectors():
 def q_eval_vectors(spark, sf):
     m, q, r = _vec_sets(spark, sf)
     return E.eval_vectors(q, r, T.judgments_vectors(spark, sf), m.dim)
+
+
+def _sql_ndcg_qrels_ideal():
+    s = O.Sql()
+    r = _full_a_sql(s)
+    s.add("lab", f"SELECT r.qid, r.rank, coalesce(l.rel, 0) AS rel FROM {r} r "
+                 f"LEFT JOIN ({O.QRELS_A}) l ON l.qid = r.qid AND l.docid = r.docid")
+    s.add("dcg", "SELECT qid, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) END) AS dcg FROM lab GROUP BY qid")
+    s.add("idl", f"SELECT qid, sum(CASE WHEN rn <= 10 THEN rel / log2(rn + 1) END) AS idcg FROM ("
+                 f"SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docid) AS rn "
+                 f"FROM ({O.QRELS_A}) WHERE rel > 0) GROUP BY qid")
+    return s.build("SELECT j.qid, round(CASE WHEN coalesce(i.idcg, 0) > 0 THEN coalesce(d.dcg, 0) / i.idcg "
+                   "ELSE 0.0 END, 6) AS ndcg_10 FROM (SELECT DISTINCT qid FROM (" + O.QRELS_A + ")) j "
+                   "LEFT JOIN dcg d USING (qid) LEFT JOIN idl i USING (qid)")
+
+
+@register("ndcg_at_k_qrels_ideal", _sql_ndcg_qrels_ideal)
+def q_ndcg_at_k_qrels_ideal(spark, sf):
+    """nDCG@10 with the textbook ideal (all relevant documents of the query)."""
+    r, j = _full_a_spark(spark, sf)
+    sc = M.query_scores(T.topics_a(spark, sf), r, j, (10,), (100,), ideal="qrels")
+    return sc.select(F.col("qid").cast("bigint"), F.round("ndcg_10", 6).alias("ndcg_10"))

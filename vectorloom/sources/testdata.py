@@ -56,43 +56,53 @@ def topics_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+def _shingles(words, size: int, start: int, stop_before: int, sep: str):
+    """Distinct hashes of the ``size``-run windows starting at 1-based positions
+    start .. n - size + 1 - stop_before (empty when the text is too short)."""
+    last = F.size(words) - size + 1 - stop_before
+    return F.when(last >= start, F.array_distinct(F.transform(
+        F.sequence(F.lit(start), last),
+        lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), sep))))) \
+        .otherwise(F.array().cast("array<bigint>"))
+
+
 def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str,
                       text: str = "text", span: int = 4) -> DataFrame:
     """(doc_key, item_key) where the document text contains the item text.
 
-    Candidates come from an equi-join on hashed word-run anchors, then each
-    candidate is verified with ``instr``. An item's anchor is its runs 2..span+1:
-    interior runs are delimited by the item's own characters, so every
-    occurrence of the item reproduces them as whole runs of the document. Items
-    with fewer than span + 2 runs use all their runs (such occurrences must
-    start and end on run boundaries). No pair is formed without a shared anchor.
+    Candidates come from an equi-join on hashed word-run shingles, and each
+    candidate is then verified with ``instr``. An item's *interior* shingles
+    (``span`` runs, never its first or last run) are delimited by the item's own
+    characters, so every occurrence of the item reproduces each of them as whole
+    runs of the document. Each item is anchored on its rarest interior shingle
+    (lowest document frequency), so a phrase repeated across the corpus never
+    becomes a hot join key. Items with fewer than span + 2 runs use all their
+    runs as the one anchor (such occurrences start and end on run boundaries).
     """
     sep = "\u0001"
-    it = items.select(F.col(item_key).alias("_item"), F.col(text).alias("_itext"),
-                      F.regexp_extract_all(F.col(text), F.lit(RUN_PATTERN), 0).alias("_w"))
+    runs = lambda c: F.regexp_extract_all(F.col(c), F.lit(RUN_PATTERN), 0)
+    it = items.select(F.col(item_key).alias("_item"), F.col(text).alias("_itext"), runs(text).alias("_w"))
     n = F.size("_w")
-    it = it.withColumn("_alen", F.when(n >= span + 2, F.lit(span)).otherwise(n)) \
-           .withColumn("_astart", F.when(n >= span + 2, F.lit(2)).otherwise(F.lit(1))) \
-           .where(F.col("_alen") > 0)
-    it = it.withColumn("_a", F.xxhash64(F.array_join(F.slice("_w", F.col("_astart"), F.col("_alen")), sep)))
-    sizes = sorted(r[0] for r in it.select("_alen").distinct().collect())
-    dw = docs.select(F.col(doc_key).alias("_doc"),
-                     F.regexp_extract_all(F.col(text), F.lit(RUN_PATTERN), 0).alias("_w"))
-    parts = []
+    long_it = it.where(n >= span + 2).select("_item", F.lit(span).alias("_alen"), F.explode(
+        _shingles(F.col("_w"), span, 2, 1, sep)).alias("_a"))
+    short_it = it.where((n > 0) & (n < span + 2)).select(
+        "_item", n.alias("_alen"), F.xxhash64(F.array_join("_w", sep)).alias("_a"))
+    item_sh = long_it.unionByName(short_it)
+    sizes = sorted(r[0] for r in item_sh.select("_alen").distinct().collect())   # <= span + 2 values
+    dw = docs.select(F.col(doc_key).alias("_doc"), runs(text).alias("_w"))
+    doc_sh = None
     for L in sizes:
-        hashes = F.when(F.size("_w") >= L, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.size("_w") - L + 1),
-            lambda i: F.xxhash64(F.array_join(F.slice("_w", i, L), sep))))) \
-            .otherwise(F.array().cast("array<bigint>"))
-        parts.append(dw.select("_doc", F.lit(L).alias("_alen"), F.explode(hashes).alias("_a")))
-    anchors = parts[0]
-    for p in parts[1:]:
-        anchors = anchors.unionByName(p)
-    cand = anchors.join(it.select("_item", "_alen", "_a"), ["_alen", "_a"]) \
-                  .select("_doc", "_item").distinct()
+        part = dw.select("_doc", F.lit(L).alias("_alen"), F.explode(_shingles(F.col("_w"), L, 1, 0, sep)).alias("_a"))
+        doc_sh = part if doc_sh is None else doc_sh.unionByName(part)
+    # document shingles that some item has; their document frequency
+    hits = doc_sh.join(item_sh.select("_alen", "_a").distinct(), ["_alen", "_a"], "left_semi")
+    dfreq = hits.groupBy("_alen", "_a").agg(F.count(F.lit(1)).alias("_df"))
+    best = item_sh.join(dfreq, ["_alen", "_a"]).groupBy("_item").agg(
+        F.min_by(F.struct("_alen", "_a"), F.struct("_df", "_a")).alias("_b")) \
+        .select("_item", "_b._alen", "_b._a")
+    cand = hits.join(best, ["_alen", "_a"]).select("_doc", "_item").distinct()
     dtext = docs.select(F.col(doc_key).alias("_doc"), F.col(text).alias("_dtext"))
-    itext = it.select("_item", "_itext")
-    ver = cand.join(dtext, "_doc").join(itext, "_item") \
+    ver = cand.join(dtext, "_doc").join(it.select("_item", "_itext"), "_item") \
               .where(F.instr(F.col("_dtext"), F.col("_itext")) > 0)
     return ver.select(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key))
 
