@@ -1,8 +1,9 @@
 """Task scores on embeddings: Spearman (STS), pair average precision,
 classification accuracy, and the per-task main score / average.
 
-Ranking statistics need an order over a task's rows; windows are partitioned
-by ``task`` so each task (a benchmark set) is ranked on its own.
+Ranking statistics need an order over a task's rows. Ranks are computed per
+value bucket (approximate-quantile bounds per task, a small broadcast table)
+and shifted by the sizes of earlier buckets, so no task is sorted in one place.
 """
 
 from __future__ import annotations
@@ -13,24 +14,68 @@ from pyspark.sql import functions as F
 DIGITS = 6
 
 
-def _avg_rank(col: str, part: list[str]):
-    w = Window.partitionBy(*part).orderBy(col)
-    ties = Window.partitionBy(*part, col)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, col: str, part: list[str], buckets: int, desc: bool) -> DataFrame:
+    """Add ``_b``: the value bucket of ``col`` within each group of ``part``.
+
+    Bucket bounds are approximate quantiles per group (a small table, at most
+    ``buckets`` values per group). Equal values always share a bucket, and buckets
+    are numbered in value order (descending when ``desc``), so a rank is the
+    rank inside the bucket plus the sizes of all earlier buckets.
+    """
+    if not part:
+        raise ValueError("rank statistics need at least one group column (e.g. task)")
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = df.groupBy(*part).agg(F.percentile_approx(col, probs, 10000).alias("_q"))
+    j = df.join(F.broadcast(bounds), part)
+    v = F.col(col)
+    below = F.size(F.filter(F.array_distinct("_q"), lambda q: q < v))
+    b = (F.size(F.array_distinct("_q")) - below) if desc else below
+    return j.withColumn("_b", b).drop("_q")
+
+
+def _offsets(bucketed: DataFrame, part: list[str], sums: dict) -> DataFrame:
+    """Per (group, bucket): totals of earlier buckets (small table)."""
+    tot = bucketed.groupBy(*part, "_b").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return tot.select(*part, "_b", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_off{n}")
+                                     for n in sums])
+
+
+def avg_rank(df: DataFrame, col: str, part: list[str], out: str, buckets: int = BUCKETS) -> DataFrame:
+    """Average rank (ties share the mean of their positions) of ``col`` within
+    each ``part`` group, computed bucket by bucket (no group sorted in one task)."""
+    bk = _bucketed(df, col, part, buckets, desc=False)
+    offs = _offsets(bk, part, {"n": F.lit(1)})
+    w = Window.partitionBy(*part, "_b").orderBy(col)
+    ties = Window.partitionBy(*part, "_b", col)
+    r = bk.join(F.broadcast(offs), part + ["_b"]) \
+          .withColumn(out, F.rank().over(w) + F.col("_offn") + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    return r.drop("_b", "_offn")
 
 
 def spearman(df: DataFrame, x: str, y: str, part: list[str]) -> DataFrame:
     """Spearman correlation of x and y per group (average ranks for ties)."""
-    r = df.select(*part, _avg_rank(x, part).alias("_rx"), x, y)
-    r = r.select(*part, "_rx", _avg_rank(y, part).alias("_ry"))
+    r = avg_rank(df.select(*part, x, y, F.monotonically_increasing_id().alias("_row")), x, part, "_rx")
+    r = avg_rank(r, y, part, "_ry")
     return r.groupBy(*part).agg(F.round(F.corr("_rx", "_ry"), DIGITS).alias("spearman"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, part: list[str]) -> DataFrame:
-    """AP of a score against 0/1 labels; equal scores share one threshold."""
-    w = Window.partitionBy(*part).orderBy(F.desc(score)) \
+    """AP of a score against 0/1 labels; equal scores share one threshold.
+
+    Cumulative counts (rows and positives with a score >= the row's) are the
+    counts inside the row's value bucket plus the totals of higher buckets.
+    """
+    bk = _bucketed(df.select(*part, score, label), score, part, BUCKETS, desc=True)
+    offs = _offsets(bk, part, {"n": F.lit(1), "tp": F.col(label)})
+    w = Window.partitionBy(*part, "_b").orderBy(F.desc(score)) \
               .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    c = df.select(*part, label, F.sum(label).over(w).alias("_tp"), F.count(F.lit(1)).over(w).alias("_n"))
+    c = bk.join(F.broadcast(offs), part + ["_b"]).select(
+        *part, label, (F.sum(label).over(w) + F.col("_offtp")).alias("_tp"),
+        (F.count(F.lit(1)).over(w) + F.col("_offn")).alias("_n"))
     return c.groupBy(*part).agg(F.round(
         F.coalesce(F.sum(F.when(F.col(label) > 0, F.col("_tp") / F.col("_n"))) / F.sum(label), F.lit(0.0)),
         DIGITS).alias("average_precision"))
