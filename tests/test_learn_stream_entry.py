@@ -57,3 +57,32 @@ def test_entry_and_registry(spark):
     rows = e.entry(spark).collect()
     assert len(rows) == 1 and 0 <= rows[0]["ndcg_10"] <= 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pca_subspace_matches_numpy_svd(spark, sf):
+    m = registry.base(spark, sf)
+    rows = m.weights.orderBy("row_id").collect()
+    x = np.array([r["embedding"] for r in rows])
+    xc = x - x.mean(0)
+    _, _, vt = np.linalg.svd(xc, full_matrices=False)
+    p = xc @ vt[:8].T
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    got = {r["row_id"]: r["embedding"] for r in L.pca(m, 8).weights.collect()}
+    y = np.array([got[r["row_id"]] for r in rows])
+    assert np.allclose(y @ y.T, p @ p.T, atol=1e-6)       # sign-free comparison
+
+
+def test_stream_replay_keeps_state(spark, sf):
+    from vectorloom.plans import registry_streams as RS
+    from vectorloom.session import scratch_path
+    from vectorloom.streaming import corpus as S
+    from vectorloom.operators.text import encode
+    m, v = registry._model_and_vocab(spark, sf)
+    q = encode(T.topics_b(spark, sf).select(F.col("qid").alias("text_id"), "text"), m, v) \
+        .withColumnRenamed("text_id", "qid")
+    src = RS.write_stream_corpus(spark, sf)
+    state, ckpt = scratch_path(spark, "st"), scratch_path(spark, "ck")
+    first, _ = S.stream_topk(S.stream_corpus(spark, src, RS.STREAM_GLOB), q, m, v, 10, state, ckpt)
+    a = {tuple(r) for r in first.collect()}
+    again, _ = S.stream_topk(S.stream_corpus(spark, src, RS.STREAM_GLOB), q, m, v, 10, state, ckpt)
+    assert {tuple(r) for r in again.collect()} == a and len(a) > 0
