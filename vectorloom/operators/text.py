@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.joins import broadcast_if_bounded
+from ..functions.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_bounded
 from .tables import EmbeddingModel, remap_token_ids
 
 WORD_PATTERN = r"[\p{L}\p{N}]+"
@@ -114,16 +114,26 @@ def spread(texts: DataFrame) -> DataFrame:
 
 def encode(texts: DataFrame, model: EmbeddingModel, vocab: DataFrame,
            id_col: str = "text_id", text_col: str = "text",
-           lex: DataFrame | None = None) -> DataFrame:
-    """(text_id, embedding) for every input text (no known word -> zero vector)."""
+           lex: DataFrame | None = None, vocab_rows: int | None = None) -> DataFrame:
+    """(text_id, embedding) for every input text (no known word -> zero vector).
+
+    ``vocab_rows`` is a proven bound on the vocabulary (``build_vocab(size=N)``
+    never returns more than N words); with it the lexicon's size is known and no
+    counting job is needed to decide the broadcast.
+    """
     texts = spread(texts)
     lx = lex if lex is not None else lexicon(model, vocab)
     decoded_row = 64 + 8 * model.dim
-    dec_lx, small = broadcast_if_bounded(
-        lx.select("word", model.decode_expr().alias("embedding")), decoded_row,
-        DECODED_LEXICON_BYTES)
+    dec = lx.select("word", model.decode_expr().alias("embedding"))
+    if vocab_rows is not None:
+        small = vocab_rows * decoded_row <= DECODED_LEXICON_BYTES
+        dec_lx = F.broadcast(dec) if small else dec
+    else:
+        dec_lx, small = broadcast_if_bounded(dec, decoded_row, DECODED_LEXICON_BYTES)
     if small:
         lx_b, decode_after = dec_lx, False
+    elif vocab_rows is not None and vocab_rows * (model.row_bytes() + 48) <= DEFAULT_BROADCAST_BYTES:
+        lx_b, decode_after = F.broadcast(lx), True
     else:
         lx_b, _ = broadcast_if_bounded(lx, model.row_bytes() + 48)
         decode_after = True

@@ -17,11 +17,14 @@ from ..operators.text import encode, lexicon
 
 
 def encode_pair(model: EmbeddingModel, vocab: DataFrame, queries: DataFrame,
-                passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+                passages: DataFrame, vocab_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Encode both sides with one lexicon. ``vocab_rows`` defaults to the model's
+    token count, the size ``build_vocab`` is asked for."""
     lx = lexicon(model, vocab)
-    q = encode(queries.select(F.col("qid").alias("text_id"), "text"), model, vocab, lex=lx) \
+    n = vocab_rows if vocab_rows is not None else model.tokens
+    q = encode(queries.select(F.col("qid").alias("text_id"), "text"), model, vocab, lex=lx, vocab_rows=n) \
         .withColumnRenamed("text_id", "qid")
-    p = encode(passages.select(F.col("docid").alias("text_id"), "text"), model, vocab, lex=lx) \
+    p = encode(passages.select(F.col("docid").alias("text_id"), "text"), model, vocab, lex=lx, vocab_rows=n) \
         .withColumnRenamed("text_id", "docid")
     return q, p
 

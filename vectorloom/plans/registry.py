@@ -480,7 +480,7 @@ def _encode_query(recipe_name, which):
         v = vocab(spark, sf, m)
         texts = T.texts(spark, sf) if which == "docs" else \
             T.topics_a(spark, sf).withColumnRenamed("qid", "text_id")
-        return V.long_form(X.encode(texts, m, v), "text_id", "embedding")
+        return V.long_form(X.encode(texts, m, v, vocab_rows=m.tokens), "text_id", "embedding")
     return q
 
 
