@@ -105,6 +105,6 @@ def test_topk_split_query_blocks(spark, monkeypatch):
     qdf = spark.createDataFrame([(i, [float(v) for v in qs[i]]) for i in range(30)],
                                 "qid bigint, embedding array<double>")
     one = {tuple(r) for r in R.topk(qdf, ddf, 5, 4).collect()}
-    monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 8 * (8 * 4 + 64))   # 8 queries per block
+    monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 8 * (8 * 4 + 64 + 16 * 5))   # 8 queries per block
     split = {tuple(r) for r in R.topk(qdf, ddf, 5, 4).collect()}
     assert one == split and len(one) == 150

@@ -22,14 +22,16 @@ from . import kernels
 QUERY_BLOCK_BYTES = 128 * 1024 * 1024
 
 
-def _query_blocks(queries: DataFrame, d: int, key: str, vec: str):
-    """Yield (qids, matrix) blocks of at most QUERY_BLOCK_BYTES each.
+def _query_blocks(queries: DataFrame, d: int, key: str, vec: str, k: int | None = None):
+    """Yield (qids, matrix) blocks of at most QUERY_BLOCK_BYTES each, counting
+    both the broadcast vectors (8 D bytes per query) and the running top-K state
+    a scoring task keeps per query (16 K bytes).
 
     One bounded collect (limit max + 1) serves the common case. A larger query
     side is written once to the shared folder and split by a hash of the key,
     each block collected and broadcast on its own (one scoring pass per block).
     """
-    max_rows = max(1, QUERY_BLOCK_BYTES // (8 * d + 64))
+    max_rows = max(1, QUERY_BLOCK_BYTES // (8 * d + 64 + 16 * (k or 0)))
     sel = queries.select(F.col(key).cast("bigint").alias("k"), F.col(vec).cast("array<double>").alias("v"))
     t = sel.limit(max_rows + 1).toArrow()
     if t.num_rows <= max_rows:
@@ -57,7 +59,7 @@ def score_topk(queries: DataFrame, rows: DataFrame, k: int | None, d: int,
     """(qid, docid, score) before the final merge (local top-K per partition)."""
     outs = []
     src = rows.select(F.col(rkey).alias("docid"), F.col(vec).alias("embedding"))
-    for qids, qm in _query_blocks(queries, d, qkey, vec):
+    for qids, qm in _query_blocks(queries, d, qkey, vec, k):
         outs.append(kernels.score_block(src, qids, qm, k, d))
     if not outs:
         spark = rows.sparkSession
