@@ -86,3 +86,10 @@ def test_stream_replay_keeps_state(spark, sf):
     a = {tuple(r) for r in first.collect()}
     again, _ = S.stream_topk(S.stream_corpus(spark, src, RS.STREAM_GLOB), q, m, v, 10, state, ckpt)
     assert {tuple(r) for r in again.collect()} == a and len(a) > 0
+
+
+def test_stateful_stream_equals_batch(spark, sf):
+    from vectorloom.plans import registry_streams as RS
+    batch = {tuple(r) for r in registry.QUERIES["nearest_rows"](spark, sf).collect()}
+    stream = {tuple(r) for r in RS.q_stream_nearest(spark, sf).collect()}
+    assert batch == stream and len(batch) == 50 * 10

@@ -15,7 +15,8 @@ from ..session import scratch_path
 from ..sources import testdata as T
 from ..streaming import corpus as S
 from ..operators.text import encode
-from .registry import _model_and_vocab, _ranked_out, _sql_encode, _sql_topk_full, _sql_turbo, base, register
+from .registry import (_model_and_vocab, _ranked_out, _sql_encode, _sql_nearest, _sql_topk_full, _sql_turbo,
+                       base, register)
 from . import oracle as O
 
 SHARDS = 8
@@ -84,3 +85,20 @@ def q_stream_quantize(spark, sf):
                             scratch_path(spark, "stream-q"), scratch_path(spark, "ckpt-q"))
     from .registry import codes_long
     return codes_long(out)
+
+
+@register("stream_nearest", _sql_nearest)
+def q_stream_nearest(spark, sf):
+    """nearest_rows over a stream of vectors, merged by a stateful operator."""
+    from ..operators import tables as TB
+    from ..streaming.stateful import stream_nearest
+    m = base(spark, sf)
+    src = scratch_path(spark, "vector-stream")
+    TB.l2_normalise(T.vector_rows(spark, sf).select("docid", "embedding"), m.dim) \
+        .repartition(4).write.mode("overwrite").parquet(src)
+    rows = spark.readStream.schema("docid bigint, embedding array<double>") \
+        .option("maxFilesPerTrigger", 1).parquet(src)
+    q = TB.l2_normalise(T.vector_queries(spark, sf).select("qid", "embedding"), m.dim)
+    top, _ = stream_nearest(rows, q, 10, m.dim, scratch_path(spark, "nearest-log"),
+                            scratch_path(spark, "ckpt-nearest"))
+    return _ranked_out(top)
