@@ -116,7 +116,18 @@ def q_decode_pq(spark, sf):
     return V.long_form(TB.decode(pqm), "row_id", "embedding")
 
 
-@register("rotate_qr")
+def _sql_rotate_qr():
+    from ..functions.levels import qr_rotation
+    q = qr_rotation(64)
+    vals = ", ".join(f"({i}, {j}, {float(q[i, j])!r})" for i in range(64) for j in range(64))
+    s = O.Sql()
+    d = s.dense()
+    s.add("qr", f"SELECT * FROM (VALUES {vals}) t(i, j, q)")
+    return s.build(f"SELECT a.row_id, r.j::INTEGER AS dim, round(sum(a.x * r.q), 6) AS value "
+                   f"FROM {d} a JOIN qr r ON r.i = a.dim GROUP BY a.row_id, r.j")
+
+
+@register("rotate_qr", _sql_rotate_qr)
 def q_rotate_qr(spark, sf):
     m = base(spark, sf)
     return V.long_form(Q.rotate_qr(m.weights, m.dim), "row_id", "embedding")
@@ -323,3 +334,22 @@ def q_load_topics_and_qrels(spark, sf):
 
 
 _ = _sql_uniform
+
+
+def _sql_turbo_qr():
+    from ..functions.levels import qr_rotation
+    q = qr_rotation(64)
+    vals = ", ".join(f"({i}, {j}, {float(q[i, j])!r})" for i in range(64) for j in range(64))
+    s = O.Sql()
+    d = s.dense()
+    s.add("qr", f"SELECT * FROM (VALUES {vals}) t(i, j, q)")
+    s.add("rotq", f"SELECT a.row_id, r.j::INTEGER AS dim, sum(a.x * r.q) AS x FROM {d} a "
+                  f"JOIN qr r ON r.i = a.dim GROUP BY a.row_id, r.j")
+    c = s.codebook_codes(2, "rotq", "tq2")
+    return s.build(f"SELECT row_id, dim, code, round(scale, 6) AS scale FROM {c}")
+
+
+@register("turbo_lloyd_qr", _sql_turbo_qr)
+def q_turbo_lloyd_qr(spark, sf):
+    """2-bit turbo-lloyd with the seeded QR rotation instead of Hadamard."""
+    return codes_long(Q.quantize(base(spark, sf), bits=2, method="turbo-lloyd", rotation="qr").weights)
