@@ -26,10 +26,6 @@ def as_double_array(c: str | Column) -> Column:
     return col(c).cast("array<double>")
 
 
-def dims(c: str | Column, d: int) -> list[Column]:
-    """The D elements of a vector column as separate column expressions."""
-    v = col(c)
-    return [v[i] for i in range(d)]
 
 
 def tree_sum(terms: Sequence[Column]) -> Column:
@@ -45,25 +41,14 @@ def tree_sum(terms: Sequence[Column]) -> Column:
     return terms[0]
 
 
-def tree_max(terms: Sequence[Column]) -> Column:
-    terms = list(terms)
-    return terms[0] if len(terms) == 1 else F.greatest(*terms)
 
 
-def dot(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    return tree_sum([x * y for x, y in zip(a, b)])
 
 
-def sum_sq(a: Sequence[Column]) -> Column:
-    return tree_sum([x * x for x in a])
 
 
-def norm(a: Sequence[Column]) -> Column:
-    return F.sqrt(sum_sq(a))
 
 
-def dim_names(prefix: str, d: int) -> list[str]:
-    return [f"{prefix}{i}" for i in range(d)]
 
 
 def let(value: Column, body) -> Column:
@@ -126,14 +111,6 @@ def sum_vectors(df: DataFrame, key: str | list[str], c: str, d: int,
     return agg.select(*others, F.array(*[F.col(f"_s{i}") for i in range(d)]).alias(c))
 
 
-def vector_width(df: DataFrame, c: str) -> int:
-    """The common width of a vector column; error if rows differ."""
-    r = df.agg(F.min(F.size(c)).alias("lo"), F.max(F.size(c)).alias("hi")).first()
-    if r is None or r["lo"] is None:
-        raise ValueError(f"column {c!r} has no rows")
-    if r["lo"] != r["hi"]:
-        raise ValueError(f"column {c!r} has rows of width {r['lo']} and {r['hi']}")
-    return int(r["lo"])
 
 
 def long_form(df: DataFrame, key: str, c: str, digits: int = 6,

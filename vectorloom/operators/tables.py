@@ -138,11 +138,6 @@ def dense_model(weights: DataFrame, dim: int, num_rows: int,
                           provenance=list(provenance or []))
 
 
-def to_dense(model: EmbeddingModel) -> EmbeddingModel:
-    if model.kind == DENSE:
-        return model
-    return model.derive(kind=DENSE, weights=decode(model), bits=None, codebook=None,
-                        pq_codebooks=None)
 
 
 def resolved(model: EmbeddingModel) -> DataFrame:
@@ -194,16 +189,6 @@ def gather_rows(ids: DataFrame, model: EmbeddingModel) -> DataFrame:
     return j.select(*rest, model.decode_expr().alias("embedding"))
 
 
-def model_size_df(spark, models: list[EmbeddingModel]) -> DataFrame:
-    rows = [(m.name, m.kind, int(m.num_rows), int(m.dim), m.bits, int(m.size_bytes),
-             round(m.size_bytes / 1e6, 6)) for m in models]
-    return spark.createDataFrame(
-        rows, "name string, kind string, num_rows bigint, dim int, bits int, "
-              "size_bytes bigint, size_mb double")
 
 
-def ceil_div(a: int, b: int) -> int:
-    return -(-a // b)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["math"]
