@@ -118,14 +118,17 @@ def kmeans_step(df: DataFrame, centroids: np.ndarray, c: str = "embedding") -> t
 
 
 def kmeans_fit(df: DataFrame, k: int, d: int, iters: int = 20, seed: int = SEED,
-               tol: float = 1e-9, c: str = "embedding") -> np.ndarray:
+               tol: float | None = 1e-9, c: str = "embedding") -> np.ndarray:
+    """Lloyd iterations from hash-picked rows; stops early when the inertia
+    changes by at most ``tol`` (relative), or runs exactly ``iters`` steps when
+    ``tol`` is None."""
     data = df.select("row_id", V.as_double_array(c).alias(c)).persist()
     try:
         cent = init_centroids(data, k, d, seed, c)
         prev = None
         for _ in range(iters):
             cent, inertia = kmeans_step(data, cent, c)
-            if prev is not None and abs(prev - inertia) <= tol * max(1.0, prev):
+            if tol is not None and prev is not None and abs(prev - inertia) <= tol * max(1.0, prev):
                 break
             prev = inertia
         return cent
@@ -133,7 +136,8 @@ def kmeans_fit(df: DataFrame, k: int, d: int, iters: int = 20, seed: int = SEED,
         data.unpersist()
 
 
-def cluster_global(model: EmbeddingModel, k: int, iters: int = 20) -> EmbeddingModel:
+def cluster_global(model: EmbeddingModel, k: int, iters: int = 20,
+                   tol: float | None = 1e-9) -> EmbeddingModel:
     """k-means over every token's (decoded) vector: weights -> k centroids,
     token_to_row -> assignment. k >= vocabulary size passes the vectors through."""
     spark = model.weights.sparkSession
@@ -143,7 +147,7 @@ def cluster_global(model: EmbeddingModel, k: int, iters: int = 20) -> EmbeddingM
     if k >= n:
         return model.tagged(tag, kind=DENSE, weights=toks, num_rows=n, bits=None, codebook=None,
                             pq_codebooks=None, token_to_row=None, vocab_size=n)
-    cent = kmeans_fit(toks, k, model.dim, iters)
+    cent = kmeans_fit(toks, k, model.dim, iters, tol=tol)
     weights = spark.createDataFrame([(i, [float(x) for x in cent[i]]) for i in range(k)],
                                     "row_id bigint, embedding array<double>")
     t2r = kmeans_assign(toks, cent).select(F.col("row_id").alias("token_id"),
@@ -188,7 +192,7 @@ def pq_step(df: DataFrame, books: np.ndarray, c: str = "embedding") -> tuple[np.
 
 
 def pq_fit(df: DataFrame, m: int, k: int, d: int, iters: int = 15, seed: int = SEED,
-           tol: float = 1e-9, c: str = "embedding") -> np.ndarray:
+           tol: float | None = 1e-9, c: str = "embedding") -> np.ndarray:
     """(M, K, D/M) codebooks; initial centroids are k hash-picked rows."""
     dsub = _check_pq(d, m, k)
     data = df.select("row_id", V.as_double_array(c).alias(c)).persist()
@@ -200,7 +204,7 @@ def pq_fit(df: DataFrame, m: int, k: int, d: int, iters: int = 15, seed: int = S
         prev = None
         for _ in range(iters):
             books, inertia = pq_step(data, books, c)
-            if prev is not None and abs(prev - inertia) <= tol * max(1.0, prev):
+            if tol is not None and prev is not None and abs(prev - inertia) <= tol * max(1.0, prev):
                 break
             prev = inertia
         return books
@@ -209,11 +213,11 @@ def pq_fit(df: DataFrame, m: int, k: int, d: int, iters: int = 15, seed: int = S
 
 
 def pq(model: EmbeddingModel, num_subvectors: int, centroids_per_sub: int = 256,
-       iters: int = 15) -> EmbeddingModel:
+       iters: int = 15, tol: float | None = 1e-9) -> EmbeddingModel:
     """Decode to dense, fit M codebooks, encode. Tag ``pq-m{M}-k{K}``."""
     _check_pq(model.dim, num_subvectors, centroids_per_sub)
     dense = decode(model) if model.kind != DENSE else model.weights.select("row_id", "embedding")
-    books = pq_fit(dense, num_subvectors, centroids_per_sub, model.dim, iters)
+    books = pq_fit(dense, num_subvectors, centroids_per_sub, model.dim, iters, tol=tol)
     codes = pq_encode(dense, books)
     return model.tagged(f"pq-m{num_subvectors}-k{centroids_per_sub}", kind=PQ, weights=codes,
                         bits=None, codebook=None, pq_codebooks=books)

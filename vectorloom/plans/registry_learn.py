@@ -86,10 +86,25 @@ def q_kmeans_step(spark, sf):
     return spark.createDataFrame(rows, "cid int, dim int, value double")
 
 
-@register("cluster_global")
+def _sql_cluster_global(steps: int = 2):
+    s = O.Sql()
+    d = s.dense()
+    cur = _init_sql(s, K_TEST)
+    for t in range(steps):
+        a = _assign_sql(s, cur, f"asg{t}")
+        s.add(f"mean{t}", f"SELECT a.cid, x.dim, avg(x.x) AS x FROM {a} a JOIN {d} x USING (row_id) GROUP BY a.cid, x.dim")
+        cur = s.add(f"cent{t + 1}", f"SELECT c.cid, c.dim, coalesce(m.x, c.x) AS x FROM {cur} c "
+                                    f"LEFT JOIN mean{t} m USING (cid, dim)")
+    a = _assign_sql(s, cur, "final")
+    return s.build(f"SELECT row_id AS token_id, cid FROM {a}")
+
+
+@register("cluster_global", _sql_cluster_global)
 def q_cluster_global(spark, sf):
+    """k-means (k=16) from the hash-picked initial rows, exactly two Lloyd steps;
+    token_to_row of the clustered model."""
     m = base(spark, sf)
-    c = L.cluster_global(m, K_TEST, iters=10)
+    c = L.cluster_global(m, K_TEST, iters=2, tol=None)
     return c.token_to_row.select(F.col("token_id").cast("bigint"), F.col("row_id").cast("int").alias("cid"))
 
 
@@ -119,10 +134,33 @@ def q_pq_encode(spark, sf):
     return _codes_by_sub(L.pq_encode(m.weights, books))
 
 
-@register("pq")
+def _sql_pq(steps: int = 2):
+    s = O.Sql()
+    d = s.dense()
+    dsub = 64 // PQ_M
+    cur = _init_sql(s, PQ_K)
+
+    def assign(c, name):
+        s.add(f"{name}_d", f"SELECT x.row_id, c.cid, x.dim // {dsub} AS sub, round(sum((x.x - c.x) * (x.x - c.x)), 9) AS dist "
+                           f"FROM {d} x JOIN {c} c ON c.dim = x.dim GROUP BY x.row_id, c.cid, x.dim // {dsub}")
+        return s.add(name, f"SELECT row_id, sub, cid AS code FROM {name}_d "
+                           f"QUALIFY row_number() OVER (PARTITION BY row_id, sub ORDER BY dist, cid) = 1")
+
+    for t in range(steps):
+        a = assign(cur, f"pqa{t}")
+        s.add(f"pqm{t}", f"SELECT a.code AS cid, x.dim, avg(x.x) AS x FROM {a} a JOIN {d} x "
+                         f"ON x.row_id = a.row_id AND x.dim // {dsub} = a.sub GROUP BY a.code, x.dim")
+        cur = s.add(f"pqc{t + 1}", f"SELECT c.cid, c.dim, coalesce(m.x, c.x) AS x FROM {cur} c "
+                                   f"LEFT JOIN pqm{t} m USING (cid, dim)")
+    a = assign(cur, "pqfinal")
+    return s.build(f"SELECT row_id, sub::INTEGER AS sub, code FROM {a}")
+
+
+@register("pq", _sql_pq)
 def q_pq(spark, sf):
+    """PQ m=8, k=16 from the hash-picked initial rows, exactly two Lloyd steps."""
     m = base(spark, sf)
-    return _codes_by_sub(L.pq(m, PQ_M, PQ_K, iters=8).weights)
+    return _codes_by_sub(L.pq(m, PQ_M, PQ_K, iters=2, tol=None).weights)
 
 
 @register("pca")
