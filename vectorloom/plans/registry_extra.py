@@ -138,10 +138,16 @@ def q_quantize(spark, sf):
     return codes_long(Q.quantize(base(spark, sf), bits=3, method="turbo-lloyd").weights)
 
 
-@register("pq_fit")
+def _sql_pq_fit():
+    from .registry_learn import _sql_pq
+    return _sql_pq(2, books=True)
+
+
+@register("pq_fit", _sql_pq_fit)
 def q_pq_fit(spark, sf):
+    """The M x K x D/M codebooks after exactly two Lloyd steps from the hash-picked rows."""
     m = base(spark, sf)
-    books = L.pq_fit(m.weights, PQ_M, PQ_K, m.dim, iters=5)
+    books = L.pq_fit(m.weights, PQ_M, PQ_K, m.dim, iters=2, tol=None)
     rows = [(j, c, o, round(float(books[j, c, o]), 6)) for j in range(books.shape[0])
             for c in range(books.shape[1]) for o in range(books.shape[2])]
     return spark.createDataFrame(rows, "sub int, code int, dim int, value double")
@@ -235,7 +241,22 @@ SCALED = {
 }
 
 
-@register("compress_all")
+def _sql_compress_all():
+    n, e = "(SELECT count(*) FROM embeddings)", "(SELECT sum(len(embedding)) FROM embeddings)"
+    rows = [
+        ("baseline", "embeddings", n, f"{e} * 4"),
+        ("int8", "embeddings_int8", n, f"({e} * 8 + 7) // 8 + 4 * {n}"),
+        ("int4", "embeddings_int4", n, f"({e} * 4 + 7) // 8 + 4 * {n}"),
+        ("turbo-lloyd-1", "embeddings_turbo-lloyd-1", n, f"({e} + 7) // 8 + 4 * {n}"),
+        ("pca-16d_int4", "embeddings_pca-16d_int4", n, f"({n} * 16 * 4 + 7) // 8 + 4 * {n}"),
+        ("cluster-k32_int8", "embeddings_cluster-k32_int8", "32", "(32 * 64 * 8 + 7) // 8 + 4 * 32"),
+        ("pq-m8-k16", "embeddings_pq-m8-k16", n, f"{n} * 8 + 4 * 8 * 16 * 8"),
+    ]
+    return " UNION ALL ".join(f"SELECT '{r}' AS recipe, '{mname}' AS model, ({nr})::BIGINT AS num_rows, "
+                              f"({sz})::BIGINT AS size_bytes" for r, mname, nr, sz in rows)
+
+
+@register("compress_all", _sql_compress_all)
 def q_compress_all(spark, sf):
     done = P.compress_all(base(spark, sf), list(SCALED), SCALED, scratch_path(spark, "compress"))
     return P.compress_summary(spark, done)

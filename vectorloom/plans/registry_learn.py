@@ -134,7 +134,7 @@ def q_pq_encode(spark, sf):
     return _codes_by_sub(L.pq_encode(m.weights, books))
 
 
-def _sql_pq(steps: int = 2):
+def _sql_pq(steps: int = 2, books: bool = False):
     s = O.Sql()
     d = s.dense()
     dsub = 64 // PQ_M
@@ -152,6 +152,9 @@ def _sql_pq(steps: int = 2):
                          f"ON x.row_id = a.row_id AND x.dim // {dsub} = a.sub GROUP BY a.code, x.dim")
         cur = s.add(f"pqc{t + 1}", f"SELECT c.cid, c.dim, coalesce(m.x, c.x) AS x FROM {cur} c "
                                    f"LEFT JOIN pqm{t} m USING (cid, dim)")
+    if books:
+        return s.build(f"SELECT (dim // {dsub})::INTEGER AS sub, cid AS code, (dim % {dsub})::INTEGER AS dim, "
+                       f"round(x, 6) AS value FROM {cur}")
     a = assign(cur, "pqfinal")
     return s.build(f"SELECT row_id, sub::INTEGER AS sub, code FROM {a}")
 
