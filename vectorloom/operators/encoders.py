@@ -8,9 +8,7 @@ like any other vectors.
 
 from __future__ import annotations
 
-import re
 import sys
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +18,29 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_WORD = re.compile(r"[^\W_]+", re.UNICODE)
+def word_hash(w: str) -> int:
+    """Position-weighted sum of code points: sum_i (i + 1) * ord(w[i])."""
+    return sum((i + 1) * ord(ch) for i, ch in enumerate(w))
 
 
 def hashing_encoder(d: int):
-    """Example user encoder: signed feature hashing of lower-cased words, L2-normalised."""
+    """Example user encoder: signed feature hashing of lower-cased words
+    (runs of letters and digits), L2-normalised. Bucket h % d, sign + when
+    (h // d) is even."""
+    try:
+        import regex as rx
+        words = rx.compile(r"[\p{L}\p{N}]+")
+    except ImportError:             # the stdlib class is close: letters and digits
+        import re as rx
+        words = rx.compile(r"[^\W_]+")
+
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), d))
         for i, t in enumerate(texts):
-            for w in _WORD.findall((t or "").lower()):
-                h = zlib.crc32(w.encode("utf-8"))
-                out[i, h % d] += 1.0 if (h >> 31) & 1 else -1.0
-        n = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-8)
+            for w in words.findall((t or "").lower()):
+                h = word_hash(w)
+                out[i, h % d] += 1.0 if (h // d) % 2 == 0 else -1.0
+        n = np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-8)
         return out / n
     return encode
 
