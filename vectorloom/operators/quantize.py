@@ -16,7 +16,7 @@ from ..functions import vectors as V
 from ..functions.levels import (hadamard_matrix, lloyd_levels, midpoints, qr_rotation,
                                 stored_codebook, uniform_qmax)
 from . import kernels
-from .tables import CODEBOOK, DENSE, PQ, UNIFORM, EmbeddingModel
+from .tables import CODEBOOK, PQ, UNIFORM, EmbeddingModel
 
 
 # --------------------------------------------------------------------------

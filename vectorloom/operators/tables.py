@@ -15,7 +15,6 @@ codebook (2^bits values) and the PQ codebooks (M x K x D/M values).
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np

@@ -22,7 +22,7 @@ from ..sources import trec as TR
 from . import oracle as O
 from . import pipeline as P
 from .registry import (_model_and_vocab, _sql_decode, _sql_encode, _sql_l2, _sql_pack_for, _sql_turbo,
-                       _sql_uniform, base, codes_long, recipe, register, vocab)
+                       base, codes_long, recipe, register, vocab)
 from .registry_learn import K_TEST, PQ_K, PQ_M, _assign_sql, _init_sql
 
 
@@ -182,7 +182,6 @@ def q_batched_encode(spark, sf):
 
 
 def _sql_eval_empty():
-    from .registry_reports import _pooled_lang_sql  # noqa: F401 (same shapes)
     s = O.Sql()
     w = s.model("turbo-lloyd-1")
     s.add("jb", O.JUDGED_B.replace("WHERE q.doc_id % 7 = 0", "WHERE q.doc_id % 7 = 0 AND q.lang = 'en'"))
@@ -373,8 +372,6 @@ def q_load_topics_and_qrels(spark, sf):
     return qrels.join(topics, "qid")
 
 
-_ = _sql_uniform
-
 
 def _sql_turbo_qr():
     from ..functions.levels import qr_rotation

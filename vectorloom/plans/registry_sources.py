@@ -14,7 +14,7 @@ from ..sources import models as MD
 from ..sources import testdata as T
 from ..sources import trec as TR
 from . import oracle as O
-from .registry import base, recipe, register
+from .registry import recipe, register
 
 FILES = 4
 

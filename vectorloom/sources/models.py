@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions.levels import lloyd_levels, uniform_codebook, uniform_qmax
-from ..operators.tables import CODEBOOK, DENSE, PQ, UNIFORM, EmbeddingModel
+from ..operators.tables import CODEBOOK, UNIFORM, EmbeddingModel
 
 PACKED = "packed"
 
