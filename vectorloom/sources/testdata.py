@@ -33,13 +33,27 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
         V.as_double_array("embedding").alias("embedding"))
 
 
+_SHAPES: dict[tuple, tuple[int, int]] = {}
+
+
+def _shape(w: DataFrame, key: tuple) -> tuple[int, int]:
+    """(rows, width) of a vector table; one aggregate job per table version."""
+    if key not in _SHAPES:
+        stats = w.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"),
+                      F.max(F.size("embedding")).alias("hi")).first()
+        if stats["lo"] != stats["hi"]:
+            raise ValueError("embedding rows differ in width")
+        _SHAPES[key] = (int(stats["n"]), int(stats["lo"]))
+    return _SHAPES[key]
+
+
 def base_model(spark: SparkSession, sf_dir: str, name: str = "embeddings") -> EmbeddingModel:
+    import os
     w = dense(spark, sf_dir)
-    stats = w.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"),
-                  F.max(F.size("embedding")).alias("hi")).first()
-    if stats["lo"] != stats["hi"]:
-        raise ValueError("embedding rows differ in width")
-    return dense_model(w, int(stats["lo"]), int(stats["n"]), [name])
+    path = f"{sf_dir.rstrip('/')}/embeddings.parquet"
+    stamp = os.path.getmtime(path) if os.path.exists(path) else None
+    n, d = _shape(w, (path, stamp))
+    return dense_model(w, d, n, [name])
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
