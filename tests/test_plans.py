@@ -19,7 +19,9 @@ def _plan(df) -> str:
 def test_no_cross_products_in_headline_plans(spark, sf):
     import __spark_entry__ as e
     qs = e.queries()
-    for k in ("encode", "topk_full", "eval_full_lang", "eval_pooled", "similarity_matrix", "kmeans_assign"):
+    for k in ("encode", "topk_full", "eval_full_lang", "eval_pooled", "similarity_matrix", "kmeans_assign",
+              "sts_spearman", "pair_average_precision", "main_score", "covariance", "model_grid",
+              "pareto_frontier", "nearest_rows", "ranked_rels"):
         p = _plan(qs[k](spark, sf))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, k
 

@@ -15,6 +15,9 @@ DIGITS = 6
 
 
 BUCKETS = 64
+# Attach per-group bucket bounds as a literal expression up to this many groups
+# (each group has at most BUCKETS - 1 bounds); beyond it they are joined.
+MAX_LITERAL_GROUPS = 256
 
 
 def _bucketed(df: DataFrame, col: str, part: list[str], buckets: int, desc: bool) -> DataFrame:
@@ -29,7 +32,19 @@ def _bucketed(df: DataFrame, col: str, part: list[str], buckets: int, desc: bool
         raise ValueError("rank statistics need at least one group column (e.g. task)")
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*part).agg(F.percentile_approx(col, probs, 10000).alias("_q"))
-    j = df.join(F.broadcast(bounds), part)
+    few = bounds.limit(MAX_LITERAL_GROUPS + 1).collect()
+    if len(few) <= MAX_LITERAL_GROUPS:
+        expr = None
+        for r in few:
+            cond = None
+            for p in part:
+                c = F.col(p).eqNullSafe(F.lit(r[p]))
+                cond = c if cond is None else cond & c
+            arr = F.array(*[F.lit(float(x)) for x in (r["_q"] or [])]).cast("array<double>")
+            expr = F.when(cond, arr) if expr is None else expr.when(cond, arr)
+        j = df.withColumn("_q", expr if expr is not None else F.array().cast("array<double>"))
+    else:
+        j = df.join(bounds, part)
     v = F.col(col)
     below = F.size(F.filter(F.array_distinct("_q"), lambda q: q < v))
     b = (F.size(F.array_distinct("_q")) - below) if desc else below
