@@ -69,3 +69,19 @@ def eval_vectors(queries: DataFrame, rows: DataFrame, j: M.Judgments, d: int,
     ranked = R.topk(queries.select("qid", "embedding"), rows.select("docid", "embedding"), k, d)
     scores = M.query_scores(queries.select("qid"), ranked, j, ks_ndcg=(10,), ks_recall=(10,))
     return M.summarise(scores, (), ks_ndcg=(10,), ks_recall=(10,))
+
+
+def eval_full_timed(model: EmbeddingModel, vocab: DataFrame, topics: DataFrame,
+                    passages: DataFrame, j: M.Judgments, group_cols=(), k: int = 100) -> DataFrame:
+    """``eval_full`` plus the wall-clock seconds of running it (``seconds``).
+
+    The metrics table has one row per group (language), so it is collected and
+    rebuilt with the elapsed time attached."""
+    import time
+    t0 = time.perf_counter()
+    res = eval_full(model, vocab, topics, passages, j, group_cols, k)
+    rows = res.collect()
+    secs = round(time.perf_counter() - t0, 3)
+    spark = res.sparkSession
+    out = spark.createDataFrame(rows, res.schema) if rows else spark.createDataFrame([], res.schema)
+    return out.withColumn("seconds", F.lit(secs))

@@ -796,3 +796,11 @@ def q_ndcg_at_k_qrels_ideal(spark, sf):
     r, j = _full_a_spark(spark, sf)
     sc = M.query_scores(T.topics_a(spark, sf), r, j, (10,), (100,), ideal="qrels")
     return sc.select(F.col("qid").cast("bigint"), F.round("ndcg_10", 6).alias("ndcg_10"))
+
+
+@register("eval_full_timed")
+def q_eval_full_timed(spark, sf):
+    """eval_full per language with the wall-clock seconds of the run."""
+    m, v = _model_and_vocab(spark, sf)
+    return E.eval_full_timed(m, v, T.topics_b(spark, sf), T.passages_b(spark, sf),
+                             T.judgments_b(spark, sf), group_cols=("lang",))
