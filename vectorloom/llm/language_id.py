@@ -146,13 +146,13 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text",
     ``und`` and 0. Ties go to the first language by name. An existing column of
     the same name as an output is replaced; other columns pass through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)    # features x languages
+    shared = T.share(docs.sparkSession, model)    # features x languages
     docs = docs.drop(pred, score).withColumn("__letter", has_letter(F.col(f"`{text_col}`")))
     names = docs.columns[:-1]
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared()
         langs = np.asarray([*m.langs, UNKNOWN], dtype=object)
         for b in batches:
             sure = b.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)

@@ -8,16 +8,27 @@ about 2^-64 per pair.
 
 from __future__ import annotations
 
+import pickle
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 2 << 20
+
+
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast of a value whose class executors need not have installed."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
