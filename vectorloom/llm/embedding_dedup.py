@@ -33,8 +33,8 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int =
     """(mean, projection): the sign pattern of (x - mean) @ projection is the code."""
     mean = sample.mean(axis=0)
     x = sample - mean
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
-    basis = axes[:bits].T
+    _, axes = np.linalg.eigh(x.T @ x)
+    basis = axes[:, ::-1][:, :bits]
     v = x @ basis
     r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
     for _ in range(rounds):
@@ -70,7 +70,7 @@ def _dot(a: str, b: str) -> F.Column:
 
 
 def near_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
-               vector_col: str = "embedding", label_col: str = "label", sample_rows: int = 20_000,
+               vector_col: str = "embedding", label_col: str = "label", sample_rows: int = 10_000,
                tables: int = 4, max_distance: int = 18) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
@@ -101,7 +101,9 @@ def near_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     share = min(1.0, sample_rows / rows)
     picked = reps.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v")
-    sample = np.asarray([r.v for r in picked.limit(2 * sample_rows).collect()], dtype=np.float64)
+    sample = (picked.limit(2 * sample_rows).toArrow().column("v").combine_chunks().flatten()
+              .to_numpy(zero_copy_only=False).reshape(-1, d))
+    sample = np.array(sample)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     bits = min(64, d)
     mean, projection = learn_rotation(sample, bits)
