@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embedding_dedup, jaccard_join, language_id, line_dedup, packing
+from . import (decontam, embedding_dedup, jaccard_join, kneser_ney, language_id, line_dedup, packing, stupid_backoff,
+               substring_dedup, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stupid_backoff.score_documents(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -22,10 +28,19 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    return records.withColumn("block", F.col("block").cast("string"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passage_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(_table(spark, sf_dir, "documents")))
 
@@ -37,6 +52,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(*language_id.training_sample(docs))
@@ -45,8 +64,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_jaccard_join, op5_embedding_dedup, op7_packing, op8_line_dedup,
+    f.__name__: f for f in (op1_stupid_backoff, op2_decontamination, op3_jaccard_join, op4_warc_derivatives,
+                            op5_embedding_dedup, op6_substring_dedup, op7_packing, op8_line_dedup, op9_quality,
                             op10_language_id)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_stupid_backoff": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws
+           FROM documents),
+t AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT t.r, t.i, t.w, lag(t.w) OVER (PARTITION BY t.r ORDER BY t.i) AS v FROM t),
+c1 AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+o1 AS (SELECT r, w, count(*) AS n FROM b GROUP BY r, w),
+c2 AS (SELECT v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY v, w),
+o2 AS (SELECT r, v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY r, v, w),
+s AS (SELECT b.r, CASE
+        WHEN b.v IS NOT NULL AND c2.n - o2.n > 0 THEN ln((c2.n - o2.n) / (cv.n - ov.n))
+        WHEN c1.n - o1.n > 0 THEN ln((c1.n - o1.n) / greatest((SELECT count(*) FROM t) - len(d.ws), 1))
+                                  + CASE WHEN b.v IS NULL THEN 0 ELSE ln(0.4) END
+        ELSE ln(0.4 / greatest((SELECT count(*) FROM t) - len(d.ws), 1)) + CASE WHEN b.v IS NULL THEN 0 ELSE ln(0.4) END
+      END AS x
+      FROM b JOIN d ON d.r = b.r JOIN c1 ON c1.w = b.w JOIN o1 ON o1.r = b.r AND o1.w = b.w
+      LEFT JOIN c1 cv ON cv.w = b.v LEFT JOIN o1 ov ON ov.r = b.r AND ov.w = b.v
+      LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w LEFT JOIN o2 ON o2.r = b.r AND o2.v = b.v AND o2.w = b.w),
+m AS (SELECT r, avg(x) AS x FROM s GROUP BY r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(m.x, 6) AS mean_log_score
+FROM d LEFT JOIN m ON m.r = d.r""",
+}

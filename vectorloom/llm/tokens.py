@@ -62,9 +62,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1000))
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inv = pow(_BASE, -1, 1 << 64)
     out = []
@@ -79,7 +76,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hasher:
     """Hashes byte ranges of a buffer; keeps the table of powers between calls."""
 
-    def __init__(self) -> None:
+    def __init__(self, seed: int = 1000) -> None:
+        self._values = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed))
         self._pow = _powers(CHUNK_BYTES + 1)
 
     def spans(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -89,7 +87,7 @@ class Hasher:
         p, inv = self._pow
         sums = np.zeros(n + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(_BYTE_VALUE[buf] * p[:n], dtype=np.uint64, out=sums[1:])
+            np.cumsum(self._values[buf] * p[:n], dtype=np.uint64, out=sums[1:])
             raw = (sums[ends] - sums[starts]) * inv[starts]
             return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
