@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
