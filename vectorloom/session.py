@@ -3,7 +3,7 @@ shared folder for lineage cuts and scratch output."""
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -36,11 +36,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names shared storage and is only read. When it is
-    unset (a local test run) a fresh folder under the system temp dir is set.
+    On a cluster this setting names shared storage and is only read; without it
+    the call fails, as executors could not see a folder of the driver's own disk.
+    With a local master (tests) a fresh folder under the system temp dir is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name shared storage when the master is {master}")
         path = tempfile.mkdtemp(prefix="vectorloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -66,16 +70,6 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def local_dir(path: str) -> str:
-    p = path[len("file:"):] if path.startswith("file:") else path
-    os.makedirs(p, exist_ok=True)
-    return p
-
-
 _MATERIALIZED: dict[tuple, str] = {}
 
 
