@@ -37,3 +37,11 @@ def test_spearman_and_ap_match_definitions(spark, monkeypatch):
     ap = {r["task"]: r["average_precision"] for r in TK.average_precision(df, "score", "gold", ["task"]).collect()}
     for t in ("a", "b"):
         assert abs(sp[t] - ref[t][0]) < 2e-6 and abs(ap[t] - ref[t][1]) < 2e-6
+
+
+def test_main_score_counts_a_missing_score_as_zero(spark):
+    from vectorloom.operators import tasks
+    rows = [("a", "test", 0, 0, None), ("a", "test", 0, 1, 0.9), ("b", "dev", 0, 0, 0.4), ("c", "dev", 0, 0, 0.2),
+            ("c", "test", 1, 0, 0.7)]
+    df = spark.createDataFrame(rows, "task string, split string, split_pos int, subset_pos int, score double")
+    assert {r.task: r.main_score for r in tasks.main_score(df).collect()} == {"a": 0.0, "b": 0.4, "c": 0.7}

@@ -97,9 +97,12 @@ def average_precision(df: DataFrame, score: str, label: str, part: list[str]) ->
 
 
 def main_score(task_scores: DataFrame) -> DataFrame:
-    """Per task: the first subset of split 'test', else the first non-empty split."""
+    """Per task: the score of the first subset of split 'test', else of the first split.
+
+    A chosen subset without a score counts 0.
+    """
     pref = F.struct((F.col("split") != "test").alias("_nt"), F.col("split_pos"), F.col("subset_pos"))
-    return task_scores.where(F.col("score").isNotNull()).groupBy("task").agg(
+    return task_scores.groupBy("task").agg(
         F.coalesce(F.min_by("score", pref), F.lit(0.0)).alias("main_score"))
 
 
