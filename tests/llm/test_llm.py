@@ -372,3 +372,24 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     left = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert left == set(range(31))
+
+
+def test_jaccard_bounds_of_long_sets_are_lower_bounds():
+    """The finer counts never exceed the true distance, tell unrelated long sets
+    apart, and the short hashes keep order and equality."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))      # noqa: E731
+    for n in (1100, 5000, 20000):
+        x = draw(n)
+        for keep, extra in ((n, 0), (n - 40, 40), (int(.8 * n), n // 10), (0, n)):
+            y = np.unique(np.concatenate([x[:keep], draw(extra)]))
+            common = len(np.intersect1d(x, y))
+            d = 1 - common / (len(x) + len(y) - common)
+            fx, fy = (np.frombuffer(jaccard_join._fine_classes(s), "u1") for s in (x, y)) if len(y) > 1024 else (None, None)
+            if fx is not None:
+                differ = jaccard_join._difference(fx, fy)
+                least = 2 * differ / (len(x) + len(y) + differ)
+                assert least <= d + 1e-9
+                assert keep or least > 0.15
+            short = jaccard_join._long(jaccard_join._short(y))
+            assert (np.diff(short.astype(np.float64)) >= 0).all() and len(np.unique(short)) == len(y)
