@@ -108,3 +108,21 @@ def test_topk_split_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 8 * (8 * 4 + 64 + 16 * 5))   # 8 queries per block
     split = {tuple(r) for r in R.topk(qdf, ddf, 5, 4).collect()}
     assert one == split and len(one) == 150
+
+
+def test_topk_of_string_ids_within_groups(spark):
+    """Ids of any text; no ranked row crosses groups; ties go by id; a null group meets nothing."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    vec = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(size=4))     # noqa: E731
+    rows = [(f"{i % 7}#{i}", "ab"[i % 2], vec()) for i in range(60)]
+    rows += [(f"copy{i}", "a", rows[0][2]) for i in range(5)] + [("lost", None, vec())]
+    queries = [("q1", "a", rows[0][2]), ("q#2", "b", vec()), ("none", "c", vec()), ("null", None, vec())]
+    schema = "{} string, lang string, embedding array<double>"
+    got = R.topk(spark.createDataFrame(queries, schema.format("qid")),
+                 spark.createDataFrame(rows, schema.format("docid")).repartition(3), 6, 4, group="lang")
+    want = []
+    for qid, lang, q in queries:
+        near = sorted((-round(float(np.dot(q, v)), 9), d) for d, g, v in rows if lang and g == lang)[:6]
+        want += [(qid, d, i + 1, -s) for i, (s, d) in enumerate(near)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

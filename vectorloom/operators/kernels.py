@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.joins import bounded_rows
 
@@ -81,54 +82,110 @@ def _merge(rs, ri, cs, ci, k):
     return np.take_along_axis(ms, o, axis=1), np.take_along_axis(mi, o, axis=1)
 
 
-def _topk_fn(bq, k: int | None, d: int, id_col: str, vec_col: str):
+class _Best:
+    """The running top-k of every query of a block.
+
+    String ids are held as places in ``names``, the sorted ids that are still
+    in some query's top-k, so their order breaks ties like that of integers.
+    """
+
+    def __init__(self, nq: int, k: int) -> None:
+        self.k = k
+        self.scores = np.full((nq, k), -np.inf)
+        self.ids = np.full((nq, k), MAX_ID, dtype=np.int64)
+        self.names: np.ndarray | None = None
+
+    def _renumber(self, old: np.ndarray, new: np.ndarray) -> None:
+        held = self.ids != MAX_ID
+        self.ids[held] = np.searchsorted(new, old)[self.ids[held]]
+
+    def add(self, lo: int, hi: int, s: np.ndarray, ids: np.ndarray) -> None:
+        strings = ids.dtype == object
+        if strings:
+            known = np.zeros(0, dtype=object) if self.names is None else self.names
+            names = np.unique(np.concatenate([known, ids]))
+            self._renumber(known, names)
+            ids = np.searchsorted(names, ids)
+        o = np.argsort(ids, kind="stable")
+        cs, ci = _chunk_topk(s[:, o], ids[o], self.k)
+        self.scores[lo:hi], self.ids[lo:hi] = _merge(self.scores[lo:hi], self.ids[lo:hi], cs, ci, self.k)
+        if strings:
+            used = np.unique(self.ids[self.ids != MAX_ID])
+            self._renumber(np.arange(len(names)), used)
+            self.names = names[used]
+
+    def rows(self, qids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, cols = np.nonzero(self.ids != MAX_ID)
+        ids = self.ids[rows, cols]
+        return qids[rows], ids if self.names is None else self.names[ids], self.scores[rows, cols]
+
+
+def _matching(rb: pa.RecordBatch, group_col: str | None, spans: dict | None, nq: int):
+    """(lo, hi, rows): the queries lo..hi that the given rows are scored for."""
+    if group_col is None:
+        yield 0, nq, np.arange(rb.num_rows)
+        return
+    groups = rb.column(group_col).dictionary_encode()
+    codes = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    for code, value in enumerate(groups.dictionary.to_pylist()):
+        if value in spans:
+            yield *spans[value], np.flatnonzero(codes == code)
+
+
+def _topk_fn(bq, k: int | None, d: int, id_col: str, vec_col: str, group_col: str | None,
+             types: tuple[pa.DataType, pa.DataType]):
+    def batch(qids, ids, scores):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(qids, types[0]), pa.array(ids, types[1]), pa.array(scores, pa.float64())],
+            names=["qid", "docid", "score"])
+
     def run(batches):
-        qids, qm = bq.value
-        nq = len(qids)
-        chunk = max(1, BLOCK_BYTES // max(1, 8 * nq))
-        if k is not None:
-            rs = np.full((nq, k), -np.inf)
-            ri = np.full((nq, k), MAX_ID, dtype=np.int64)
+        qids, qm, spans = bq.value
+        best = None if k is None else _Best(len(qids), k)
         for rb in batches:
-            if rb.num_rows == 0 or nq == 0:
+            if rb.num_rows == 0 or len(qids) == 0:
                 continue
-            ids_all = rb.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids_all = rb.column(id_col).to_numpy(zero_copy_only=False)
             x_all = _matrix(rb.column(vec_col), d)
-            for st in range(0, len(ids_all), chunk):
-                ids = ids_all[st:st + chunk]
-                s = np.round(qm @ x_all[st:st + chunk].T, SCORE_DIGITS)
-                if k is None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(qids, len(ids))),
-                         pa.array(np.tile(ids, nq)), pa.array(s.reshape(-1))],
-                        names=["qid", "docid", "score"])
-                    continue
-                o = np.argsort(ids, kind="stable")
-                cs, ci = _chunk_topk(s[:, o], ids[o], k)
-                rs, ri = _merge(rs, ri, cs, ci, k)
-        if k is not None and nq:
-            ok = ri != MAX_ID
-            rows, cols = np.nonzero(ok)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[rows]), pa.array(ri[rows, cols]), pa.array(rs[rows, cols])],
-                names=["qid", "docid", "score"])
+            for lo, hi, rows in _matching(rb, group_col, spans, len(qids)):
+                chunk = max(1, BLOCK_BYTES // (8 * (hi - lo)))
+                for st in range(0, len(rows), chunk):
+                    at = rows[st:st + chunk]
+                    s = np.round(qm[lo:hi] @ x_all[at].T, SCORE_DIGITS)
+                    if best is None:
+                        yield batch(np.repeat(qids[lo:hi], len(at)), np.tile(ids_all[at], hi - lo), s.reshape(-1))
+                    else:
+                        best.add(lo, hi, s, ids_all[at])
+        if best is not None:
+            yield batch(*best.rows(qids))
     return run
 
 
+def key_type(df: DataFrame, col: str) -> str:
+    """The type an id column is ranked in: bigint for whole numbers, else string."""
+    return "bigint" if isinstance(df.schema[col].dataType, IntegralType) else "string"
+
+
 def score_block(rows: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int | None,
-                d: int, id_col: str = "docid", vec_col: str = "embedding") -> DataFrame:
+                d: int, id_col: str = "docid", vec_col: str = "embedding",
+                group_col: str | None = None, spans: dict | None = None) -> DataFrame:
     """(qid, docid, score) of one broadcast query block against every row.
 
     With ``k`` each partition emits only its exact local top-k per query
-    (ties by docid), so the output is bounded by queries x k x partitions.
+    (ties by docid), so the output is bounded by queries x k x partitions. With
+    ``group_col`` a row is scored only for the queries of its group, which are the
+    block's queries ``spans[group]``. Rows without id or vector are left out.
     """
-    spark = rows.sparkSession
-    bq = spark.sparkContext.broadcast((qids.astype(np.int64), qmat.astype(np.float64)))
-    src = rows.select(F.col(id_col).cast("bigint").alias(id_col),
-                      F.col(vec_col).cast("array<double>").alias(vec_col)) \
-              .where(F.col(vec_col).isNotNull())
-    return src.mapInArrow(_topk_fn(bq, k, d, id_col, vec_col),
-                          "qid bigint, docid bigint, score double")
+    bq = rows.sparkSession.sparkContext.broadcast((qids, qmat.astype(np.float64), spans))
+    rtype = key_type(rows, id_col)
+    qtype = "string" if qids.dtype == object else "bigint"
+    src = rows.select(F.col(id_col).cast(rtype).alias(id_col),
+                      F.col(vec_col).cast("array<double>").alias(vec_col),
+                      *([F.col(group_col).cast("string").alias(group_col)] if group_col else [])) \
+              .where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
+    arrow = {"bigint": pa.int64(), "string": pa.string()}
+    return src.mapInArrow(_topk_fn(bq, k, d, id_col, vec_col, group_col, (arrow[qtype], arrow[rtype])),
+                          f"qid {qtype}, docid {rtype}, score double")
 
 
 # --------------------------------------------------------------------------

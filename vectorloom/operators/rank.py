@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,58 +23,82 @@ from . import kernels
 QUERY_BLOCK_BYTES = 128 * 1024 * 1024
 
 
-def _query_blocks(queries: DataFrame, d: int, key: str, vec: str, k: int | None = None):
-    """Yield (qids, matrix) blocks of at most QUERY_BLOCK_BYTES each, counting
+def _block(t, d: int, grouped: bool):
+    """(qids, matrix, spans) of a collected block; its queries ordered by group."""
+    qids, m = t.column("k").to_numpy(), kernels._matrix(t.column("v"), d)
+    if not grouped:
+        return qids, m, None
+    groups = t.column("g").to_pylist()
+    order = sorted(range(len(groups)), key=groups.__getitem__)
+    spans, at = {}, 0
+    for value, members in groupby(groups[i] for i in order):
+        n = sum(1 for _ in members)
+        spans[value] = (at, at + n)
+        at += n
+    return qids[order], m[order], spans
+
+
+def _query_blocks(queries: DataFrame, d: int, key: str, vec: str, k: int | None = None,
+                  group: str | None = None):
+    """Yield (qids, matrix, spans) blocks of at most QUERY_BLOCK_BYTES each, counting
     both the broadcast vectors (8 D bytes per query) and the running top-K state
-    a scoring task keeps per query (16 K bytes).
+    a scoring task keeps per query (16 K bytes). Queries without id, vector or
+    (if asked for) group are left out.
 
     One bounded collect (limit max + 1) serves the common case. A larger query
     side is written once to the shared folder and split by a hash of the key,
     each block collected and broadcast on its own (one scoring pass per block).
     """
     max_rows = max(1, QUERY_BLOCK_BYTES // (8 * d + 64 + 16 * (k or 0)))
-    sel = queries.select(F.col(key).cast("bigint").alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    cols = [F.col(key).cast(kernels.key_type(queries, key)).alias("k"), F.col(vec).cast("array<double>").alias("v")]
+    if group:
+        cols.append(F.col(group).cast("string").alias("g"))
+    sel = queries.select(*cols).dropna()
     t = sel.limit(max_rows + 1).toArrow()
     if t.num_rows <= max_rows:
         if t.num_rows:
-            yield t.column("k").to_numpy(), kernels._matrix(t.column("v"), d)
+            yield _block(t, d, group is not None)
         return
     from ..session import cut_lineage
     stored = cut_lineage(sel, "query-blocks")
-    yield from _split_blocks(stored, d, max_rows, 2 * math.ceil(stored.count() / max_rows), 0)
+    yield from _split_blocks(stored, d, max_rows, 2 * math.ceil(stored.count() / max_rows), 0, group is not None)
 
 
-def _split_blocks(part: DataFrame, d: int, max_rows: int, nb: int, seed: int):
+def _split_blocks(part: DataFrame, d: int, max_rows: int, nb: int, seed: int, grouped: bool):
     h = F.pmod(F.xxhash64(F.col("k"), F.lit(seed)), F.lit(nb))
     for b in range(nb):
         blk = part.where(h == b)
         t = blk.limit(max_rows + 1).toArrow()
         if t.num_rows > max_rows:          # an unlucky block: split it again
-            yield from _split_blocks(blk, d, max_rows, 2, seed + 1)
+            yield from _split_blocks(blk, d, max_rows, 2, seed + 1, grouped)
         elif t.num_rows:
-            yield t.column("k").to_numpy(), kernels._matrix(t.column("v"), d)
+            yield _block(t, d, grouped)
 
 
-def score_topk(queries: DataFrame, rows: DataFrame, k: int | None, d: int,
-               qkey: str = "qid", rkey: str = "docid", vec: str = "embedding") -> DataFrame:
+def score_topk(queries: DataFrame, rows: DataFrame, k: int | None, d: int, qkey: str = "qid",
+               rkey: str = "docid", vec: str = "embedding", group: str | None = None) -> DataFrame:
     """(qid, docid, score) before the final merge (local top-K per partition)."""
     outs = []
-    src = rows.select(F.col(rkey).alias("docid"), F.col(vec).alias("embedding"))
-    for qids, qm in _query_blocks(queries, d, qkey, vec, k):
-        outs.append(kernels.score_block(src, qids, qm, k, d))
+    src = rows.select(F.col(rkey).alias("docid"), F.col(vec).alias("embedding"),
+                      *([F.col(group).alias("_group")] if group else []))
+    for qids, qm, spans in _query_blocks(queries, d, qkey, vec, k, group):
+        outs.append(kernels.score_block(src, qids, qm, k, d, group_col="_group" if group else None, spans=spans))
     if not outs:
-        spark = rows.sparkSession
-        return spark.createDataFrame([], "qid bigint, docid bigint, score double")
+        return rows.sparkSession.createDataFrame(
+            [], f"qid {kernels.key_type(queries, qkey)}, docid {kernels.key_type(rows, rkey)}, score double")
     return reduce(DataFrame.unionByName, outs)
 
 
 def topk(queries: DataFrame, rows: DataFrame, k: int, d: int, qkey: str = "qid",
-         rkey: str = "docid", vec: str = "embedding") -> DataFrame:
+         rkey: str = "docid", vec: str = "embedding", group: str | None = None) -> DataFrame:
     """(qid, docid, rank, score): the k most similar rows per query.
 
-    Order: score (rounded to 9 decimals) desc, then docid asc.
+    Order: score (rounded to 9 decimals) desc, then docid asc. Ids are whole numbers
+    or strings. With ``group``, a column of both sides, a query meets only the rows of
+    its own group (e.g. its language); a null group meets nothing. Query ids are
+    unique over all groups.
     """
-    cand = score_topk(queries, rows, k, d, qkey, rkey, vec)
+    cand = score_topk(queries, rows, k, d, qkey, rkey, vec, group)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("docid"))
     return (cand.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)

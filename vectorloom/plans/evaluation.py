@@ -1,8 +1,8 @@
 """End-to-end evaluation plans: encode -> rank -> label -> metrics.
 
 Pooled mode ranks the judged queries against the pooled passages (top 10);
-full mode ranks them against the whole corpus (top 100). Both are one Spark
-plan per call; the group columns (e.g. lang, model) are carried through.
+full mode ranks them against the whole corpus (top 100). With group columns
+(e.g. lang) each query is ranked against the passages of its own group only.
 """
 
 from __future__ import annotations
@@ -17,16 +17,21 @@ from ..operators.text import encode, lexicon
 
 
 def encode_pair(model: EmbeddingModel, vocab: DataFrame, queries: DataFrame,
-                passages: DataFrame, vocab_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                passages: DataFrame, vocab_rows: int | None = None,
+                group_cols=()) -> tuple[DataFrame, DataFrame]:
     """Encode both sides with one lexicon. ``vocab_rows`` defaults to the model's
-    token count, the size ``build_vocab`` is asked for."""
+    token count, the size ``build_vocab`` is asked for. ``group_cols`` are kept with
+    the ids as one column ``group``, by which ``rank.topk`` ranks."""
     lx = lexicon(model, vocab)
     n = vocab_rows if vocab_rows is not None else model.tokens
-    q = encode(queries.select(F.col("qid").alias("text_id"), "text"), model, vocab, lex=lx, vocab_rows=n) \
-        .withColumnRenamed("text_id", "qid")
-    p = encode(passages.select(F.col("docid").alias("text_id"), "text"), model, vocab, lex=lx, vocab_rows=n) \
-        .withColumnRenamed("text_id", "docid")
-    return q, p
+    group = F.to_json(F.struct(*group_cols)) if group_cols else F.lit(None).cast("string")
+
+    def side(texts: DataFrame, key: str) -> DataFrame:
+        keyed = texts.select(F.struct(F.col(key), group.alias("group")).alias("text_id"), "text")
+        e = encode(keyed, model, vocab, lex=lx, vocab_rows=n)
+        return e.select(f"text_id.{key}", *(["text_id.group"] if group_cols else []), "embedding")
+
+    return side(queries, "qid"), side(passages, "docid")
 
 
 def eval_pooled(model: EmbeddingModel, vocab: DataFrame, topics: DataFrame,
@@ -34,8 +39,8 @@ def eval_pooled(model: EmbeddingModel, vocab: DataFrame, topics: DataFrame,
     """nDCG@10, recall@10, recall@3, num_queries, skipped over the pooled set."""
     jq = M.judged_queries(topics, j)
     pooled = M.pool(passages, j)
-    q, p = encode_pair(model, vocab, jq, pooled)
-    ranked = R.topk(q, p, k, model.dim)
+    q, p = encode_pair(model, vocab, jq, pooled, group_cols=group_cols)
+    ranked = R.topk(q, p, k, model.dim, group="group" if group_cols else None)
     scores = M.query_scores(topics, ranked, j, ks_ndcg=(10,), ks_recall=(10, 3),
                             group_cols=group_cols)
     return M.summarise(scores, group_cols, ks_ndcg=(10,), ks_recall=(10, 3))
@@ -45,8 +50,8 @@ def eval_full(model: EmbeddingModel, vocab: DataFrame, topics: DataFrame,
               passages: DataFrame, j: M.Judgments, group_cols=(), k: int = 100) -> DataFrame:
     """nDCG@10, recall@100, num_queries, total_passages, skipped over the full corpus."""
     jq = M.judged_queries(topics, j)
-    q, p = encode_pair(model, vocab, jq, passages)
-    ranked = R.topk(q, p, k, model.dim)
+    q, p = encode_pair(model, vocab, jq, passages, group_cols=group_cols)
+    ranked = R.topk(q, p, k, model.dim, group="group" if group_cols else None)
     scores = M.query_scores(topics, ranked, j, ks_ndcg=(10,), ks_recall=(k,),
                             group_cols=group_cols)
     s = M.summarise(scores, group_cols, ks_ndcg=(10,), ks_recall=(k,))

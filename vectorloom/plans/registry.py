@@ -711,7 +711,7 @@ def _sql_eval_pooled_lang():
                   "(SELECT 1 FROM documents q WHERE q.doc_id % 7 = 0 AND q.lang = p.lang AND q.source = p.source)")
     q = s.encode("SELECT * FROM jq", w, "qe")
     p = s.encode("SELECT * FROM pool", w, "pe")
-    r = s.ranked(s.scores(q, p, "sc"), 10, "rk")
+    r = s.ranked(s.scores(q, p, "sc", same_lang=True), 10, "rk")
     pq = s.metrics(r, O.LABELS_B, "SELECT * FROM jb", (10,), (10, 3), "pq", group="lang")
     return s.build(s.summary(pq, (10,), (10, 3), group="lang"))
 
@@ -744,7 +744,7 @@ def _sql_eval_full_lang():
     s.add("jq", f"SELECT text_id, text FROM ({O.TOPICS_B}) WHERE text_id IN (SELECT qid FROM jb)")
     q = s.encode("SELECT * FROM jq", w, "qe")
     p = s.encode(O.PASSAGES_B, w, "pe")
-    r = s.ranked(s.scores(q, p, "sc"), 100, "rk")
+    r = s.ranked(s.scores(q, p, "sc", same_lang=True), 100, "rk")
     pq = s.metrics(r, O.LABELS_B, "SELECT * FROM jb", (10,), (100,), "pq", group="lang")
     return s.build("SELECT m.*, t.total_passages FROM (" + s.summary(pq, (10,), (100,), group="lang")
                    + ") m LEFT JOIN (SELECT lang, count(*)::BIGINT AS total_passages FROM documents "

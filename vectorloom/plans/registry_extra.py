@@ -188,7 +188,7 @@ def _sql_eval_empty():
     s.add("jq", f"SELECT text_id, text FROM ({O.TOPICS_B}) WHERE text_id IN (SELECT qid FROM jb)")
     q = s.encode("SELECT * FROM jq", w, "qe")
     p = s.encode(O.PASSAGES_B, w, "pe")
-    r = s.ranked(s.scores(q, p, "sc"), 10, "rk")
+    r = s.ranked(s.scores(q, p, "sc", same_lang=True), 10, "rk")
     pq = s.metrics(r, O.LABELS_B, "SELECT * FROM jb", (10,), (10,), "pq", group="lang")
     summ = s.summary(pq, (10,), (10,), group="lang")
     return s.build(f"SELECT l.lang, coalesce(m.ndcg_10, 0.0) AS ndcg_10, coalesce(m.recall_10, 0.0) AS recall_10, "
@@ -205,8 +205,8 @@ def q_eval_empty(spark, sf):
     j = M.Judgments(query_keys=j.query_keys.where(F.col("lang") == "en"), doc_keys=j.doc_keys, keys=j.keys)
     from . import evaluation as E
     from ..operators import rank as R
-    q, p = E.encode_pair(m, v, M.judged_queries(topics, j), T.passages_b(spark, sf))
-    scores = M.query_scores(topics, R.topk(q, p, 10, m.dim), j, (10,), (10,), group_cols=("lang",))
+    q, p = E.encode_pair(m, v, M.judged_queries(topics, j), T.passages_b(spark, sf), group_cols=("lang",))
+    scores = M.query_scores(topics, R.topk(q, p, 10, m.dim, group="group"), j, (10,), (10,), group_cols=("lang",))
     langs = T.table(spark, sf, "documents").select("lang").distinct()
     return M.summarise(scores, ("lang",), (10,), (10,), groups=langs)
 
@@ -233,6 +233,7 @@ def q_register_step(spark, sf):
 # recipes scaled to the 64-wide test table (pca 16, k 32, m 8 k 16)
 SCALED = {
     "int8": P.RECIPES["int8"], "int4": P.RECIPES["int4"], "turbo-lloyd-1": P.RECIPES["turbo-lloyd-1"],
+    "pca-16d": [("pca", {"dim": 16})],
     "pca-16d_int4": [("pca", {"dim": 16}), ("quantize", {"bits": 4, "method": "uniform"})],
     "cluster-k32_int8": [("cluster_global", {"k": 32, "iters": 5}), ("quantize", {"bits": 8, "method": "uniform"})],
     "pq-m8-k16": [("pq", {"num_subvectors": 8, "centroids_per_sub": 16, "iters": 5})],
@@ -247,6 +248,7 @@ def _sql_compress_all():
         ("int8", "embeddings_int8", n, f"({e} * 8 + 7) // 8 + 4 * {n}"),
         ("int4", "embeddings_int4", n, f"({e} * 4 + 7) // 8 + 4 * {n}"),
         ("turbo-lloyd-1", "embeddings_turbo-lloyd-1", n, f"({e} + 7) // 8 + 4 * {n}"),
+        ("pca-16d", "embeddings_pca-16d", n, f"{n} * 16 * 4"),
         ("pca-16d_int4", "embeddings_pca-16d_int4", n, f"({n} * 16 * 4 + 7) // 8 + 4 * {n}"),
         ("cluster-k32_int8", "embeddings_cluster-k32_int8", "32", "(32 * 64 * 8 + 7) // 8 + 4 * 32"),
         ("pq-m8-k16", "embeddings_pq-m8-k16", n, f"{n} * 8 + 4 * 8 * 16 * 8"),

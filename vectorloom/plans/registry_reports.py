@@ -275,7 +275,7 @@ def _pooled_lang_sql(r: str) -> str:
                   "(SELECT 1 FROM documents q WHERE q.doc_id % 7 = 0 AND q.lang = p.lang AND q.source = p.source)")
     q = s.encode("SELECT * FROM jq", w, "qe")
     p = s.encode("SELECT * FROM pool", w, "pe")
-    rk = s.ranked(s.scores(q, p, "sc"), 10, "rk")
+    rk = s.ranked(s.scores(q, p, "sc", same_lang=True), 10, "rk")
     pq = s.metrics(rk, O.LABELS_B, "SELECT * FROM jb", (10,), (10, 3), "pq", group="lang")
     return s.build(s.summary(pq, (10,), (10, 3), group="lang"))
 

@@ -33,7 +33,8 @@ def write_stream_corpus(spark, sf, shards: int | None = None) -> str:
 
 
 def _stream(spark, sf):
-    return S.stream_corpus(spark, write_stream_corpus(spark, sf), glob=STREAM_GLOB, files_per_batch=2)
+    return S.stream_corpus(spark, write_stream_corpus(spark, sf), glob=STREAM_GLOB, files_per_batch=2,
+                           id_type="bigint")
 
 
 @register("stream_corpus", "SELECT text_id AS docid, text FROM (" + O.PASSAGES_B + ")")
