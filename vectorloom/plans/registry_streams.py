@@ -53,24 +53,25 @@ def q_stream_encode(spark, sf):
     return V.long_form(enc.withColumnRenamed("docid", "text_id"), "text_id", "embedding")
 
 
-def _stream_topk(spark, sf, k=100):
+def _stream_topk(spark, sf, state, k=100):
     m, v = _model_and_vocab(spark, sf)
     q = encode(T.topics_b(spark, sf).select(F.col("qid").alias("text_id"), "text"), m, v) \
         .withColumnRenamed("text_id", "qid")
-    return S.stream_topk(_stream(spark, sf), q, m, v, k, scratch_path(spark, "stream-state"),
+    return S.stream_topk(_stream(spark, sf), q, m, v, k, state,
                          scratch_path(spark, "ckpt-topk"))
 
 
 @register("stream_topk", _sql_topk_full)
 def q_stream_topk(spark, sf):
-    top, _ = _stream_topk(spark, sf)
+    top, _ = _stream_topk(spark, sf, scratch_path(spark, "stream-state"))
     return _ranked_out(top)
 
 
 @register("stream_progress")
 def q_stream_progress(spark, sf):
-    _, q = _stream_topk(spark, sf, k=10)
-    return S.progress_rows(spark, q)
+    state = scratch_path(spark, "stream-state")
+    _stream_topk(spark, sf, state, k=10)
+    return S.progress_rows(spark, state)
 
 
 @register("stream_quantize", _sql_turbo(2))

@@ -5,7 +5,7 @@
   topics A      benchmark  -> (qid, text); qrels A = documents containing it
   topics B      documents with doc_id % 7 = 0 -> (qid, text, lang, source);
                 passages B = the rest; rel = same lang and source (a rule)
-  vector set    embeddings vec_id < 50 as queries, the rest as rows; rel = same label
+  vector set    embeddings vec_id % 10 = 0 as queries, the rest as rows; rel = same label
   pairs         consecutive vec_ids (2i, 2i+1); gold = same label
 """
 
@@ -20,7 +20,7 @@ from ..operators.tables import EmbeddingModel, dense_model
 
 RUN_PATTERN = r"[\p{L}\p{N}]+"
 QUERY_MOD = 7
-VECTOR_QUERIES = 50
+VECTOR_QUERY_MOD = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,25 +84,33 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key:
                       text: str = "text", span: int = 4) -> DataFrame:
     """(doc_key, item_key) where the document text contains the item text.
 
-    Candidates come from an equi-join on hashed word-run shingles, and each
-    candidate is then verified with ``instr``. An item's *interior* shingles
-    (``span`` runs, never its first or last run) are delimited by the item's own
-    characters, so every occurrence of the item reproduces each of them as whole
-    runs of the document. Each item is anchored on its rarest interior shingle
-    (lowest document frequency), so a phrase repeated across the corpus never
-    becomes a hot join key. Items with fewer than span + 2 runs use all their
-    runs as the one anchor (such occurrences start and end on run boundaries).
+    An item's *interior* runs (all but its first and last) are delimited by the
+    item's own characters, so every occurrence of the item reproduces them as
+    whole runs of the document. Items with interior runs are met by an equi-join
+    on hashed shingles of ``span`` of them (of all, where there are fewer) and
+    verified with ``instr``. Each item is anchored on its rarest shingle (lowest
+    document frequency), so a phrase repeated across the corpus never becomes a
+    hot join key. Items without interior runs (at most two runs, or none) may
+    begin and end inside longer runs: they are searched in every document by
+    ``_scan_pairs``. A null text contains and is contained in nothing; an empty
+    item is contained in every text.
     """
     sep = "\u0001"
     runs = lambda c: F.regexp_extract_all(F.col(c), F.lit(RUN_PATTERN), 0)
-    it = items.select(F.col(item_key).alias("_item"), F.col(text).alias("_itext"), runs(text).alias("_w"))
+    it = items.where(F.col(text).isNotNull()).select(
+        F.col(item_key).alias("_item"), F.col(text).alias("_itext"), runs(text).alias("_w"))
     n = F.size("_w")
-    long_it = it.where(n >= span + 2).select("_item", F.lit(span).alias("_alen"), F.explode(
-        _shingles(F.col("_w"), span, 2, 1, sep)).alias("_a"))
-    short_it = it.where((n > 0) & (n < span + 2)).select(
-        "_item", n.alias("_alen"), F.xxhash64(F.array_join("_w", sep)).alias("_a"))
-    item_sh = long_it.unionByName(short_it)
-    sizes = sorted(r[0] for r in item_sh.select("_alen").distinct().collect())   # <= span + 2 values
+    item_sh = None
+    for L in range(1, span + 1):
+        own = it.where(n >= span + 2 if L == span else n == L + 2)
+        part = own.select("_item", F.lit(L).alias("_alen"), F.explode(
+            _shingles(F.col("_w"), L, 2, 1, sep)).alias("_a"))
+        item_sh = part if item_sh is None else item_sh.unionByName(part)
+    sizes = sorted(r[0] for r in item_sh.select("_alen").distinct().collect())   # <= span values
+    scanned = _scan_pairs(docs.select(F.col(doc_key).alias("_doc"), F.col(text).alias("_dtext")),
+                          it.where(n < 3).select("_item", "_itext"))
+    if not sizes:
+        return scanned.select(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key))
     dw = docs.select(F.col(doc_key).alias("_doc"), runs(text).alias("_w"))
     doc_sh = None
     for L in sizes:
@@ -117,8 +125,57 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str, item_key:
     cand = hits.join(best, ["_alen", "_a"]).select("_doc", "_item").distinct()
     dtext = docs.select(F.col(doc_key).alias("_doc"), F.col(text).alias("_dtext"))
     ver = cand.join(dtext, "_doc").join(it.select("_item", "_itext"), "_item") \
-              .where(F.instr(F.col("_dtext"), F.col("_itext")) > 0)
-    return ver.select(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key))
+              .where(F.instr(F.col("_dtext"), F.col("_itext")) > 0).select("_doc", "_item")
+    return ver.unionByName(scanned).select(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key))
+
+
+def _scan_pairs(docs: DataFrame, items: DataFrame, block_chars: int = 1 << 20) -> DataFrame:
+    """(_doc, _item) for items (_item, _itext) found anywhere in documents (_doc, _dtext).
+
+    A stated query set against all rows: the items go out in blocks of at most
+    ``block_chars`` characters (a longer item is a block of its own), and every
+    block is one narrow pass of a string automaton over the documents.
+    """
+    out_type = f"_doc {docs.schema['_doc'].dataType.simpleString()}, " \
+               f"_item {items.schema['_item'].dataType.simpleString()}"
+    blocks, size = [], block_chars
+    for item, words in items.toLocalIterator():
+        if size + len(words) > block_chars:
+            blocks.append({})
+            size = 0
+        blocks[-1].setdefault(words, []).append(item)
+        size += len(words)
+    out = docs.sparkSession.createDataFrame([], out_type)
+    for block in blocks:
+        held = docs.sparkSession.sparkContext.broadcast(block)      # at most block_chars characters
+
+        def scan(batches, held=held):
+            import ahocorasick
+            import pyarrow as pa
+
+            names, machine = held.value, ahocorasick.Automaton()
+            for word in names:
+                if word:
+                    machine.add_word(word, word)
+            machine.make_automaton()
+            for b in batches:
+                rows, found = [], []
+                for i, words in enumerate(b.column(1)):
+                    words = words.as_py()
+                    if words is not None:
+                        hits = {w for _, w in machine.iter(words)} if len(machine) else set()
+                        hits |= {""} & names.keys()
+                        for w in hits:
+                            found.extend(names[w])
+                            rows.extend([i] * len(names[w]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, item_type)],
+                    names=["_doc", "_item"])
+
+        from pyspark.sql.pandas.types import to_arrow_type
+        item_type = to_arrow_type(items.schema["_item"].dataType)
+        out = out.unionByName(docs.select("_doc", "_dtext").mapInArrow(scan, out_type))
+    return out
 
 
 def qrels_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,13 +213,13 @@ def judgments_b(spark: SparkSession, sf_dir: str) -> Judgments:
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < VECTOR_QUERIES).select(
+    return e.where(F.col("vec_id") % VECTOR_QUERY_MOD == 0).select(
         F.col("vec_id").alias("qid"), V.as_double_array("embedding").alias("embedding"), "label")
 
 
 def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") >= VECTOR_QUERIES).select(
+    return e.where(F.col("vec_id") % VECTOR_QUERY_MOD != 0).select(
         F.col("vec_id").alias("docid"), V.as_double_array("embedding").alias("embedding"), "label")
 
 
