@@ -253,6 +253,37 @@ def test_decontamination(spark, docs, empty):
     assert decontam.overlaps(empty, it).collect() == [] and decontam.overlaps(df, it.limit(0)).collect() == []
 
 
+def edited_copies(text, rng):
+    words = text.split()
+    for step in (3, 4, 6, 8):
+        yield " ".join(f"z{rng.randrange(10**6)}" if k % step == step - 1 else w for k, w in enumerate(words))
+        yield " ".join(w for k, w in enumerate(words) if k % step != step - 1)
+    yield " ".join(f"{w} z{rng.randrange(10**6)}" for w in words)
+
+
+def test_decontamination_finds_every_edited_copy(spark):
+    """As many pairs, with the same scores, as an alignment of every document with every item."""
+    rng = random.Random(12)
+    lex = [f"v{int(300 * rng.random() ** 3)}" for _ in range(3000)]        # a few words are frequent
+    items = [(i, prose(rng, 16 + 4 * i, lex)) for i in range(10)] + [(50, "v0 v1 v2 v0 v1"), (51, "v0 v299")]
+    copies = [c for _, t in items[:10] for c in edited_copies(t, rng)]
+    data = [(i, prose(rng, rng.randrange(40), lex) + " " + c + " " + prose(rng, rng.randrange(40), lex)) for i, c in enumerate(copies)]
+    data += [(1000 + i, prose(rng, 300, lex)) for i in range(30)] + [(2000, " ".join(copies))]
+    code = {}
+    coded = lambda t: np.asarray([code.setdefault(w, len(code)) for w in t.split()], np.uint64)      # noqa: E731
+    want = {}
+    for i, t in items[:-1]:
+        for d, text in data:
+            score = decontam.align(coded(t), coded(text)) / (2 * len(t.split()))
+            if score >= 0.5:
+                want[d, i] = score
+    want |= {(d, 51): 1.0 for d, text in data if "v0 v299" in f"{text} " and " v0 v299 " in f" {text} "}
+    found = decontam.overlaps(spark.createDataFrame(data, "doc_id bigint, text string"),
+                              spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == want
+    assert all((9 * i + k, i) in want for i in range(10) for k in range(9))
+
+
 def test_smith_waterman_is_exact():
     rng = random.Random(6)
     for _ in range(30):

@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are lower-cased runs of ASCII letters and digits and non-ASCII characters. The
-items' word n-grams are seeds; a pass over all documents counts in how many each occurs.
-Of every ``window`` consecutive seeds of an item the rarest is kept, so any copied
-stretch of ``window + n - 1`` words still holds one, and frequent phrases are kept only
-where an item has nothing rarer. A second pass meets each document's n-grams with the
-kept seeds and aligns the words around each hit with the item (Smith-Waterman, word by
-word), which also scores paraphrased and edited copies. Items are a stated query set: they
-are met with all documents in blocks of bounded size, each broadcast, so no document is
-shuffled and a document that many items hit costs time, not memory.
+"""Benchmark decontamination: rare word seeds that stand close together, then Smith-Waterman alignment.
+
+Words are lower-cased runs of ASCII letters and digits and non-ASCII characters. A pass
+over all documents counts in how many each word of the items occurs. A score of
+``min_score`` needs ``least`` = ceil(min_score x size) of an item's words to match, in a
+passage of at most (3 - 2 min_score) x size words; so of the item's size - least + c
+rarest words, c at least match there, whatever was changed, left out or put in between.
+These are the item's seeds: a second pass looks in each document for c seeds of an item
+within a passage's length and aligns the words around them with the item (Smith-Waterman,
+word by word). No pair from ``min_score`` up is missed, and an item's most frequent words
+are never looked up. Items are a stated query set: they are met with all documents in
+blocks of bounded size, each broadcast, so no document is shuffled and a document that
+many items hit costs time, not memory.
 """
 
 from __future__ import annotations
@@ -27,61 +29,81 @@ from . import tokens as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+MAX_HITS = 1 << 20         # seeds met at a time, or those of one document
 
 
 class Items:
     """A block of benchmark items as word hashes, with their seeds in hash order."""
 
-    def __init__(self, ids: list, texts: list[str], n: int) -> None:
-        self.ids, self.n = ids, n
+    def __init__(self, ids: list, texts: list[str], n: int, min_score: float) -> None:
+        self.ids = ids
         buf, offs = T.text_bytes(pa.array(texts, pa.string()))
         words, owner, _ = words_of(T.Hasher(), buf, offs)
         cut = T.bounds(owner, len(ids))
         self.words = [words[cut[i]:cut[i + 1]] for i in range(len(ids))]
-        hashes, item, at = [], [], []
+        self.size = np.diff(cut)
+        self.score = np.where(self.size < n, 1.0, min_score)       # a shorter item counts as a whole
+        self.least = np.maximum(1, np.ceil(self.score * self.size - 1e-9).astype(np.int64))
+        self.together = np.maximum(1, self.least // 4)
+        self.reach = np.maximum(self.size, np.floor((3 - 2 * self.score) * self.size + 1e-9).astype(np.int64))
+        self.seed(np.unique(words), np.zeros(0, np.int64))
+
+    def seed(self, hashes: np.ndarray, item: np.ndarray) -> None:
+        self.hash, self.item = hashes, item
+
+    def keep_rarest(self, spread: dict[int, int]) -> None:
+        """Keeps each item's rarest words, so many that any passage of its score has ``together`` of them."""
+        hashes, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(self.words):
-            m = min(n, len(w))              # an item shorter than a seed is one seed
-            h, pos = T.ngrams(w, np.zeros(len(w), np.int64), m) if m else (w, np.zeros(0, np.int64))
-            hashes.append(h)
-            item.append(np.full(len(h), i))
-            at.append(pos)
-        self.hash, self.item, self.at = (np.concatenate(x) if x else np.zeros(0, np.int64)
-                                         for x in (hashes, item, at))
-        self.sort()
-
-    def sort(self) -> None:
-        order = np.lexsort((self.at, self.item, self.hash))
-        self.hash, self.item, self.at = self.hash[order], self.item[order], self.at[order]
-        self.lengths = sorted({min(self.n, len(w)) for w in self.words if len(w)})
-
-    def keep_rarest(self, spread: dict[int, int], window: int) -> None:
-        """Keeps the rarest of every ``window`` consecutive seeds of an item (the first on a tie)."""
-        df = np.asarray([spread.get(h, 0) for h in self.hash.view(np.int64).tolist()], np.int64)
-        kept = np.zeros(len(self.hash), dtype=bool)
-        by_item = np.lexsort((self.at, self.item))
-        for i in range(len(self.ids)):
-            own = by_item[np.searchsorted(self.item[by_item], i):np.searchsorted(self.item[by_item], i, "right")]
-            for k in range(max(1, len(own) - window + 1) if len(own) else 0):
-                part = own[k:k + window]
-                kept[part[int(np.argmin(df[part]))]] = True
-        self.hash, self.item, self.at = self.hash[kept], self.item[kept], self.at[kept]
-        self.sort()
-
-    def hits(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word position, and the range of seeds (first, end) with the n-gram that begins there."""
-        at, lo, hi = [], [], []
-        for m in self.lengths:
-            h, pos = T.ngrams(words, owner, m)
-            a = np.searchsorted(self.hash, h, side="left")
-            b = np.searchsorted(self.hash, h, side="right")
-            found = np.flatnonzero(b > a)
-            at.append(pos[found])
-            lo.append(a[found])
-            hi.append(b[found])
-        if not at:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        return np.concatenate(at), np.concatenate(lo), np.concatenate(hi)
+            df = np.asarray([spread.get(h, 0) for h in w.view(np.int64).tolist()], np.int64)
+            most = len(w) - int(self.least[i]) + int(self.together[i])
+            rare = np.lexsort((w, df))[:most]
+            own = np.unique(w[rare[df[rare] > 0]])         # a word of no document counts, but hits nothing
+            if self.least[i] <= (df > 0).sum():
+                hashes.append(own)
+                item.append(np.full(len(own), i))
+        every, items = np.concatenate(hashes), np.concatenate(item)
+        order = np.lexsort((items, every))
+        self.seed(every[order], items[order])
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of words that are seeds, and each one's range of seeds (first, end)."""
+        lo = np.searchsorted(self.hash, words, side="left")
+        at = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == words) if len(self.hash) else lo[:0]
+        return at, lo[at], np.searchsorted(self.hash, words[at], side="right")
+
+    def passages(self, words: np.ndarray, owner: np.ndarray, n_docs: int) -> Iterator[tuple[int, int, int, int]]:
+        """doc, item, first word, end: every passage that can reach the item's score is within one."""
+        at, lo, hi = self.hits(words)
+        many = np.concatenate([[0], np.cumsum(hi - lo)])
+        cut = T.bounds(owner, n_docs)
+        edge = many[T.bounds(owner[at], n_docs)]           # hits before each document
+        first = 0
+        while first < n_docs:
+            end = max(first + 1, int(np.searchsorted(edge, edge[first] + MAX_HITS, side="right")) - 1)
+            a, z = np.searchsorted(at, [cut[first], cut[end]])
+            yield from self._together(owner, cut, at[a:z], lo[a:z], hi[a:z])
+            first = end
+
+    def _together(self, owner, cut, at, lo, hi) -> Iterator[tuple[int, int, int, int]]:
+        n = hi - lo
+        place = np.repeat(at, n)
+        item = self.item[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        key = owner[place] * len(self.ids) + item
+        order = np.argsort(key, kind="stable")             # by document, item, place
+        key, item, place = key[order], item[order], place[order]
+        last = np.arange(len(key)) + self.together[item] - 1
+        k = np.flatnonzero(last < len(key))
+        k = k[(key[last[k]] == key[k]) & (place[last[k]] - place[k] < self.reach[item[k]])]
+        doc, item = owner[place[k]], item[k]
+        begin = np.maximum(cut[doc], place[last[k]] - self.reach[item] + 1)
+        end = np.minimum(cut[doc + 1], place[k] + self.reach[item])
+        # passages of one document and item that overlap become one; begin and end ascend within a key
+        new = np.ones(len(k), dtype=bool)
+        new[1:] = (key[k][1:] != key[k][:-1]) | (begin[1:] > end[:-1])
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], len(k))[:len(start)] - 1
+        yield from zip(doc[start].tolist(), item[start].tolist(), begin[start].tolist(), end[stop].tolist())
 
 
 def words_of(hasher: T.Hasher, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,23 +130,24 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
-def item_blocks(items: DataFrame, n: int, id_col: str, text_col: str, block_chars: int) -> Iterator[Items]:
+def item_blocks(items: DataFrame, n: int, min_score: float, id_col: str, text_col: str,
+                block_chars: int) -> Iterator[Items]:
     """The items in blocks of at most ``block_chars`` characters (or one item), by id."""
     ids, texts, size = [], [], 0
     for row in items.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
         text = row[1] or ""
         if ids and size + len(text) > block_chars:
-            yield Items(ids, texts, n)
+            yield Items(ids, texts, n, min_score)
             ids, texts, size = [], [], 0
         ids.append(row[0])
         texts.append(text)
         size += len(text)
     if ids:
-        yield Items(ids, texts, n)
+        yield Items(ids, texts, n, min_score)
 
 
 def _spread(docs: DataFrame, block: Items, text_col: str) -> dict[int, int]:
-    """In how many documents each seed of the block occurs; at most a row per seed."""
+    """In how many documents each word of the block occurs; at most a row per word."""
     shared = T.share(docs.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +156,7 @@ def _spread(docs: DataFrame, block: Items, text_col: str) -> dict[int, int]:
         for b in batches:
             for _, _, part, offs in T.chunks(*T.text_bytes(b.column(0))):
                 words, owner, _ = words_of(hasher, part, offs)
-                at, lo, _ = own.hits(words, owner)
+                at, lo, _ = own.hits(words)
                 pairs = np.unique(np.stack([owner[at], lo]), axis=1)
                 total += np.bincount(pairs[1], minlength=len(total))
         used = np.flatnonzero(total)
@@ -144,15 +167,15 @@ def _spread(docs: DataFrame, block: Items, text_col: str) -> dict[int, int]:
     return dict(map(tuple, rows))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, n: int = 4, window: int = 6, min_score: float = 0.5,
+def overlaps(docs: DataFrame, items: DataFrame, n: int = 4, min_score: float = 0.5,
              id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
              item_text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, score: the documents' best alignment with each item, from ``min_score`` up.
 
     score is the Smith-Waterman score over the item's own (1: the whole item, word for
-    word). Only items that share a kept seed with the document are aligned. A document
-    repeats an item as a whole or in an edited form from about 0.5; a passage is aligned within the item's
-    length to both sides of the hit. Null or empty texts on either side, and texts
+    word). Every pair of at least ``min_score`` is found, so a document that repeats an item
+    as a whole or in an edited form from about 0.5. Items of fewer than ``n`` words count
+    only as a whole. Null or empty texts on either side, and texts
     without words, overlap with nothing. Repeated rows give repeated results. Without
     documents or items the result is empty.
     """
@@ -161,14 +184,14 @@ def overlaps(docs: DataFrame, items: DataFrame, n: int = 4, window: int = 6, min
     types = (rows.schema["doc_id"].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString())
     schema = f"doc_id {types[0]}, item_id {types[1]}, score double"
     out = spark.createDataFrame([], schema)
-    for block in item_blocks(items, n, item_id_col, item_text_col, block_chars):
+    for block in item_blocks(items, n, min_score, item_id_col, item_text_col, block_chars):
         if len(block.hash):
-            block.keep_rarest(_spread(rows, block, "text"), window)
-            out = out.union(rows.mapInArrow(_aligner(spark, block, min_score, items.schema[item_id_col]), schema))
+            block.keep_rarest(_spread(rows, block, "text"))
+            out = out.union(rows.mapInArrow(_aligner(spark, block, items.schema[item_id_col]), schema))
     return out
 
 
-def _aligner(spark, block: Items, min_score: float, id_field):
+def _aligner(spark, block: Items, id_field):
     shared = T.share(spark, block)       # at most block_chars characters
     item_type = pa.int64() if id_field.dataType.simpleString() == "bigint" else None
 
@@ -179,28 +202,19 @@ def _aligner(spark, block: Items, min_score: float, id_field):
             docs, found, scores = [], [], []
             for lo_doc, hi_doc, part, offs in T.chunks(*T.text_bytes(b.column(1))):
                 words, owner, _ = words_of(hasher, part, offs)
-                cut = T.bounds(owner, hi_doc - lo_doc)
-                at, lo, hi = own.hits(words, owner)
                 best: dict[tuple[int, int], float] = {}
-                tried = set()
-                for p, a, z in zip(at.tolist(), lo.tolist(), hi.tolist()):
-                    doc = int(owner[p])
-                    for k in range(a, z):
-                        i, start = int(own.item[k]), p - int(own.at[k])
-                        size = len(own.words[i])
-                        if (doc, i, start // max(4, size // 4)) in tried:       # about the same passage
-                            continue
-                        tried.add((doc, i, start // max(4, size // 4)))
-                        slack = size // 2 + 4
-                        passage = words[max(int(cut[doc]), start - slack):min(int(cut[doc + 1]), start + size + slack)]
-                        key = (i, passage.tobytes())
-                        if (score := known.get(key)) is None:
-                            score = align(own.words[i], passage) / (MATCH * size)
-                            if len(known) < 20_000:
-                                known[key] = score
-                        best[doc, i] = max(best.get((doc, i), 0.0), score)
+                for doc, i, first, end in own.passages(words, owner, hi_doc - lo_doc):
+                    passage = words[first:end]
+                    if np.isin(passage, own.words[i]).sum() < own.least[i]:
+                        continue
+                    key = (i, passage.tobytes())
+                    if (score := known.get(key)) is None:
+                        score = align(own.words[i], passage) / (MATCH * len(own.words[i]))
+                        if len(known) < 20_000:
+                            known[key] = score
+                    best[doc, i] = max(best.get((doc, i), 0.0), score)
                 for (doc, i), score in best.items():
-                    if score >= min_score:
+                    if score >= own.score[i]:
                         docs.append(lo_doc + doc)
                         found.append(own.ids[i])
                         scores.append(score)
