@@ -48,6 +48,14 @@ class Items:
         self.reach = np.maximum(self.size, np.floor((3 - 2 * self.score) * self.size + 1e-9).astype(np.int64))
         self.seed(np.unique(words), np.zeros(0, np.int64))
 
+        self.distinct = [np.unique(w, return_counts=True) for w in self.words]
+
+    def in_common(self, i: int, passage: np.ndarray) -> int:
+        """How many of the item's words the passage has, in any order."""
+        words, most = self.distinct[i]
+        at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        return int(np.minimum(np.bincount(at[words[at] == passage], minlength=len(words)), most).sum())
+
     def seed(self, hashes: np.ndarray, item: np.ndarray) -> None:
         self.hash, self.item = hashes, item
 
@@ -118,15 +126,23 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     m = len(passage)
     if not m or not len(item):
         return 0
-    step = np.arange(m + 1) * -GAP
-    prev, best = np.zeros(m + 1, np.int64), 0
-    for w in item:
-        cur = np.zeros(m + 1, np.int64)
-        cur[1:] = np.maximum(prev[:-1] + np.where(passage == w, MATCH, MISMATCH), prev[1:] + GAP)
-        np.maximum(cur, 0, out=cur)
-        cur = np.maximum.accumulate(cur + step) - step       # gaps in the item's direction
-        best = max(best, int(cur.max()))
-        prev = cur
+    # rows of score + row + column - in these sums gaps cost nothing - a few at a time
+    rows, best = max(1, (1 << 20) // m), 0
+    least = np.arange(m + 1)                     # the sum at score 0
+    prev = least.copy()
+    for k in range(0, len(item), rows):
+        block = np.empty((len(item[k:k + rows]), m + 1), np.int64)
+        block[:, 0] = np.arange(k + 1, k + 1 + len(block))
+        block[:, 1:] = np.where(item[k:k + rows, None] == passage, MATCH - 2 * GAP, MISMATCH - 2 * GAP)
+        for cur in block:
+            least += 1
+            row = cur[1:]
+            row += prev[:-1]
+            np.maximum(row, prev[1:], out=row)
+            np.maximum(row, least[1:], out=row)
+            np.maximum.accumulate(row, out=row)
+            prev = cur
+        best = max(best, int((block - block[:, :1] - np.arange(m + 1)).max()))
     return best
 
 
@@ -157,8 +173,8 @@ def _spread(docs: DataFrame, block: Items, text_col: str) -> dict[int, int]:
             for _, _, part, offs in T.chunks(*T.text_bytes(b.column(0))):
                 words, owner, _ = words_of(hasher, part, offs)
                 at, lo, _ = own.hits(words)
-                pairs = np.unique(np.stack([owner[at], lo]), axis=1)
-                total += np.bincount(pairs[1], minlength=len(total))
+                pairs = np.unique(owner[at] * len(total) + lo)
+                total += np.bincount(pairs % len(total), minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own.hash[used].view(np.int64)), pa.array(total[used])],
                                          names=["seed", "n"])
@@ -205,7 +221,7 @@ def _aligner(spark, block: Items, id_field):
                 best: dict[tuple[int, int], float] = {}
                 for doc, i, first, end in own.passages(words, owner, hi_doc - lo_doc):
                     passage = words[first:end]
-                    if np.isin(passage, own.words[i]).sum() < own.least[i]:
+                    if own.in_common(i, passage) < own.least[i]:
                         continue
                     key = (i, passage.tobytes())
                     if (score := known.get(key)) is None:
