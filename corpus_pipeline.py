@@ -6,7 +6,8 @@ the last return the columns of ``documents``:
 
 1. language identification drops documents of no recognisable language;
 2. line deduplication deletes later repeats of line runs, and documents left without a line;
-3. the Jaccard join keeps the document of least id of each group of near duplicates;
+3. the Jaccard join keeps the document of least id of each group of near duplicates
+   (five-word shingles, Jaccard 0.8 and more);
 4. decontamination drops documents that overlap a benchmark item;
 5. packing returns the pieces of all documents left, with their places in the sequences.
 
@@ -23,6 +24,7 @@ from vectorloom.llm import decontam, jaccard_join, language_id, line_dedup, pack
 from vectorloom.session import cut_lineage
 
 MIN_LANGUAGE_SCORE = 0.25
+NEAR_WORDS, NEAR_PERCENT = 5, 80       # op3 has a contract of its own: 4 words, 85 %
 
 
 def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.join_components(docs)
+    groups = jaccard_join.join_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     extra = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
 

@@ -405,6 +405,22 @@ def test_pipeline(spark, tmp_path):
     assert left == set(range(31))
 
 
+def test_pipeline_drops_copies_from_four_fifths_on(spark):
+    import corpus_pipeline
+    rng = random.Random(13)
+    data, want = [], {}
+    for i in range(12):
+        base = prose(rng, 104).split()
+        grown = base + prose(rng, 10 + 2 * i).split()           # the five-word Jaccard falls from 0.91 to 0.76
+        x, y = ({tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (base, grown))
+        want[i] = 100 * len(x & y) >= 80 * len(x | y)
+        data += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(grown))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], SCHEMA)
+    left = {r.doc_id for r in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect()}
+    assert left == {2 * i for i in want} | {2 * i + 1 for i in want if not want[i]}
+    assert 0 < sum(want.values()) < 12
+
+
 def test_jaccard_bounds_of_long_sets_are_lower_bounds():
     """The finer counts never exceed the true distance, tell unrelated long sets
     apart, and the short hashes keep order and equality."""
