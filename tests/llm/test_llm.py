@@ -341,6 +341,20 @@ def test_kneser_ney_sums_to_one_and_filters(spark):
     assert all(r.kept for r in kneser_ney.classify(df.filter("doc_id < 60"), labels.limit(0), order=2).collect())
 
 
+def test_quality_thresholds_cover_all_trusted_documents(spark):
+    rng = random.Random(15)
+    data = [(i, prose(rng, rng.randrange(5, 60)), "en") for i in range(300)]
+    data += [(300 + i, prose(rng, 30, [f"ß{k}ø" for k in range(50)]), "de") for i in range(3)] + [(None, "null id", "en")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(303)], "doc_id bigint, quality int, toxic int")
+    for sample in (20, 100_000):
+        got = {r.doc_id: r for r in kneser_ney.classify(df, labels, order=3, sample_docs=sample, quantile=1.0).collect()}
+        assert len(got) == 304
+        for lang in ("en", "de"):
+            worst = max(got[i].perplexity for i, _, x in data if x == lang and i is not None)
+            assert all(got[i].threshold == worst and got[i].kept for i, _, x in data if x == lang and i is not None)
+
+
 def test_stupid_backoff(docs, rows, empty):
     texts = [words_of(t) for _, t in rows]
     total = [Counter(tuple(w[k:k + n]) for w in texts for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
