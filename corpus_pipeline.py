@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 Parquet to the shared folder and read again as the next stage's documents. All but
 the last return the columns of ``documents``:
 
-1. language identification drops documents of no recognisable language;
+1. language identification drops documents of no recognisable language: those that score
+   below nearly all documents of the language found that the model has not learned from;
 2. line deduplication deletes later repeats of line runs, and documents left without a line;
 3. the Jaccard join keeps the document of least id of each group of near duplicates
    (five-word shingles, Jaccard 0.8 and more);
@@ -23,15 +24,33 @@ from pyspark.sql import functions as F
 from vectorloom.llm import decontam, jaccard_join, language_id, line_dedup, packing
 from vectorloom.session import cut_lineage
 
-MIN_LANGUAGE_SCORE = 0.25
+LANGUAGE_QUANTILE = 0.001
 NEAR_WORDS, NEAR_PERCENT = 5, 80       # op3 has a contract of its own: 4 words, 85 %
 
 
+def language_limits(docs: DataFrame, model: language_id.KernelModel) -> tuple[dict[str, float], float]:
+    """The least score of each language, and that of languages without held-out documents.
+
+    A low quantile of the scores of all held-out documents that are found to be of the
+    language of their label. It follows the number of languages, as the scores do: a text
+    that shares nothing with L learned languages scores about 1 / L. With one learned
+    language every score is 1 and nothing but ``und`` is dropped.
+    """
+    held = docs.filter(language_id.held_out("doc_id") & F.col("lang").isNotNull()).select("lang", "text")
+    right = language_id.predict(held, model, pred="__lang", score="__score").filter("__lang = lang")
+    rows = right.rollup("lang").agg(F.percentile_approx("__score", LANGUAGE_QUANTILE, 10_000)).collect()
+    own = {lang: limit for lang, limit in rows if lang is not None}
+    return own, next((limit for lang, limit in rows if lang is None and limit is not None), 0.0)
+
+
 def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(*language_id.training_sample(docs))
-    found = language_id.predict(docs, model, pred="__lang", score="__score")
-    return found.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)
-                        ).select(*docs.columns)
+    own, overall = language_limits(docs, model)
+    limit = spark.createDataFrame(list(own.items()), "__l string, __limit double")      # a row per language
+    found = (language_id.predict(docs, model, pred="__lang", score="__score")
+             .join(F.broadcast(limit), F.col("__lang") == F.col("__l"), "left"))
+    return found.filter((F.col("__lang") != language_id.UNKNOWN)
+                        & (F.col("__score") >= F.coalesce("__limit", F.lit(overall)))).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

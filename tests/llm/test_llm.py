@@ -419,6 +419,21 @@ def test_pipeline(spark, tmp_path):
     assert left == set(range(31))
 
 
+def test_pipeline_drops_unlearned_languages_and_noise(spark):
+    import corpus_pipeline
+    rng = random.Random(14)
+    lex = {"en": "the of and thing with here is was that", "de": "der die und das eine über nicht ist auch",
+           "fr": "le la et une pour dans avec est être", "es": "el los y una para con ser está más"}
+    data = [(i, prose(rng, 40, lex[x].split()), x) for i in range(400) for x in [rng.choice(list(lex))]]
+    drawn = lambda chars: "".join(rng.choice(chars) for _ in range(300))      # noqa: E731
+    noise = [drawn("абвгдежзиклмнопрст  "), drawn([chr(c) for c in range(0x4E00, 0x5E00)]), drawn("qwzxjkvbpfg "),
+             "qwzx jkvb qpfg zxcv " * 20, drawn("ابتثجحخدذرز ")]
+    data += [(1000 + i, t, None) for i, t in enumerate(noise)]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in data], SCHEMA)
+    left = {r.doc_id for r in corpus_pipeline.recognised_language(spark, docs, "").collect()}
+    assert left == set(range(400))
+
+
 def test_pipeline_drops_copies_from_four_fifths_on(spark):
     import corpus_pipeline
     rng = random.Random(13)
