@@ -376,6 +376,16 @@ def test_stupid_backoff(docs, rows, empty):
     assert stupid_backoff.score_documents(empty).collect() == []
 
 
+def test_trigram_query_tells_shuffled_text_apart(spark, tmp_path):
+    """Texts with the same bigrams score alike at order 2, not at order 3."""
+    from vectorloom.llm.queries import QUERIES
+    data = [(i, "p b q . r b s .") for i in range(4)] + [(10, "p b q ."), (11, "p b s .")]
+    spark.createDataFrame(data, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    two, three = ({r.doc_id: r.mean_log_score for r in QUERIES[q](spark, str(tmp_path)).collect()}
+                  for q in ("op1_stupid_backoff", "op1_stupid_backoff_trigrams"))
+    assert abs(two[10] - two[11]) < 0.1 and three[10] - three[11] > 0.2
+
+
 def test_warc_round_trip(spark):
     page = ('<html><head><title>A &amp; B</title><script>var t="</p>";</script></head><body><!-- x --><p>One<br>two</p>'
             '<a href="/x?a=1&amp;b=2">link</a></body></html>')

@@ -20,6 +20,11 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op1_stupid_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stupid_backoff.score_documents(_table(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -64,9 +69,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_stupid_backoff, op2_decontamination, op3_jaccard_join, op4_warc_derivatives,
-                            op5_embedding_dedup, op6_substring_dedup, op7_packing, op8_line_dedup, op9_quality,
-                            op10_language_id)
+    f.__name__: f for f in (op1_stupid_backoff, op1_stupid_backoff_trigrams, op2_decontamination, op3_jaccard_join,
+                            op4_warc_derivatives, op5_embedding_dedup, op6_substring_dedup, op7_packing,
+                            op8_line_dedup, op9_quality, op10_language_id)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,5 +98,34 @@ s AS (SELECT b.r, CASE
       LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w LEFT JOIN o2 ON o2.r = b.r AND o2.v = b.v AND o2.w = b.w),
 m AS (SELECT r, avg(x) AS x FROM s GROUP BY r)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(m.x, 6) AS mean_log_score
+FROM d LEFT JOIN m ON m.r = d.r""",
+    "op1_stupid_backoff_trigrams": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws
+           FROM documents),
+t AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT r, i, w, lag(w) OVER p AS v, lag(w, 2) OVER p AS u FROM t WINDOW p AS (PARTITION BY r ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+o1 AS (SELECT r, w, count(*) AS n FROM b GROUP BY r, w),
+c2 AS (SELECT v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY v, w),
+o2 AS (SELECT r, v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY r, v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM b WHERE u IS NOT NULL GROUP BY u, v, w),
+o3 AS (SELECT r, u, v, w, count(*) AS n FROM b WHERE u IS NOT NULL GROUP BY r, u, v, w),
+s AS (SELECT b.r, CASE
+        WHEN b.u IS NOT NULL AND c3.n - o3.n > 0 THEN ln((c3.n - o3.n) / (cu.n - ou.n))
+        WHEN b.v IS NOT NULL AND c2.n - o2.n > 0 THEN ln((c2.n - o2.n) / (cv.n - ov.n))
+                                  + CASE WHEN b.u IS NULL THEN 0 ELSE ln(0.4) END
+        ELSE CASE WHEN c1.n - o1.n > 0 THEN ln((c1.n - o1.n) / greatest((SELECT count(*) FROM t) - len(d.ws), 1))
+                  ELSE ln(0.4 / greatest((SELECT count(*) FROM t) - len(d.ws), 1)) END
+             + CASE WHEN b.v IS NULL THEN 0 WHEN b.u IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END
+      END AS x
+      FROM b JOIN d ON d.r = b.r JOIN c1 ON c1.w = b.w JOIN o1 ON o1.r = b.r AND o1.w = b.w
+      LEFT JOIN c1 cv ON cv.w = b.v LEFT JOIN o1 ov ON ov.r = b.r AND ov.w = b.v
+      LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w LEFT JOIN o2 ON o2.r = b.r AND o2.v = b.v AND o2.w = b.w
+      LEFT JOIN c2 cu ON cu.v = b.u AND cu.w = b.v LEFT JOIN o2 ou ON ou.r = b.r AND ou.v = b.u AND ou.w = b.v
+      LEFT JOIN c3 ON c3.u = b.u AND c3.v = b.v AND c3.w = b.w
+      LEFT JOIN o3 ON o3.r = b.r AND o3.u = b.u AND o3.v = b.v AND o3.w = b.w),
+m AS (SELECT r, avg(x) AS x FROM s GROUP BY r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(m.x, 6) AS mean_log_score
 FROM d LEFT JOIN m ON m.r = d.r""",
 }
