@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, embedding_dedup, jaccard_join, kneser_ney, language_id, line_dedup, packing, stupid_backoff,
+from . import (decontam, embedding_dedup, hard_negatives, jaccard_join, kneser_ney, language_id, line_dedup, packing, stupid_backoff,
                substring_dedup, warc)
 
 
@@ -68,10 +68,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_stupid_backoff, op1_stupid_backoff_trigrams, op2_decontamination, op3_jaccard_join,
                             op4_warc_derivatives, op5_embedding_dedup, op6_substring_dedup, op7_packing,
-                            op8_line_dedup, op9_quality, op10_language_id)
+                            op8_line_dedup, op9_quality, op10_language_id, op12_hard_negatives)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,4 +133,20 @@ s AS (SELECT b.r, CASE
 m AS (SELECT r, avg(x) AS x FROM s GROUP BY r)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(m.x, 6) AS mean_log_score
 FROM d LEFT JOIN m ON m.r = d.r""",
+    "op12_hard_negatives": """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, r.id, a.label = r.label AS same,
+             CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+      FROM r a JOIN r ON a.id % 50 = 0 AND r.id <> a.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id
+       ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+     AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
 }
