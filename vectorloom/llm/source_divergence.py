@@ -6,8 +6,8 @@ every joint table at once: how many terms have count c in one source and count d
 A divergence is a sum over terms of a function of the two counts alone, so each cell of a joint
 table is priced once and multiplied by its number of terms.
 
-1. ``term_counts``: occurrences and documents per (lang, source, term), added up in a task by
-   Arrow's exact dictionaries, then in one shuffle by (lang, term);
+1. ``term_counts``: occurrences and documents per (lang, source, term), added up over a few
+   megabytes of text by Arrow's exact dictionaries, then in one shuffle by (lang, term);
 2. terms are dealt into blocks of similar frequency, so that a block has few levels, and
    sources into tiles; (block, tile, tile) is one group: a product of two column blocks;
 3. in a group, blocks with many columns are halved until the product is small; the cells are
@@ -35,7 +35,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # a term is a run of ASCII letters and non-ASCII characters
 LETTERS = byte_class(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
-CHUNK = 8 << 20         # bytes of whole texts counted at once
+CHUNK = 4 << 20         # bytes of whole texts counted at once
+SENT = 1 << 15          # rows of counts that leave a task at once
 UNIT = 1_000_000_000
 COLUMNS = 1024          # one-hot columns of a side beyond which a block of terms is halved
 
@@ -46,9 +47,9 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = groups.append_column("i", pa.array(np.arange(b.num_rows)))
         named = groups.group_by(["l", "s"], use_threads=False).aggregate([("i", "list")])
         member = np.zeros(b.num_rows, dtype=np.int64)
+        lang, source = (named.column(c).combine_chunks() for c in ("l", "s"))
         lists = named.column("i_list").combine_chunks()
         member[lists.flatten().to_numpy()] = np.repeat(np.arange(len(named)), lists.value_lengths().to_numpy())
-        found = []
         buf, offs = text_bytes(b.column(2))
         for lo, hi, part, at in chunks(buf, offs, CHUNK):
             inside = LETTERS[part]
@@ -64,21 +65,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             in_doc, times = np.unique(owner * n_terms + code, return_counts=True)     # a document's terms
             key = member[lo + in_doc // n_terms] * n_terms + in_doc % n_terms
             key, back = np.unique(key, return_inverse=True)
-            found.append(pa.table({
-                "g": key // n_terms, "term": words.dictionary.take(pa.array(key % n_terms)),
-                "n": np.bincount(back, weights=times).astype(np.int64), "docs": np.bincount(back)}))
-        if not found:
-            continue
-        t = pa.concat_tables(found)
-        if len(found) > 1:
-            t = t.group_by(["g", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-            t = t.rename_columns(["g", "term", "n", "docs"])
-        for out in t.to_batches():
-            g = out.column(0)
-            yield pa.RecordBatch.from_arrays(
-                [named.column("l").combine_chunks().take(g), named.column("s").combine_chunks().take(g),
-                 out.column(1).cast(pa.large_string()).cast(pa.string()), out.column(2), out.column(3)],
-                names=["lang", "source", "term", "n", "docs"])
+            n, in_docs = np.bincount(back, weights=times).astype(np.int64), np.bincount(back)
+            for first in range(0, len(key), SENT):
+                some = slice(first, first + SENT)
+                g = pa.array(key[some] // n_terms)
+                yield pa.RecordBatch.from_arrays(
+                    [lang.take(g), source.take(g),
+                     words.dictionary.take(pa.array(key[some] % n_terms)).cast(pa.large_string()).cast(pa.string()),
+                     pa.array(n[some]), pa.array(in_docs[some])], names=["lang", "source", "term", "n", "docs"])
 
 
 def term_counts(docs: DataFrame, min_docs: int = 10) -> DataFrame:
@@ -191,7 +185,7 @@ def _tile_gaps(counts: pa.Table, groups: pa.Table) -> pa.Table:
                      "j": own[1][b], "sum": sums[a, b], "terms": terms[a, b]})
 
 
-def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, tile: int = 64, block_terms: int = 4096) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, tile: int = 64, block_terms: int = 1024) -> DataFrame:
     """(lang, source, part, item, value, rank): how each source differs from others and from its language.
 
     A term is a run of ASCII letters and non-ASCII characters, only A-Z lower-cased. The terms
