@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, embedding_dedup, hard_negatives, jaccard_join, kneser_ney, language_id, line_dedup, packing, source_divergence,
-               stupid_backoff, substring_dedup, warc)
+from . import (decontam, embedding_dedup, hard_negatives, jaccard_join, kneser_ney, language_id, line_dedup, packing, secret_scan,
+               source_divergence, stupid_backoff, substring_dedup, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    named = lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])
+    base = F.filter("findings", lambda f: f["via"] == "")
+    count = lambda kind: F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, secret_scan.KINDS),
+                      F.sha2(F.array_join(F.transform(base, named), ",").cast("binary"), 256).alias("base_sha256"),
+                      F.array_join(F.array_distinct(F.transform("findings", named)), ",").alias("spans"),
+                      "n_layers", "n_unopened")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
@@ -80,8 +91,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_stupid_backoff, op1_stupid_backoff_trigrams, op2_decontamination, op3_jaccard_join,
                             op4_warc_derivatives, op5_embedding_dedup, op6_substring_dedup, op7_packing,
-                            op8_line_dedup, op9_quality, op10_language_id, op12_hard_negatives,
-                            op13_source_divergence)
+                            op8_line_dedup, op9_quality, op10_language_id, op11_secret_scan,
+                            op12_hard_negatives, op13_source_divergence)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
