@@ -120,44 +120,77 @@ class _Best:
         return qids[rows], ids if self.names is None else self.names[ids], self.scores[rows, cols]
 
 
-def _matching(rb: pa.RecordBatch, group_col: str | None, spans: dict | None, nq: int):
-    """(lo, hi, rows): the queries lo..hi that the given rows are scored for."""
-    if group_col is None:
-        yield 0, nq, np.arange(rb.num_rows)
-        return
-    groups = rb.column(group_col).dictionary_encode()
-    codes = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    for code, value in enumerate(groups.dictionary.to_pylist()):
-        if value in spans:
-            yield *spans[value], np.flatnonzero(codes == code)
-
-
-def _topk_fn(bq, k: int | None, d: int, id_col: str, vec_col: str, group_col: str | None,
-             types: tuple[pa.DataType, pa.DataType]):
-    def batch(qids, ids, scores):
+def tile_topk(k: int | None, d: int, qtype: str, rtype: str):
+    """Rows (g, b, lane, side, qid, docid, v) sorted by these to (g, qid, docid, score).
+
+    A tile is what shares (g, b, lane): first its queries (side 0), which are held, then its
+    rows, which stream past them. With ``k`` a tile gives each query's exact top-k at its end,
+    else every pair.
+    """
+    arrow = {"bigint": pa.int64(), "string": pa.string()}
+
+    def batch(g, qids, ids, scores):
         return pa.RecordBatch.from_arrays(
-            [pa.array(qids, types[0]), pa.array(ids, types[1]), pa.array(scores, pa.float64())],
-            names=["qid", "docid", "score"])
+            [pa.repeat(pa.scalar(g, pa.string()), len(scores)), pa.array(qids, arrow[qtype]),
+             pa.array(ids, arrow[rtype]), pa.array(scores, pa.float64())], names=["g", "qid", "docid", "score"])
 
     def run(batches):
-        qids, qm, spans = bq.value
-        best = None if k is None else _Best(len(qids), k)
+        tile, qids, parts, qm, best = None, None, [], None, None
         for rb in batches:
-            if rb.num_rows == 0 or len(qids) == 0:
+            if rb.num_rows == 0:
                 continue
-            ids_all = rb.column(id_col).to_numpy(zero_copy_only=False)
-            x_all = _matrix(rb.column(vec_col), d)
-            for lo, hi, rows in _matching(rb, group_col, spans, len(qids)):
-                chunk = max(1, BLOCK_BYTES // (8 * (hi - lo)))
-                for st in range(0, len(rows), chunk):
-                    at = rows[st:st + chunk]
-                    s = np.round(qm[lo:hi] @ x_all[at].T, SCORE_DIGITS)
+            g = rb.column(0)
+            at = [g.dictionary_encode().indices, *(rb.column(i) for i in (1, 2, 3))]
+            at = np.stack([c.to_numpy(zero_copy_only=False) for c in at])
+            ends = [*(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1), rb.num_rows]
+            start = 0
+            for end in ends:
+                here = (g[start].as_py(), *at[1:3, start].tolist())
+                if here != tile:
+                    if best is not None:
+                        yield batch(tile[0], *best.rows(qids))
+                    tile, parts, qm, best = here, [], None, None
+                part = rb.slice(start, end - start)
+                start = end
+                x = _matrix(part.column(6), d)
+                if at[3, end - 1] == 0:
+                    parts.append((part.column(4).to_numpy(zero_copy_only=False), x))
+                    continue
+                if not parts:                       # rows of a block that no query fell into
+                    continue
+                if qm is None:
+                    qids, qm = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    best = None if k is None else _Best(len(qids), k)
+                ids = part.column(5).to_numpy(zero_copy_only=False)
+                chunk = max(1, BLOCK_BYTES // (8 * len(qids)))
+                for lo in range(0, len(ids), chunk):
+                    s = np.round(qm @ x[lo:lo + chunk].T, SCORE_DIGITS)
+                    some = ids[lo:lo + chunk]
                     if best is None:
-                        yield batch(np.repeat(qids[lo:hi], len(at)), np.tile(ids_all[at], hi - lo), s.reshape(-1))
+                        yield batch(tile[0], np.repeat(qids, len(some)), np.tile(some, len(qids)), s.reshape(-1))
                     else:
-                        best.add(lo, hi, s, ids_all[at])
+                        best.add(0, len(qids), s, some)
         if best is not None:
-            yield batch(*best.rows(qids))
+            yield batch(tile[0], *best.rows(qids))
+    return run
+
+
+def _topk_fn(bq, k: int, d: int, id_col: str, vec_col: str, types: tuple[pa.DataType, pa.DataType]):
+    def run(batches):
+        qids, qm = bq.value
+        best = _Best(len(qids), k)
+        for rb in batches:
+            if rb.num_rows == 0 or len(qids) == 0:
+                continue
+            ids_all = rb.column(id_col).to_numpy(zero_copy_only=False)
+            x_all = _matrix(rb.column(vec_col), d)
+            chunk = max(1, BLOCK_BYTES // (8 * len(qids)))
+            for st in range(0, len(ids_all), chunk):
+                best.add(0, len(qids), np.round(qm @ x_all[st:st + chunk].T, SCORE_DIGITS), ids_all[st:st + chunk])
+        q, ids, scores = best.rows(qids)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q, types[0]), pa.array(ids, types[1]), pa.array(scores, pa.float64())],
+            names=["qid", "docid", "score"])
     return run
 
 
@@ -166,25 +199,21 @@ def key_type(df: DataFrame, col: str) -> str:
     return "bigint" if isinstance(df.schema[col].dataType, IntegralType) else "string"
 
 
-def score_block(rows: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int | None,
-                d: int, id_col: str = "docid", vec_col: str = "embedding",
-                group_col: str | None = None, spans: dict | None = None) -> DataFrame:
-    """(qid, docid, score) of one broadcast query block against every row.
+def score_block(rows: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int, d: int, id_col: str = "docid",
+                vec_col: str = "embedding") -> DataFrame:
+    """(qid, docid, score) of one broadcast query block against a stream of rows.
 
-    With ``k`` each partition emits only its exact local top-k per query
-    (ties by docid), so the output is bounded by queries x k x partitions. With
-    ``group_col`` a row is scored only for the queries of its group, which are the
-    block's queries ``spans[group]``. Rows without id or vector are left out.
+    Each partition emits only its exact local top-k per query (ties by docid), so the
+    output is bounded by queries x k x partitions. Rows without id or vector are left out.
     """
-    bq = rows.sparkSession.sparkContext.broadcast((qids, qmat.astype(np.float64), spans))
+    bq = rows.sparkSession.sparkContext.broadcast((qids, qmat.astype(np.float64)))
     rtype = key_type(rows, id_col)
     qtype = "string" if qids.dtype == object else "bigint"
     src = rows.select(F.col(id_col).cast(rtype).alias(id_col),
-                      F.col(vec_col).cast("array<double>").alias(vec_col),
-                      *([F.col(group_col).cast("string").alias(group_col)] if group_col else [])) \
+                      F.col(vec_col).cast("array<double>").alias(vec_col)) \
               .where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
     arrow = {"bigint": pa.int64(), "string": pa.string()}
-    return src.mapInArrow(_topk_fn(bq, k, d, id_col, vec_col, group_col, (arrow[qtype], arrow[rtype])),
+    return src.mapInArrow(_topk_fn(bq, k, d, id_col, vec_col, (arrow[qtype], arrow[rtype])),
                           f"qid {qtype}, docid {rtype}, score double")
 
 

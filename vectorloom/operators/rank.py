@@ -1,119 +1,129 @@
 """Cosine scoring and top-K ranking.
 
-Top-K plan: the query side is split into blocks of a checked, bounded size;
-each block is broadcast to a numpy kernel that scores a partition's rows and
-keeps an exact running top-K (ties by docid). The survivors (queries x K per
-partition) are merged by a window ``row_number() <= K`` per query, which Spark
-runs as a partial WindowGroupLimit before the shuffle on qid.
+Queries and rows meet in tiles. The queries of a group (e.g. a language) are dealt into
+blocks of bounded size, its rows into lanes; each (group, block, lane) is one tile. A tile
+holds its block in memory and streams the rows of its lane past it, keeping an exact running
+top-K per query (ties by docid), so neither side has to fit anywhere as a whole and no query
+row passes the driver. The numbers of blocks and lanes come from a count of the queries that
+runs inside the same plan; no job runs while the plan is built. Each tile's survivors are
+merged by a window ``row_number() <= K`` per (group, query), which Spark first applies in
+every partition (WindowGroupLimit) and then after one shuffle.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from itertools import groupby
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import kernels
 
-# bytes of one broadcast query block (queries x D x 8)
-QUERY_BLOCK_BYTES = 128 * 1024 * 1024
-
-
-def _block(t, d: int, grouped: bool):
-    """(qids, matrix, spans) of a collected block; its queries ordered by group."""
-    qids, m = t.column("k").to_numpy(), kernels._matrix(t.column("v"), d)
-    if not grouped:
-        return qids, m, None
-    groups = t.column("g").to_pylist()
-    order = sorted(range(len(groups)), key=groups.__getitem__)
-    spans, at = {}, 0
-    for value, members in groupby(groups[i] for i in order):
-        n = sum(1 for _ in members)
-        spans[value] = (at, at + n)
-        at += n
-    return qids[order], m[order], spans
-
-
-def _query_blocks(queries: DataFrame, d: int, key: str, vec: str, k: int | None = None,
-                  group: str | None = None):
-    """Yield (qids, matrix, spans) blocks of at most QUERY_BLOCK_BYTES each, counting
-    both the broadcast vectors (8 D bytes per query) and the running top-K state
-    a scoring task keeps per query (16 K bytes). Queries without id, vector or
-    (if asked for) group are left out.
-
-    One bounded collect (limit max + 1) serves the common case. A larger query
-    side is written once to the shared folder and split by a hash of the key,
-    each block collected and broadcast on its own (one scoring pass per block).
+# bytes of one block of queries: vectors (8 D a query) and running top-K state (16 K)
+QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+QUERY, ROW = 0, 1
+
+
+def _names(group: str | Sequence[str] | None) -> list[str]:
+    return [group] if isinstance(group, str) else list(group or ())
+
+
+def group_key(group: Sequence[str]) -> Column:
+    """One string for the values of the group columns, '' without any."""
+    return F.to_json(F.struct(*group)) if group else F.lit("")
+
+
+def one_side(df: DataFrame, side: int, key: str, vec: str, group: Sequence[str]) -> DataFrame:
+    """(side, g, qid, docid, v) of queries or rows; those without id, vector or group are left out."""
+    named = F.col(key).cast(kernels.key_type(df, key))
+    return df.dropna(subset=[key, vec, *group]).select(
+        F.lit(side).alias("side"), group_key(group).alias("g"), named.alias("id"),
+        F.col(vec).cast("array<double>").alias("v"))
+
+
+def tiled_scores(both: DataFrame, sizes: DataFrame, k: int | None, d: int, qtype: str, rtype: str,
+                 grouped: bool) -> DataFrame:
+    """(g, qid, docid, score): every tile's best ``k`` rows of each query (all rows if None).
+
+    ``both`` is (side, g, qid, docid, v); ``sizes`` has a column ``g`` and as many rows per
+    group as the group has queries.
     """
-    max_rows = max(1, QUERY_BLOCK_BYTES // (8 * d + 64 + 16 * (k or 0)))
-    cols = [F.col(key).cast(kernels.key_type(queries, key)).alias("k"), F.col(vec).cast("array<double>").alias("v")]
-    if group:
-        cols.append(F.col(group).cast("string").alias("g"))
-    sel = queries.select(*cols).dropna()
-    t = sel.limit(max_rows + 1).toArrow()
-    if t.num_rows <= max_rows:
-        if t.num_rows:
-            yield _block(t, d, group is not None)
-        return
-    from ..session import cut_lineage
-    stored = cut_lineage(sel, "query-blocks")
-    yield from _split_blocks(stored, d, max_rows, 2 * math.ceil(stored.count() / max_rows), 0, group is not None)
-
-
-def _split_blocks(part: DataFrame, d: int, max_rows: int, nb: int, seed: int, grouped: bool):
-    h = F.pmod(F.xxhash64(F.col("k"), F.lit(seed)), F.lit(nb))
-    for b in range(nb):
-        blk = part.where(h == b)
-        t = blk.limit(max_rows + 1).toArrow()
-        if t.num_rows > max_rows:          # an unlucky block: split it again
-            yield from _split_blocks(blk, d, max_rows, 2, seed + 1, grouped)
-        elif t.num_rows:
-            yield _block(t, d, grouped)
-
-
-def score_topk(queries: DataFrame, rows: DataFrame, k: int | None, d: int, qkey: str = "qid",
-               rkey: str = "docid", vec: str = "embedding", group: str | None = None) -> DataFrame:
-    """(qid, docid, score) before the final merge (local top-K per partition)."""
-    outs = []
-    src = rows.select(F.col(rkey).alias("docid"), F.col(vec).alias("embedding"),
-                      *([F.col(group).alias("_group")] if group else []))
-    for qids, qm, spans in _query_blocks(queries, d, qkey, vec, k, group):
-        outs.append(kernels.score_block(src, qids, qm, k, d, group_col="_group" if group else None, spans=spans))
-    if not outs:
-        return rows.sparkSession.createDataFrame(
-            [], f"qid {kernels.key_type(queries, qkey)}, docid {kernels.key_type(rows, rkey)}, score double")
-    return reduce(DataFrame.unionByName, outs)
-
-
-def topk(queries: DataFrame, rows: DataFrame, k: int, d: int, qkey: str = "qid",
-         rkey: str = "docid", vec: str = "embedding", group: str | None = None) -> DataFrame:
-    """(qid, docid, rank, score): the k most similar rows per query.
+    spark = both.sparkSession
+    per_block = max(1, QUERY_BLOCK_BYTES // (8 * d + 64 + 16 * (k or 0)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.count(F.lit(1)) / per_block).cast("int")
+    if grouped:          # rows of a group without queries go here
+        dealt = both.join(sizes.groupBy("g").agg(blocks.alias("blocks")), "g")
+    else:
+        dealt = both.withColumn("blocks", sizes.agg(blocks.alias("blocks")).scalar()).where("blocks > 0")
+    lanes = F.greatest(F.lit(1), F.ceil(F.lit(parts) / F.col("blocks")).cast("int"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    own = lambda n, *of: F.array(F.pmod(F.xxhash64(*of), n).cast("int"))
+    is_query = F.col("side") == QUERY
+    placed = (dealt.withColumn("lanes", lanes)
+              .withColumn("b", F.explode(F.when(is_query, own(F.col("blocks"), "qid")).otherwise(up_to(F.col("blocks")))))
+              .withColumn("lane", F.explode(F.when(is_query, up_to(F.col("lanes")))
+                                            .otherwise(own(F.col("lanes"), "docid", "v"))))
+              .select("g", "b", "lane", "side", "qid", "docid", "v"))
+    tiles = placed.repartition("g", "b", "lane").sortWithinPartitions("g", "b", "lane", "side")
+    return tiles.mapInArrow(kernels.tile_topk(k, d, qtype, rtype), f"g string, qid {qtype}, docid {rtype}, score double")
+
+
+def _both(queries: DataFrame, rows: DataFrame, qkey: str, rkey: str, vec: str, group: Sequence[str]):
+    qtype, rtype = kernels.key_type(queries, qkey), kernels.key_type(rows, rkey)
+    q = one_side(queries, QUERY, qkey, vec, group).select(
+        "side", "g", F.col("id").alias("qid"), F.lit(None).cast(rtype).alias("docid"), "v")
+    r = one_side(rows, ROW, rkey, vec, group).select(
+        "side", "g", F.lit(None).cast(qtype).alias("qid"), F.col("id").alias("docid"), "v")
+    return q.unionByName(r), qtype, rtype
+
+
+def merged(scores: DataFrame, k: int, group: Sequence[str], types: str = "") -> DataFrame:
+    """(qid, *group, docid, rank, score): the first ``k`` of all tiles of each query."""
+    w = Window.partitionBy("g", "qid").orderBy(F.desc("score"), F.asc("docid"))
+    top = scores.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    if not group:
+        return top.select("qid", "docid", "rank", "score")
+    return top.withColumn("g", F.from_json("g", types)).select("qid", "g.*", "docid", "rank", "score")
+
+
+def group_types(df: DataFrame, group: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group)
+
+
+def topk(queries: DataFrame, rows: DataFrame, k: int, d: int, qkey: str = "qid", rkey: str = "docid",
+         vec: str = "embedding", group: str | Sequence[str] | None = None,
+         sizes: DataFrame | None = None) -> DataFrame:
+    """(qid, *group, docid, rank, score): the k most similar rows per query.
 
     Order: score (rounded to 9 decimals) desc, then docid asc. Ids are whole numbers
-    or strings. With ``group``, a column of both sides, a query meets only the rows of
-    its own group (e.g. its language); a null group meets nothing. Query ids are
-    unique over all groups.
+    or strings. With ``group``, columns of both sides, a query is the pair of its group
+    and its id: it meets only the rows of its own group (e.g. its language), and the same
+    id may stand in several groups; a null group meets nothing.
+
+    ``sizes``: a table with the group columns and at least one row per query, where that
+    is cheaper to count than ``queries`` (the texts the queries were encoded from).
     """
-    cand = score_topk(queries, rows, k, d, qkey, rkey, vec, group)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("docid"))
-    return (cand.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .select("qid", "docid", F.col("rank").cast("int").alias("rank"), "score"))
+    group = _names(group)
+    both, qtype, rtype = _both(queries, rows, qkey, rkey, vec, group)
+    counted = (sizes if sizes is not None else queries).select(group_key(group).alias("g"))
+    scores = tiled_scores(both, counted, k, d, qtype, rtype, bool(group))
+    return merged(scores, k, group, group_types(queries, group))
 
 
 def similarity_matrix(a: DataFrame, b: DataFrame, d: int, akey: str = "qid",
                       bkey: str = "docid", vec: str = "embedding") -> DataFrame:
-    """Cosine of every (a, b) pair; ``a`` is the bounded, broadcast side.
+    """(qid, docid, score): cosine of every pair of a row of ``a`` and a row of ``b``.
 
-    The output has |a| x |b| rows by definition; use ``topk`` for retrieval.
+    The output has |a| x |b| rows by definition; ``a`` is meant to be a stated set of
+    queries. Use ``topk`` for retrieval.
     """
-    an = V.l2_normalise_df(a.select(F.col(akey).alias("qid"), vec), "embedding" if vec == "embedding" else vec, d, out="embedding")
-    bn = V.l2_normalise_df(b.select(F.col(bkey).alias("docid"), vec), "embedding" if vec == "embedding" else vec, d, out="embedding")
-    return score_topk(an, bn, None, d)
+    an = V.l2_normalise_df(a.select(F.col(akey).alias("qid"), F.col(vec).alias("embedding")), "embedding", d)
+    bn = V.l2_normalise_df(b.select(F.col(bkey).alias("docid"), F.col(vec).alias("embedding")), "embedding", d)
+    both, qtype, rtype = _both(an, bn, "qid", "docid", "embedding", ())
+    counted = a.select(F.lit("").alias("g"))
+    return tiled_scores(both, counted, None, d, qtype, rtype, False).drop("g")
 
 
 def similarity_pairwise(pairs: DataFrame, vectors: DataFrame, d: int,

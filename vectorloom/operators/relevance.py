@@ -20,67 +20,87 @@ METRIC_DIGITS = 6
 
 @dataclass
 class Judgments:
-    qrels: DataFrame | None = None            # (qid, docid, rel)
-    query_keys: DataFrame | None = None       # (qid, *keys)
-    doc_keys: DataFrame | None = None         # (docid, *keys)
+    """``by`` names the columns that tell queries (and passages) of one id apart, e.g. the
+    language; all tables of the judgments have them."""
+
+    qrels: DataFrame | None = None            # (*by, qid, docid, rel)
+    query_keys: DataFrame | None = None       # (*by, qid, *keys)
+    doc_keys: DataFrame | None = None         # (*by, docid, *keys)
     keys: tuple[str, ...] = ()
+    by: tuple[str, ...] = ()
 
     @property
     def explicit(self) -> bool:
         return self.qrels is not None
 
+    @property
+    def query(self) -> list[str]:
+        return ["qid", *self.by]
+
+    @property
+    def doc(self) -> list[str]:
+        return ["docid", *self.by]
+
+
+def _unique(*names: str) -> list[str]:
+    return list(dict.fromkeys(names))
+
 
 def judged_queries(queries: DataFrame, j: Judgments) -> DataFrame:
     """Queries that have at least one judgment."""
     if j.explicit:
-        return queries.join(j.qrels.select("qid").distinct(), "qid", "left_semi")
-    present = j.doc_keys.select(*j.keys).distinct()
-    judged = j.query_keys.join(present, list(j.keys), "left_semi").select("qid")
-    return queries.join(judged, "qid", "left_semi")
+        return queries.join(j.qrels.select(*j.query).distinct(), j.query, "left_semi")
+    on = _unique(*j.by, *j.keys)
+    present = j.doc_keys.select(*on).distinct()
+    judged = j.query_keys.join(present, on, "left_semi").select(*j.query)
+    return queries.join(judged, j.query, "left_semi")
 
 
 def num_relevant(j: Judgments) -> DataFrame:
-    """(qid, num_relevant): judgments with rel > 0 per query."""
+    """(qid, *by, num_relevant): judgments with rel > 0 per query."""
     if j.explicit:
-        return j.qrels.groupBy("qid").agg(
+        return j.qrels.groupBy(*j.query).agg(
             F.count(F.when(F.col("rel") > 0, 1)).cast("bigint").alias("num_relevant"))
-    per_key = j.doc_keys.groupBy(*j.keys).agg(F.count(F.lit(1)).alias("num_relevant"))
-    return j.query_keys.join(per_key, list(j.keys)).select("qid", "num_relevant")
+    on = _unique(*j.by, *j.keys)
+    per_key = j.doc_keys.groupBy(*on).agg(F.count(F.lit(1)).alias("num_relevant"))
+    return j.query_keys.join(per_key, on).select(*j.query, "num_relevant")
 
 
 def ranked_rels(ranked: DataFrame, j: Judgments) -> DataFrame:
-    """ranked (qid, docid, rank, ...) + rel; unjudged documents get 0."""
+    """ranked (qid, *by, docid, rank, ...) + rel; unjudged documents get 0.
+
+    By rule: the ranked pairs get their query's keys and meet the passages on id and keys
+    together, an inner join, so that the short ranked list can be the side that is sent.
+    """
+    pair = _unique(*j.query, "docid")
     if j.explicit:
-        q = j.qrels.select("qid", "docid", F.col("rel").cast("int").alias("rel"))
-        return (ranked.join(q, ["qid", "docid"], "left")
-                .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0))))
-    qk = j.query_keys.select("qid", *[F.col(k).alias(f"_q_{k}") for k in j.keys])
-    dk = j.doc_keys.select("docid", *[F.col(k).alias(f"_d_{k}") for k in j.keys])
-    lab = ranked.join(qk, "qid", "left").join(dk, "docid", "left")
-    same = None
-    for k in j.keys:
-        e = F.coalesce(F.col(f"_q_{k}") == F.col(f"_d_{k}"), F.lit(False))
-        same = e if same is None else (same & e)
-    return lab.select(*ranked.columns, F.when(same, 1).otherwise(0).alias("rel"))
+        rels = j.qrels.select(*pair, F.col("rel").cast("int").alias("rel"))
+    else:
+        on = _unique("docid", *j.by, *j.keys)
+        asked = ranked.select(*pair).join(j.query_keys.select(*_unique(*j.query, *j.keys)), j.query)
+        rels = j.doc_keys.select(*on).join(asked, on).select(*pair, F.lit(1).alias("rel")).distinct()
+    return ranked.join(rels, pair, "left").withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)))
 
 
 def pooled_docids(j: Judgments) -> DataFrame:
     """docids named by any judgment (explicit form) - the pooled set's keys."""
-    return j.qrels.select("docid").distinct()
+    return j.qrels.select(*j.doc).distinct()
 
 
 def pool(passages: DataFrame, j: Judgments) -> DataFrame:
     """Passages that occur in any judgment."""
     if j.explicit:
-        return passages.join(pooled_docids(j), "docid", "left_semi")
-    qk = j.query_keys.select(*j.keys).distinct()
-    return passages.join(j.doc_keys.join(qk, list(j.keys), "left_semi").select("docid"),
-                         "docid", "left_semi")
+        return passages.join(pooled_docids(j), j.doc, "left_semi")
+    on = _unique(*j.by, *j.keys)
+    asked = j.query_keys.select(*on).distinct()
+    if set(on) <= set(passages.columns):        # the passages carry the keys themselves
+        return passages.join(asked, on, "left_semi")
+    return passages.join(j.doc_keys.join(asked, on, "left_semi").select(*j.doc), j.doc, "left_semi")
 
 
-def per_query_metrics(labelled: DataFrame, ks_ndcg=(10,), ks_recall=(10,)) -> DataFrame:
+def per_query_metrics(labelled: DataFrame, ks_ndcg=(10,), ks_recall=(10,), query=("qid",)) -> DataFrame:
     """Per query: DCG-based nDCG@k (ideal = retrieved list re-sorted by rel) and hits@k."""
-    w = Window.partitionBy("qid").orderBy(F.desc("rel"), F.asc("rank"))
+    w = Window.partitionBy(*query).orderBy(F.desc("rel"), F.asc("rank"))
     lab = labelled.withColumn("irank", F.row_number().over(w))
     rank, irank, rel = F.col("rank"), F.col("irank"), F.col("rel").cast("double")
     aggs = []
@@ -89,39 +109,42 @@ def per_query_metrics(labelled: DataFrame, ks_ndcg=(10,), ks_recall=(10,)) -> Da
         aggs.append(F.sum(F.when(irank <= k, rel / F.log2(irank + 1))).alias(f"_idcg{k}"))
     for k in ks_recall:
         aggs.append(F.count(F.when((rank <= k) & (F.col("rel") > 0), 1)).alias(f"_hit{k}"))
-    return lab.groupBy("qid").agg(*aggs)
+    return lab.groupBy(*query).agg(*aggs)
 
 
 def qrels_ideal(j: Judgments, ks=(10,)) -> DataFrame:
-    """(qid, _idcg{k}): the textbook ideal DCG from all judgments of the query
+    """(qid, *by, _idcg{k}): the textbook ideal DCG from all judgments of the query
     (explicit qrels), the best k labels in descending order."""
-    w = Window.partitionBy("qid").orderBy(F.desc("rel"), F.asc("docid"))
+    w = Window.partitionBy(*j.query).orderBy(F.desc("rel"), F.asc("docid"))
     r = j.qrels.where(F.col("rel") > 0).withColumn("_r", F.row_number().over(w))
-    return r.groupBy("qid").agg(*[F.sum(F.when(F.col("_r") <= k, F.col("rel") / F.log2(F.col("_r") + 1)))
-                                  .alias(f"_idcg{k}") for k in ks])
+    return r.groupBy(*j.query).agg(*[F.sum(F.when(F.col("_r") <= k, F.col("rel") / F.log2(F.col("_r") + 1)))
+                                     .alias(f"_idcg{k}") for k in ks])
 
 
-def query_scores(queries: DataFrame, ranked: DataFrame, j: Judgments,
-                 ks_ndcg=(10,), ks_recall=(10,), group_cols=(), ideal: str = "retrieved") -> DataFrame:
+def query_scores(queries: DataFrame, ranked: DataFrame, j: Judgments, ks_ndcg=(10,), ks_recall=(10,),
+                 group_cols=(), ideal: str = "retrieved", models: list[str] | None = None) -> DataFrame:
     """One row per judged query: ndcg_{k}, recall_{k}, num_relevant, skipped flag.
 
     ``ideal='retrieved'`` (default) takes the ideal DCG from the retrieved list
     re-sorted by label, so missing relevant documents do not lower nDCG;
-    ``ideal='qrels'`` is the textbook form over all judged documents.
+    ``ideal='qrels'`` is the textbook form over all judged documents. With ``models``
+    the ranked list has a column ``model``, and every query a row for each of them.
     """
-    jq = judged_queries(queries.select("qid", *group_cols), j)
-    nr = num_relevant(j)
-    pq = per_query_metrics(ranked_rels(ranked, j), ks_ndcg, ks_recall)
+    jq = judged_queries(queries.select(*_unique("qid", *group_cols, *j.by)), j)
+    query = j.query
+    if models is not None:
+        jq = jq.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+        query = [*query, "model"]
+    pq = per_query_metrics(ranked_rels(ranked, j), ks_ndcg, ks_recall, query)
     if ideal == "qrels":
         if not j.explicit:
             raise ValueError("ideal='qrels' needs explicit qrels")
-        pq = pq.drop(*[f"_idcg{k}" for k in ks_ndcg]).join(qrels_ideal(j, ks_ndcg), "qid", "left")
+        pq = pq.drop(*[f"_idcg{k}" for k in ks_ndcg]).join(qrels_ideal(j, ks_ndcg), j.query, "left")
     elif ideal != "retrieved":
         raise ValueError(f"unknown ideal {ideal!r}")
-    base = jq.join(nr, "qid", "left").join(pq, "qid", "left") \
+    base = jq.join(num_relevant(j), j.query, "left").join(pq, query, "left") \
              .withColumn("num_relevant", F.coalesce(F.col("num_relevant"), F.lit(0)))
-    out = [F.col("qid"), *[F.col(c) for c in group_cols], F.col("num_relevant"),
-           (F.col("num_relevant") == 0).alias("skipped")]
+    out = [*_unique(*query, *group_cols), F.col("num_relevant"), (F.col("num_relevant") == 0).alias("skipped")]
     for k in ks_ndcg:
         idcg = F.coalesce(F.col(f"_idcg{k}"), F.lit(0.0))
         out.append(F.when(idcg > 0, F.col(f"_dcg{k}") / idcg).otherwise(0.0).alias(f"ndcg_{k}"))
@@ -133,11 +156,12 @@ def query_scores(queries: DataFrame, ranked: DataFrame, j: Judgments,
 
 
 def summarise(scores: DataFrame, group_cols=(), ks_ndcg=(10,), ks_recall=(10,),
-              groups: DataFrame | None = None) -> DataFrame:
+              groups: DataFrame | None = None, digits: int | None = METRIC_DIGITS) -> DataFrame:
     """Mean of each metric over non-skipped queries, num_queries, skipped.
 
     With ``groups`` (a table of group keys) every listed group gets a row, all
-    zeros when it has no scored query.
+    zeros when it has no scored query. ``digits`` None keeps the means unrounded,
+    for tables from which others are computed.
     """
     ok = ~F.col("skipped")
     aggs = []
@@ -151,9 +175,9 @@ def summarise(scores: DataFrame, group_cols=(), ks_ndcg=(10,), ks_recall=(10,),
     if groups is not None:
         s = groups.select(*group_cols).distinct().join(s, list(group_cols), "left")
     metric_cols = [f"ndcg_{k}" for k in ks_ndcg] + [f"recall_{k}" for k in ks_recall]
+    shown = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     return s.select(*group_cols,
-                    *[F.round(F.coalesce(F.col(c), F.lit(0.0)), METRIC_DIGITS).alias(c)
-                      for c in metric_cols],
+                    *[shown(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in metric_cols],
                     F.coalesce(F.col("num_queries"), F.lit(0)).cast("bigint").alias("num_queries"),
                     F.coalesce(F.col("skipped"), F.lit(0)).cast("bigint").alias("skipped"))
 

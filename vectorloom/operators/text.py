@@ -16,6 +16,8 @@ bound is checked, otherwise the join shuffles with AQE skew splitting.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,14 +104,14 @@ def mean_pool_df(joined: DataFrame, d: int, key: str = "text_id",
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """Round-robin the texts over the cluster when the input has fewer partitions
-    than the cluster has cores (small inputs, or a file with a single row group,
-    which one task would otherwise tokenize alone). Large inputs already have
-    many partitions and are left as they are, so no extra shuffle."""
-    par = texts.sparkSession.sparkContext.defaultParallelism
-    if texts.rdd.getNumPartitions() < par:
-        return texts.repartition(2 * par)
-    return texts
+    """Round-robin small inputs over the cluster (a file with a single row group would be
+    tokenized by one task alone). Decided from the optimizer's size estimate of the input,
+    without a job: inputs of more than a scan split per core are left as they are."""
+    spark = texts.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(re.match(r"\d+", spark.conf.get("spark.sql.files.maxPartitionBytes"))[0])
+    return texts.repartition(2 * par) if size < par * split else texts
 
 
 def encode(texts: DataFrame, model: EmbeddingModel, vocab: DataFrame,
@@ -147,13 +149,26 @@ def encode(texts: DataFrame, model: EmbeddingModel, vocab: DataFrame,
     return mean_pool_df(joined.select("text_id", "embedding"), model.dim)
 
 
-def encode_ids(tokens: DataFrame, model: EmbeddingModel) -> DataFrame:
-    """Pool already tokenized input (text_id, token_id): remap -> resolve -> decode."""
-    t = remap_token_ids(tokens, model.id_map)
-    if model.token_to_row is None:
-        t = t.withColumn("row_id", F.col("token_id"))
-    else:
-        t = t.join(F.broadcast(model.token_to_row), "token_id")
-    w, _ = broadcast_if_bounded(model.weights, model.row_bytes())
-    j = t.join(w, "row_id").select("text_id", model.decode_expr().alias("embedding"))
-    return mean_pool_df(j, model.dim)
+def encode_models(texts: DataFrame, models: dict[str, EmbeddingModel], vocab: DataFrame,
+                  id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+    """(model, text_id, embedding) of every text under every model, words made once.
+
+    The lexicons of the models are one table with a model column; narrower models are
+    filled up with zeros, which changes no cosine. A text without a known word gets a zero
+    vector of each model.
+    """
+    d = max(m.dim for m in models.values())
+    lex, size = None, 0
+    for name, m in models.items():
+        wide = m.decode_expr() if m.dim == d else F.concat(m.decode_expr(), F.array_repeat(F.lit(0.0), d - m.dim))
+        part = lexicon(m, vocab).select("word", F.lit(name).alias("model"), wide.alias("embedding"))
+        lex = part if lex is None else lex.unionByName(part)
+        size += m.tokens * (64 + 8 * d)
+        lex = lex.unionByName(vocab.sparkSession.createDataFrame([("", name, None)], lex.schema))
+    if size <= DECODED_LEXICON_BYTES:           # tokens bound the rows of each model's lexicon
+        lex = F.broadcast(lex)
+    # every text begins with an empty word, which each model has without a vector
+    each = spread(texts).select(F.col(id_col).alias("text_id"), F.explode(F.concat(
+        F.array(F.lit("")), F.coalesce(words_expr(text_col), F.array().cast("array<string>")))).alias("word"))
+    keyed = each.join(lex, "word").select(F.struct("model", "text_id").alias("key"), "embedding")
+    return mean_pool_df(keyed, d, key="key").select("key.*", "embedding")

@@ -2,7 +2,9 @@
 
 Pooled mode ranks the judged queries against the pooled passages (top 10);
 full mode ranks them against the whole corpus (top 100). With group columns
-(e.g. lang) each query is ranked against the passages of its own group only.
+(e.g. lang) a query is its group and its id: it is ranked against the passages of
+its own group only, and every group of the topics or the passages gets a row, zeros
+where it has no judged query.
 """
 
 from __future__ import annotations
@@ -13,37 +15,38 @@ from pyspark.sql import functions as F
 from ..operators import rank as R
 from ..operators import relevance as M
 from ..operators.tables import EmbeddingModel
-from ..operators.text import encode, lexicon
+from ..operators.text import encode, encode_models, lexicon
 
 
 def encode_pair(model: EmbeddingModel, vocab: DataFrame, queries: DataFrame,
                 passages: DataFrame, vocab_rows: int | None = None,
                 group_cols=()) -> tuple[DataFrame, DataFrame]:
-    """Encode both sides with one lexicon. ``vocab_rows`` defaults to the model's
-    token count, the size ``build_vocab`` is asked for. ``group_cols`` are kept with
-    the ids as one column ``group``, by which ``rank.topk`` ranks."""
+    """Encode both sides with one lexicon: (qid, *group_cols, embedding) and (docid, ...).
+    ``vocab_rows`` defaults to the model's token count, the size ``build_vocab`` is asked for."""
     lx = lexicon(model, vocab)
     n = vocab_rows if vocab_rows is not None else model.tokens
-    group = F.to_json(F.struct(*group_cols)) if group_cols else F.lit(None).cast("string")
 
     def side(texts: DataFrame, key: str) -> DataFrame:
-        keyed = texts.select(F.struct(F.col(key), group.alias("group")).alias("text_id"), "text")
-        e = encode(keyed, model, vocab, lex=lx, vocab_rows=n)
-        return e.select(f"text_id.{key}", *(["text_id.group"] if group_cols else []), "embedding")
+        keyed = texts.select(F.struct(key, *group_cols).alias("text_id"), "text")
+        return encode(keyed, model, vocab, lex=lx, vocab_rows=n).select("text_id.*", "embedding")
 
     return side(queries, "qid"), side(passages, "docid")
 
 
+def groups_of(topics: DataFrame, passages: DataFrame, group_cols) -> DataFrame | None:
+    """Every group of either side, to give groups without judged queries a row."""
+    return topics.select(*group_cols).union(passages.select(*group_cols)).distinct() if group_cols else None
+
+
 def eval_pooled(model: EmbeddingModel, vocab: DataFrame, topics: DataFrame,
                 passages: DataFrame, j: M.Judgments, group_cols=(), k: int = 10) -> DataFrame:
     """nDCG@10, recall@10, recall@3, num_queries, skipped over the pooled set."""
     jq = M.judged_queries(topics, j)
-    pooled = M.pool(passages, j)
-    q, p = encode_pair(model, vocab, jq, pooled, group_cols=group_cols)
-    ranked = R.topk(q, p, k, model.dim, group="group" if group_cols else None)
-    scores = M.query_scores(topics, ranked, j, ks_ndcg=(10,), ks_recall=(10, 3),
-                            group_cols=group_cols)
-    return M.summarise(scores, group_cols, ks_ndcg=(10,), ks_recall=(10, 3))
+    q, p = encode_pair(model, vocab, jq, M.pool(passages, j), group_cols=group_cols)
+    ranked = R.topk(q, p, k, model.dim, group=group_cols, sizes=jq)
+    scores = M.query_scores(topics, ranked, j, ks_ndcg=(10,), ks_recall=(10, 3), group_cols=group_cols)
+    return M.summarise(scores, group_cols, ks_ndcg=(10,), ks_recall=(10, 3),
+                       groups=groups_of(topics, passages, group_cols))
 
 
 def eval_full(model: EmbeddingModel, vocab: DataFrame, topics: DataFrame,
@@ -51,21 +54,47 @@ def eval_full(model: EmbeddingModel, vocab: DataFrame, topics: DataFrame,
     """nDCG@10, recall@100, num_queries, total_passages, skipped over the full corpus."""
     jq = M.judged_queries(topics, j)
     q, p = encode_pair(model, vocab, jq, passages, group_cols=group_cols)
-    ranked = R.topk(q, p, k, model.dim, group="group" if group_cols else None)
-    scores = M.query_scores(topics, ranked, j, ks_ndcg=(10,), ks_recall=(k,),
-                            group_cols=group_cols)
-    s = M.summarise(scores, group_cols, ks_ndcg=(10,), ks_recall=(k,))
-    total = passages.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("total_passages")) \
-        if group_cols else passages.agg(F.count(F.lit(1)).alias("total_passages"))
+    ranked = R.topk(q, p, k, model.dim, group=group_cols, sizes=jq)
+    scores = M.query_scores(topics, ranked, j, ks_ndcg=(10,), ks_recall=(k,), group_cols=group_cols)
+    s = M.summarise(scores, group_cols, ks_ndcg=(10,), ks_recall=(k,), groups=groups_of(topics, passages, group_cols))
     if group_cols:
-        return s.join(total, list(group_cols), "left")
-    return _attach_scalar(s, total, "total_passages")
+        total = passages.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("total_passages"))
+        return s.join(total, list(group_cols), "left").withColumn(
+            "total_passages", F.coalesce("total_passages", F.lit(0).cast("bigint")))
+    return s.withColumn("total_passages", passages.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
-def _attach_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
-    """Add the single value of a one-row aggregate as a column (no join)."""
-    v = one_row.first()[0]
-    return df.withColumn(name, F.lit(int(v or 0)).cast("bigint"))
+def eval_models(models: dict[str, EmbeddingModel], vocab: DataFrame, topics: DataFrame, passages: DataFrame,
+                j: M.Judgments, group_cols=(), k: int = 10, ks_ndcg=(10,), ks_recall=(10, 3),
+                pooled: bool = True) -> DataFrame:
+    """(model, *group_cols, metrics unrounded, num_queries, skipped) of many models in one plan.
+
+    Queries and passages are read as one table of texts, which is split into words once; a
+    word meets its vector of every model, one aggregate pools all (model, text), and one
+    ranking compares the sides within (model, group).
+    """
+    jq = M.judged_queries(topics, j)
+    chosen = M.pool(passages, j) if pooled else passages
+    rtype = chosen.schema["docid"].dataType.simpleString()
+    qtype = jq.schema["qid"].dataType.simpleString()
+    texts = jq.select(F.struct(F.lit(R.QUERY).alias("side"), *group_cols, "qid",
+                               F.lit(None).cast(rtype).alias("docid")).alias("text_id"), "text").unionByName(
+        chosen.select(F.struct(F.lit(R.ROW).alias("side"), *group_cols, F.lit(None).cast(qtype).alias("qid"),
+                               "docid").alias("text_id"), "text"))
+    group = ["model", *group_cols]
+    vectors = encode_models(texts, models, vocab).select("model", "text_id.*", "embedding")
+    both = vectors.dropna(subset=list(group_cols)).select(
+        "side", R.group_key(group).alias("g"), "qid", "docid", F.col("embedding").alias("v"))
+    sizes = jq.select(F.explode(F.array(*map(F.lit, models))).alias("model"), *group_cols)
+    d = max(m.dim for m in models.values())
+    scores = R.tiled_scores(both, sizes.select(R.group_key(group).alias("g")), k, d, qtype, rtype, True)
+    types = "model string" + (", " + R.group_types(jq, group_cols) if group_cols else "")
+    ranked = R.merged(scores, k, group, types)
+    per_query = M.query_scores(topics, ranked, j, ks_ndcg, ks_recall, group_cols, models=list(models))
+    groups = groups_of(topics, passages, group_cols)
+    if groups is not None:
+        groups = groups.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    return M.summarise(per_query, group, ks_ndcg, ks_recall, groups=groups, digits=None)
 
 
 def eval_vectors(queries: DataFrame, rows: DataFrame, j: M.Judgments, d: int,
@@ -87,6 +116,4 @@ def eval_full_timed(model: EmbeddingModel, vocab: DataFrame, topics: DataFrame,
     res = eval_full(model, vocab, topics, passages, j, group_cols, k)
     rows = res.collect()
     secs = round(time.perf_counter() - t0, 3)
-    spark = res.sparkSession
-    out = spark.createDataFrame(rows, res.schema) if rows else spark.createDataFrame([], res.schema)
-    return out.withColumn("seconds", F.lit(secs))
+    return res.sparkSession.createDataFrame(rows, res.schema).withColumn("seconds", F.lit(secs))

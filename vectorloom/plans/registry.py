@@ -527,7 +527,7 @@ def q_topk_pooled(spark, sf):
     jq = M.judged_queries(T.topics_a(spark, sf), j)
     pool = M.pool(T.passages(spark, sf), j)
     q, p = E.encode_pair(m, v, jq, pool)
-    return _ranked_out(R.topk(q, p, 10, m.dim))
+    return _ranked_out(R.topk(q, p, 10, m.dim, sizes=jq))
 
 
 def _sql_topk_full():
@@ -542,8 +542,9 @@ def _sql_topk_full():
 @register("topk_full", _sql_topk_full)
 def q_topk_full(spark, sf):
     m, v = _model_and_vocab(spark, sf)
-    q, p = E.encode_pair(m, v, T.topics_b(spark, sf), T.passages_b(spark, sf))
-    return _ranked_out(R.topk(q, p, 100, m.dim))
+    topics = T.topics_b(spark, sf)
+    q, p = E.encode_pair(m, v, topics, T.passages_b(spark, sf))
+    return _ranked_out(R.topk(q, p, 100, m.dim, sizes=topics))
 
 
 VEC_Q = "SELECT vec_id::BIGINT AS row_id, dim, x FROM (SELECT vec_id, unnest(generate_series(0, len(embedding) - 1))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) WHERE vec_id % 10 = 0"
@@ -573,10 +574,14 @@ def q_nearest_rows(spark, sf):
     return _ranked_out(R.topk(q, r, 10, m.dim))
 
 
+# the stated queries of the similarity matrix, against all other rows
+MATRIX_MOD = 50
+
+
 def _sql_simmat():
     s = O.Sql()
-    s.add("vq", VEC_Q)
-    s.add("vr", VEC_R)
+    s.add("vq", VEC_Q.replace("% 10", f"% {MATRIX_MOD}"))
+    s.add("vr", VEC_R.replace("% 10", f"% {MATRIX_MOD}"))
     sc = s.scores(s.normalised("vq", "vqn"), s.normalised("vr", "vrn"), "sc")
     return s.build(f"SELECT qid, docid, round(score, 6) AS score FROM {sc}")
 
@@ -584,8 +589,8 @@ def _sql_simmat():
 @register("similarity_matrix", _sql_simmat)
 def q_similarity_matrix(spark, sf):
     m = base(spark, sf)
-    a = T.vector_queries(spark, sf).select("qid", "embedding")
-    b = T.vector_rows(spark, sf).select("docid", "embedding")
+    a = m.weights.where(F.col("row_id") % MATRIX_MOD == 0).withColumnRenamed("row_id", "qid")
+    b = m.weights.where(F.col("row_id") % MATRIX_MOD != 0).withColumnRenamed("row_id", "docid")
     return R.similarity_matrix(a, b, m.dim).select("qid", "docid", F.round("score", 6).alias("score"))
 
 
@@ -633,7 +638,7 @@ def _full_a_spark(spark, sf, k: int = 100):
     j = T.judgments_a(spark, sf)
     jq = M.judged_queries(T.topics_a(spark, sf), j)
     q, p = E.encode_pair(m, v, jq, T.passages(spark, sf))
-    return R.topk(q, p, k, m.dim), j
+    return R.topk(q, p, k, m.dim, sizes=jq), j
 
 
 def _sql_ranked_rels():
@@ -713,7 +718,7 @@ def _sql_eval_pooled_lang():
     p = s.encode("SELECT * FROM pool", w, "pe")
     r = s.ranked(s.scores(q, p, "sc", same_lang=True), 10, "rk")
     pq = s.metrics(r, O.LABELS_B, "SELECT * FROM jb", (10,), (10, 3), "pq", group="lang")
-    return s.build(s.summary(pq, (10,), (10, 3), group="lang"))
+    return s.build(s.every_lang(s.summary(pq, (10,), (10, 3), group="lang"), ["ndcg_10", "recall_10", "recall_3"]))
 
 
 @register("eval_pooled_lang", _sql_eval_pooled_lang)
@@ -746,9 +751,10 @@ def _sql_eval_full_lang():
     p = s.encode(O.PASSAGES_B, w, "pe")
     r = s.ranked(s.scores(q, p, "sc", same_lang=True), 100, "rk")
     pq = s.metrics(r, O.LABELS_B, "SELECT * FROM jb", (10,), (100,), "pq", group="lang")
-    return s.build("SELECT m.*, t.total_passages FROM (" + s.summary(pq, (10,), (100,), group="lang")
+    return s.build("SELECT m.*, coalesce(t.total_passages, 0) AS total_passages FROM ("
+                   + s.every_lang(s.summary(pq, (10,), (100,), group="lang"), ["ndcg_10", "recall_100"])
                    + ") m LEFT JOIN (SELECT lang, count(*)::BIGINT AS total_passages FROM documents "
-                     "WHERE doc_id % 7 <> 0 GROUP BY lang) t USING (lang)")
+                     "WHERE doc_id % 7 <> 0 GROUP BY lang) t ON t.lang IS NOT DISTINCT FROM m.lang")
 
 
 @register("eval_full_lang", _sql_eval_full_lang)

@@ -202,11 +202,12 @@ def q_eval_empty(spark, sf):
     m, v = _model_and_vocab(spark, sf)
     topics = T.topics_b(spark, sf).where(F.col("lang") == "en")
     j = T.judgments_b(spark, sf)
-    j = M.Judgments(query_keys=j.query_keys.where(F.col("lang") == "en"), doc_keys=j.doc_keys, keys=j.keys)
+    j = M.Judgments(query_keys=j.query_keys.where(F.col("lang") == "en"), doc_keys=j.doc_keys, keys=j.keys, by=j.by)
     from . import evaluation as E
     from ..operators import rank as R
     q, p = E.encode_pair(m, v, M.judged_queries(topics, j), T.passages_b(spark, sf), group_cols=("lang",))
-    scores = M.query_scores(topics, R.topk(q, p, 10, m.dim, group="group"), j, (10,), (10,), group_cols=("lang",))
+    ranked = R.topk(q, p, 10, m.dim, group="lang", sizes=topics)
+    scores = M.query_scores(topics, ranked, j, (10,), (10,), group_cols=("lang",))
     langs = T.table(spark, sf, "documents").select("lang").distinct()
     return M.summarise(scores, ("lang",), (10,), (10,), groups=langs)
 

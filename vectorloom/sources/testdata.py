@@ -208,7 +208,7 @@ def passages_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judgments_b(spark: SparkSession, sf_dir: str) -> Judgments:
     return Judgments(query_keys=topics_b(spark, sf_dir).select("qid", "lang", "source"),
                      doc_keys=passages_b(spark, sf_dir).select("docid", "lang", "source"),
-                     keys=("lang", "source"))
+                     keys=("lang", "source"), by=("lang",))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
