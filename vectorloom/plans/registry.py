@@ -65,14 +65,15 @@ def model_artifact(spark: SparkSession, sf: str, name: str) -> TB.EmbeddingModel
     shared checkpoint folder, read back (encode / rank / evaluate read it)."""
     from ..session import materialize
     m = recipe(spark, sf, name)
-    return m.derive(weights=materialize(lambda: m.weights, ("model", sf, name), spark, "model"))
+    return m.derive(weights=materialize(lambda: m.weights, ("model", sf, name), spark, "model",
+                                          T.paths(sf, "embeddings")))
 
 
 def vocab(spark: SparkSession, sf: str, m: TB.EmbeddingModel) -> DataFrame:
     """The vocabulary of ``documents`` sized to the model (written once, reused)."""
     from ..session import materialize
     return materialize(lambda: X.build_vocab(T.texts(spark, sf), m.num_rows),
-                       ("vocab", sf, m.num_rows), spark, "vocab")
+                       ("vocab", sf, m.num_rows), spark, "vocab", T.paths(sf, "documents"))
 
 
 def codes_long(w: DataFrame, with_scale: bool = True) -> DataFrame:
@@ -742,9 +743,9 @@ def q_eval_full(spark, sf):
     return E.eval_full(m, v, T.topics_a(spark, sf), T.passages(spark, sf), T.judgments_a(spark, sf))
 
 
-def _sql_eval_full_lang():
+def _sql_eval_full_lang(model="turbo-lloyd-1"):
     s = O.Sql()
-    w = s.model("turbo-lloyd-1")
+    w = s.model(model)
     s.add("jb", O.JUDGED_B)
     s.add("jq", f"SELECT text_id, text FROM ({O.TOPICS_B}) WHERE text_id IN (SELECT qid FROM jb)")
     q = s.encode("SELECT * FROM jq", w, "qe")

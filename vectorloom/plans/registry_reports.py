@@ -17,17 +17,19 @@ from ..operators import reports as RP
 from ..operators import tasks as TK
 from ..session import materialize, scratch_path
 from ..sources import testdata as T
+from ..operators import relevance as M
 from . import evaluation as E
 from . import oracle as O
+from . import progress as PR
 from .registry import (SIZE_RECIPES, _size_sql_expr, _size_spark, base, model_artifact, recipe,
                        register, vocab)
 
-# Fixed configuration: the recipes of the grid, the languages asked for, the base model.
+# Fixed configuration: the recipes of the grid and the base model; languages come from the data.
 GRID = ("baseline", "int8", "int4", "turbo-lloyd-1", "turbo-lloyd-2")
-LANGS = ("de", "en", "es", "fr")
 BASE = "embeddings"
 METRICS = ["ndcg_10", "recall_10", "recall_3"]
-DONE = ("baseline", "int8")      # models already in the progress table (resume)
+RESUMED = ("baseline", "turbo-lloyd-1")      # the models of the resumed run
+FULL = "ndcg_10 double, recall_100 double, num_queries bigint, skipped bigint, total_passages bigint"
 
 
 def model_name(r: str) -> str:
@@ -38,47 +40,57 @@ def model_name(r: str) -> str:
 # Spark side
 # --------------------------------------------------------------------------
 
+def _grid_plan(spark, sf) -> DataFrame:
+    models = {model_name(r): model_artifact(spark, sf, r) for r in GRID}
+    return E.eval_models(models, vocab(spark, sf, base(spark, sf)), T.topics_b(spark, sf), T.passages_b(spark, sf),
+                         T.judgments_b(spark, sf), group_cols=("lang",))
+
+
 def grid(spark, sf) -> DataFrame:
-    """(model, lang, ndcg_10, recall_10, recall_3, num_queries, skipped)."""
-    def build():
-        m0 = base(spark, sf)
-        v = vocab(spark, sf, m0)
-        parts = []
-        for r in GRID:
-            m = model_artifact(spark, sf, r)
-            e = E.eval_pooled(m, v, T.topics_b(spark, sf), T.passages_b(spark, sf),
-                              T.judgments_b(spark, sf), group_cols=("lang",))
-            parts.append(e.select(F.lit(model_name(r)).alias("model"), *e.columns))
-        return reduce(DataFrame.unionByName, parts)
-    return materialize(build, ("grid", sf), spark, "grid")
+    """(model, lang, ndcg_10, recall_10, recall_3, num_queries, skipped), metrics unrounded."""
+    return materialize(lambda: _grid_plan(spark, sf), ("grid", sf), spark, "grid",
+                       T.paths(sf, "documents", "embeddings"))
 
 
 def sizes(spark, sf) -> DataFrame:
+    """(model, size_mb, provenance) of the grid's models."""
     m0 = base(spark, sf)
-    parts = [_size_spark(recipe(spark, sf, r, m0)).select(F.lit(model_name(r)).alias("model"), "size_mb")
-             for r in GRID]
+    parts = []
+    for r in GRID:
+        m = recipe(spark, sf, r, m0)
+        steps = F.array(*map(F.lit, m.provenance))
+        parts.append(_size_spark(m).select(F.lit(model_name(r)).alias("model"), "size_mb", steps.alias("provenance")))
     return reduce(DataFrame.unionByName, parts)
 
 
-@register("model_grid", lambda: _grid_sql())
+@register("model_grid", lambda: f"SELECT model, lang, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)}, "
+                                f"num_queries, skipped FROM ({_grid_sql()})")
 def q_model_grid(spark, sf):
-    return grid(spark, sf)
+    return RP.rounded(_grid_plan(spark, sf))
 
 
 @register("macro_average", lambda: f"SELECT model, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)}, "
           f"count(*)::BIGINT AS num_languages FROM ({_grid_sql()}) GROUP BY model")
 def q_macro_average(spark, sf):
-    return RP.macro_average(grid(spark, sf), METRICS)
+    return RP.rounded(RP.macro_average(grid(spark, sf), METRICS))
+
 
+FLAT = [*METRICS, "num_queries", "passages"]
 
-def _flat_sql(metric="ndcg_10"):
-    cols = ", ".join(f"coalesce(max(CASE WHEN lang = '{l}' THEN {metric} END), 0.0) AS {metric}_{l}" for l in LANGS)
-    return f"SELECT model, {cols} FROM ({_grid_sql()}) GROUP BY model"
 
+def _flat_sql(metrics=FLAT):
+    per_lang = (f"SELECT g.*, coalesce(t.n, 0) AS passages FROM ({_grid_sql()}) g LEFT JOIN (SELECT lang, count(*) AS n "
+                f"FROM documents WHERE doc_id % 7 <> 0 GROUP BY lang) t ON t.lang IS NOT DISTINCT FROM g.lang")
+    return " UNION ALL ".join(f"SELECT model, '{m}_' || coalesce(lang, '') AS name, {m}::DOUBLE AS value FROM ({per_lang})"
+                              for m in metrics)
 
-@register("flat_metrics", lambda: _flat_sql())
+
+@register("flat_metrics", lambda: f"SELECT model, name, round(value, 6) AS value FROM ({_flat_sql()})")
 def q_flat_metrics(spark, sf):
-    return RP.flat_metrics(grid(spark, sf), "ndcg_10", list(LANGS))
+    passages = T.passages_b(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("passages"))
+    per_lang = grid(spark, sf).join(passages.withColumnRenamed("lang", "_lang"),
+                                    F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return RP.rounded(RP.flat_metrics(per_lang, FLAT))
 
 
 def _sizes_sql():
@@ -88,15 +100,16 @@ def _sizes_sql():
 
 
 def _summary_sql():
-    macro = f"SELECT model, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM ({_grid_sql()}) GROUP BY model"
-    return (f"SELECT s.model, s.size_mb, {', '.join(f'coalesce(m.{x}, 0.0) AS {x}' for x in METRICS)}, "
-            f"{', '.join(f'coalesce(f.ndcg_10_{l}, 0.0) AS ndcg_10_{l}' for l in LANGS)} "
-            f"FROM ({_sizes_sql()}) s LEFT JOIN ({macro}) m USING (model) LEFT JOIN ({_flat_sql()}) f USING (model)")
+    macro = f"SELECT model, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM ({_grid_sql()}) GROUP BY model"
+    return (f"SELECT s.model, s.size_mb, {', '.join(f'round(coalesce(m.{x}, 0.0), 6) AS {x}' for x in METRICS)}, "
+            f"round(coalesce(columns(p.* EXCLUDE (model)), 0.0), 6) FROM ({_sizes_sql()}) s "
+            f"LEFT JOIN ({macro}) m USING (model) LEFT JOIN (PIVOT ({_flat_sql(METRICS[:1])}) ON name "
+            f"USING max(value) GROUP BY model) p USING (model)")
 
 
 @register("summary_table", _summary_sql)
 def q_summary_table(spark, sf):
-    return RP.summary_table(grid(spark, sf), sizes(spark, sf), METRICS, list(LANGS))
+    return RP.summary_table(grid(spark, sf), sizes(spark, sf), METRICS)
 
 
 @register("summary_by_score", _summary_sql)
@@ -141,28 +154,51 @@ def q_result_points(spark, sf):
     return RP.result_points(_results(spark, sf), "ndcg_10", "turbo")
 
 
-@register("results_json")
+def _results_json_sql():
+    macro = f"SELECT model, {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM ({_grid_sql()}) GROUP BY model"
+    rows = " UNION ALL ".join(
+        f"SELECT model, {i} AS nth, '{m}' AS metric, {m} AS value FROM ({macro})" for i, m in enumerate(METRICS))
+    steps = ", ".join(f"('{model_name(r)}', '{BASE if r == 'baseline' else f'{BASE}/{r}'}')" for r in GRID)
+    return (f"SELECT 'grid' AS label, s.model AS name, s.size_mb, r.metric, r.value, p.provenance FROM ({_sizes_sql()}) s "
+            f"JOIN ({rows}) r USING (model) JOIN (VALUES {steps}) p(model, provenance) USING (model)")
+
+
+@register("results_json", _results_json_sql)
 def q_results_json(spark, sf):
-    return RP.results_json(_results(spark, sf))
+    """The run's document, written as a file and read back, one row per result and metric
+    (its timestamp left out)."""
+    path = scratch_path(spark, "results")
+    RP.results_json(_results(spark, sf), "grid").write.text(path)
+    back = RP.read_results_json(spark, path)
+    return back.select("label", "name", "size_mb", F.explode("metrics").alias("metric", "value"),
+                       F.array_join("provenance", "/").alias("provenance"))
+
+
+def _resumed_sql():
+    from .registry import _sql_eval_full_lang
+    return " UNION ALL ".join(f"SELECT '{model_name(r)}' AS model, * FROM ({_sql_eval_full_lang(r)}) WHERE lang IS NOT NULL"
+                              for r in RESUMED)
 
 
-@register("resume_progress", lambda: (
-    "SELECT model, lang FROM (VALUES " + ", ".join(f"('{model_name(r)}')" for r in GRID) + ") m(model), "
-    "(VALUES " + ", ".join(f"('{l}')" for l in LANGS) + ") l(lang) WHERE model NOT IN ("
-    + ", ".join(f"'{model_name(r)}'" for r in DONE) + ")"))
+@register("resume_progress", _resumed_sql)
 def q_resume_progress(spark, sf):
-    """Progress is appended per (model, lang); the languages still to score are
-    the requested pairs missing from it."""
-    path = scratch_path(spark, "progress")
-    done = [model_name(r) for r in DONE]
-    grid(spark, sf).where(F.col("model").isin(done)).write.mode("append") \
-        .partitionBy("model", "lang").parquet(path)
-    progress = spark.read.parquet(path)
-    return RP.todo(_requested(spark), progress)
+    """A run over (model, language) that is stopped half-way and taken up by a second one;
+    the log at its end, without the seconds it also holds."""
+    v = vocab(spark, sf, base(spark, sf))
+    models = {model_name(r): model_artifact(spark, sf, r) for r in RESUMED}
+    langs = T.texts(spark, sf).where("lang is not null").select("lang").distinct()
+    requested = langs.withColumn("model", F.explode(F.array(*map(F.lit, models)))).select("model", "lang")
+    j = T.judgments_b(spark, sf)
 
+    def score(model: str, lang: str) -> DataFrame:
+        one = lambda df: df.where(F.col("lang") == lang)      # noqa: E731
+        of = M.Judgments(query_keys=one(j.query_keys), doc_keys=one(j.doc_keys), keys=j.keys, by=j.by)
+        return E.eval_full(models[model], v, one(T.topics_b(spark, sf)), one(T.passages_b(spark, sf)), of,
+                           group_cols=("lang",)).drop("lang")
 
-def _requested(spark) -> DataFrame:
-    return spark.createDataFrame([(model_name(r), l) for r in GRID for l in LANGS], "model string, lang string")
+    log = scratch_path(spark, "progress")
+    PR.resume(spark, log, requested, FULL, score, at_most=max(1, requested.count() // 2))
+    return RP.rounded(PR.resume(spark, log, requested, FULL, score).drop("seconds"))
 
 
 def _totals(spark, sf):
@@ -277,7 +313,7 @@ def _pooled_lang_sql(r: str) -> str:
     p = s.encode("SELECT * FROM pool", w, "pe")
     rk = s.ranked(s.scores(q, p, "sc", same_lang=True), 10, "rk")
     pq = s.metrics(rk, O.LABELS_B, "SELECT * FROM jb", (10,), (10, 3), "pq", group="lang")
-    return s.build(s.summary(pq, (10,), (10, 3), group="lang"))
+    return s.build(s.every_lang(s.summary(pq, (10,), (10, 3), group="lang", digits=None), METRICS))
 
 
 def _grid_sql() -> str:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,14 +74,17 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 _MATERIALIZED: dict[tuple, str] = {}
 
 
-def materialize(df_builder, key: tuple, spark: SparkSession, name: str = "table") -> DataFrame:
-    """Build a derived table once per process and key, write it to the shared
-    checkpoint folder, and read it back (later calls reuse the written table).
+def materialize(df_builder, key: tuple, spark: SparkSession, name: str = "table",
+                data: Sequence[str] = ()) -> DataFrame:
+    """Build a derived table once per process, key and state of the ``data`` paths, write it
+    to the shared checkpoint folder, and read it back (later calls reuse the written table).
 
     For artifacts that several plans read (a vocabulary, derived judgments):
     they are computed by one job instead of being recomputed inside each plan.
+    When a file of ``data`` changes, the table is built anew.
     """
-    full_key = (ensure_checkpoint_dir(spark),) + tuple(key)
+    from .sources.store import fingerprint
+    full_key = (ensure_checkpoint_dir(spark), fingerprint(spark, *data)) + tuple(key)
     path = _MATERIALIZED.get(full_key)
     if path is None:
         path = scratch_path(spark, name)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators.relevance import Judgments
 from ..operators.tables import EmbeddingModel, dense_model
+from .store import fingerprint
 
 RUN_PATTERN = r"[\p{L}\p{N}]+"
 QUERY_MOD = 7
@@ -27,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def paths(sf_dir: str, *names: str) -> list[str]:
+    return [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("bigint").alias("row_id"),
@@ -48,11 +53,8 @@ def _shape(w: DataFrame, key: tuple) -> tuple[int, int]:
 
 
 def base_model(spark: SparkSession, sf_dir: str, name: str = "embeddings") -> EmbeddingModel:
-    import os
     w = dense(spark, sf_dir)
-    path = f"{sf_dir.rstrip('/')}/embeddings.parquet"
-    stamp = os.path.getmtime(path) if os.path.exists(path) else None
-    n, d = _shape(w, (path, stamp))
+    n, d = _shape(w, tuple(paths(sf_dir, "embeddings")) + (fingerprint(spark, *paths(sf_dir, "embeddings")),))
     return dense_model(w, d, n, [name])
 
 
@@ -186,7 +188,7 @@ def qrels_a(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
         return pairs.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("docid"),
                             F.lit(1).alias("rel"))
-    return materialize(build, ("qrels_a", sf_dir), spark, "qrels_a")
+    return materialize(build, ("qrels_a", sf_dir), spark, "qrels_a", paths(sf_dir, "documents", "benchmark"))
 
 
 def judgments_a(spark: SparkSession, sf_dir: str) -> Judgments:
