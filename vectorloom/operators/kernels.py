@@ -257,6 +257,10 @@ def nearest(x: np.ndarray, c: np.ndarray, xx: np.ndarray | None = None,
     """Index of the nearest centroid (lowest index on ties) and its distance^2."""
     xx = (x * x).sum(1) if xx is None else xx
     cc = (c * c).sum(1) if cc is None else cc
+    chunk = max(1, BLOCK_BYTES // (16 * max(1, len(c))))
+    if len(x) > chunk:
+        parts = [nearest(x[i:i + chunk], c, xx[i:i + chunk], cc) for i in range(0, len(x), chunk)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     dist = np.round(np.maximum(xx[:, None] - 2.0 * (x @ c.T) + cc[None, :], 0.0),
                     SCORE_DIGITS)
     idx = np.argmin(dist, axis=1)
@@ -300,6 +304,66 @@ def assign_codes(df: DataFrame, centroids: np.ndarray, key: str = "row_id",
                           f"{key} bigint, codes array<int>, sq_dist double")
 
 
+def _fused_fn(bc, vec_col: str, d: int, m: int):
+    def run(batches):
+        cents = bc.value                    # (m, k, dsub)
+        k, dsub = cents.shape[1], d // m
+        ccs = [(cents[j] * cents[j]).sum(1) for j in range(m)]
+        sums, n, sq = np.zeros(cents.shape), np.zeros((m, k), dtype=np.int64), np.zeros((m, k))
+        for rb in batches:
+            x = _matrix(rb.column(vec_col), d)
+            for j in range(m):
+                xs = x[:, j * dsub:(j + 1) * dsub]
+                code, dist = nearest(xs, cents[j], cc=ccs[j])
+                order = np.argsort(code, kind="stable")
+                codes, first = np.unique(code[order], return_index=True)
+                if len(codes):
+                    sums[j, codes] += np.add.reduceat(xs[order], first, axis=0)
+                    n[j] += np.bincount(code, minlength=k)
+                    sq[j] += np.bincount(code, weights=dist, minlength=k)
+        sub, code = np.nonzero(n)
+        if len(sub):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sub.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(n[sub, code]),
+                 pa.array(sq[sub, code]), _list_array(sums[sub, code])], names=["sub", "code", "n", "sq", "sums"])
+    return run
+
+
+def assigned_sums(df: DataFrame, centroids: np.ndarray, vec_col: str = "embedding") -> DataFrame:
+    """(sub, code, n, sq, sums): every partition's rows, their squared distances and their
+    vectors added up per nearest centroid of each of the M broadcast codebooks (M, K, D/M)."""
+    m, k, dsub = centroids.shape
+    bc = df.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+    src = df.select(F.col(vec_col).cast("array<double>").alias(vec_col))
+    return src.mapInArrow(_fused_fn(bc, vec_col, m * dsub, m), "sub int, code int, n bigint, sq double, sums array<double>")
+
+
+def nearest_distance(df: DataFrame, points: np.ndarray, before: int = 0, key: str = "row_id",
+                     vec_col: str = "embedding") -> DataFrame:
+    """(key, vector, near, sq_dist): the nearest of the broadcast points (at most a few times k) of each
+    row. With ``before``, ``df`` is such a table over that many earlier points, numbered before these."""
+    bc = df.sparkSession.sparkContext.broadcast(np.asarray(points, dtype=np.float64))
+    d = points.shape[1]
+
+    def run(batches):
+        pts = bc.value
+        cc = (pts * pts).sum(1)
+        for rb in batches:
+            if rb.num_rows:
+                near, dist = nearest(_matrix(rb.column(1), d), pts, cc=cc)
+                near += before
+                if before:
+                    was = rb.column(3).to_numpy(zero_copy_only=False)
+                    near = np.where(dist < was, near, rb.column(2).to_numpy(zero_copy_only=False))
+                    dist = np.minimum(dist, was)
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column(0), rb.column(1), pa.array(near.astype(np.int32)), pa.array(dist)],
+                    names=[key, vec_col, "near", "sq_dist"])
+    src = df.select(F.col(key).cast("bigint").alias(key), F.col(vec_col).cast("array<double>").alias(vec_col),
+                    *(["near", "sq_dist"] if before else []))
+    return src.mapInArrow(run, f"`{key}` bigint, `{vec_col}` array<double>, near int, sq_dist double")
+
+
 # --------------------------------------------------------------------------
 # Gram partials
 # --------------------------------------------------------------------------

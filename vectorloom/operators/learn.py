@@ -3,17 +3,20 @@
 Fits are iterative Spark jobs whose *state* is bounded and lives on the driver:
 column means (D values), a D x D covariance, k x D centroids, M x K x D/M
 codebooks. Each iteration broadcasts the current state to an Arrow kernel that
-assigns rows (a narrow map), then one ``groupBy`` with partial aggregation
-produces the next state. The data itself is never collected, and lineage does
+assigns a partition's rows and adds them up per centroid, and one small ``groupBy``
+makes the next state: no join and one exchange. The data itself is never collected, and lineage does
 not grow across iterations because the state re-enters as a broadcast value.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.ml.feature import PCA as SparkPCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -79,16 +82,21 @@ def pca(model: EmbeddingModel, dim: int) -> EmbeddingModel:
 # k-means
 # --------------------------------------------------------------------------
 
-def init_rows(df: DataFrame, k: int, seed: int = SEED, key: str = "row_id") -> DataFrame:
-    """k rows picked by a seeded multiplicative hash of the key (distributed top-k)."""
-    h = (F.col(key) * F.lit(HASH_MULT) + F.lit(seed)) % F.lit(HASH_MOD)
-    return df.withColumn("_h", h).orderBy("_h", key).limit(k).drop("_h")
+def hash_sql(seed: int, turn: int | str = 0) -> str:
+    """A pseudo-random number below HASH_MOD per ``row_id``, as SQL that other engines read too;
+    ``turn`` (a number or a column) gives independent ones."""
+    a = f"((row_id + 1 + {turn} * 7919) * {HASH_MULT} % {HASH_MOD})"
+    return f"((({a} - {a} % 65536) / 65536 + {a} * ({a} % 65536 + 1) + {seed}) % {HASH_MOD})"
+
+
+def _hashed(seed: int, turn: int | str = 0):
+    return F.expr(hash_sql(seed, turn)).cast("bigint")
 
 
 def init_centroids(df: DataFrame, k: int, d: int, seed: int = SEED,
                    c: str = "embedding") -> np.ndarray:
-    h = (F.col("row_id") * F.lit(HASH_MULT) + F.lit(seed)) % F.lit(HASH_MOD)
-    rows = df.select("row_id", c, h.alias("_h")).orderBy("_h", "row_id").limit(k)
+    """The vectors of the k rows that come first by a hash of their id (a distributed top-k)."""
+    rows = df.select("row_id", c, _hashed(seed).alias("_h")).orderBy("_h", "row_id").limit(k)
     keys, mat = kernels.collect_block(rows.orderBy("_h", "row_id"), "row_id", c, d, k)
     return mat
 
@@ -99,47 +107,175 @@ def kmeans_assign(df: DataFrame, centroids: np.ndarray, c: str = "embedding") ->
     return a.select("row_id", F.col("codes")[0].alias("cid"), "sq_dist")
 
 
-def _centroid_sums(df: DataFrame, assign: DataFrame, d: int, c: str) -> DataFrame:
-    j = assign.select("row_id", "cid").join(df.select("row_id", c), "row_id")
-    return V.sum_vectors(j.select("cid", V.as_double_array(c).alias(c)), "cid", c, d,
-                         extra=[F.count(F.lit(1)).alias("n")])
+@dataclass(frozen=True)
+class Fit:
+    """Codebooks (M, K, D/M) and how the fit ended."""
+
+    books: np.ndarray
+    inertia: float
+    steps: int
+    converged: bool
+
+
+def step_sums(df: DataFrame, books: np.ndarray, c: str = "embedding") -> DataFrame:
+    """(sub, code, n, sq, sums): one pass that assigns and adds up, one small aggregate."""
+    parts = kernels.assigned_sums(df, books, c)
+    return V.sum_vectors(parts, ["sub", "code"], "sums", books.shape[2],
+                         extra=[F.sum("n").alias("n"), F.sum("sq").alias("sq")])
+
+
+def _collected(sums: DataFrame, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sums, counts, squared distance) of the at most M x K rows."""
+    total, n, sq = np.zeros(books.shape), np.zeros(books.shape[:2], dtype=np.int64), 0.0
+    for r in sums.collect():
+        total[r["sub"], r["code"]] = r["sums"]
+        n[r["sub"], r["code"]] = r["n"]
+        sq += r["sq"]
+    return total, n, sq
+
+
+def lloyd_step(df: DataFrame, books: np.ndarray, c: str = "embedding") -> tuple[np.ndarray, float]:
+    """One Lloyd update of all codebooks; empty clusters keep their centroid. (books, inertia before it)."""
+    total, n, sq = _collected(step_sums(df, books, c), books)
+    return np.where(n[..., None] > 0, total / np.maximum(n, 1)[..., None], books), sq
+
+
+def lloyd(df: DataFrame, books: np.ndarray, iters: int, tol: float | None, c: str = "embedding") -> Fit:
+    """Lloyd updates until no centroid moves by more than ``tol`` in any dimension (None: exactly
+    ``iters`` steps). Warns when ``iters`` steps do not get there."""
+    inertia, steps, converged = 0.0, 0, False
+    while steps < iters and not converged:
+        new, inertia = lloyd_step(df, books, c)
+        converged = tol is not None and bool(np.abs(new - books).max(initial=0.0) <= tol)
+        books, steps = new, steps + 1
+    if tol is not None and not converged:
+        warnings.warn(f"k-means stopped after {steps} steps while centroids still moved", stacklevel=2)
+    return Fit(books, inertia, steps, converged)
 
 
 def kmeans_step(df: DataFrame, centroids: np.ndarray, c: str = "embedding") -> tuple[np.ndarray, float]:
     """One Lloyd update; empty clusters keep their centroid. Returns (centroids, inertia)."""
-    k, d = centroids.shape
-    assign = kmeans_assign(df, centroids, c)
-    sums = _centroid_sums(df, assign, d, c).collect()         # k rows at most
-    inertia = assign.agg(F.sum("sq_dist")).first()[0] or 0.0
-    new = centroids.copy()
-    for r in sums:
-        new[int(r["cid"])] = np.asarray(r[c], dtype=np.float64) / r["n"]
-    return new, float(inertia)
-
-
-def kmeans_fit(df: DataFrame, k: int, d: int, iters: int = 20, seed: int = SEED,
-               tol: float | None = 1e-9, c: str = "embedding") -> np.ndarray:
-    """Lloyd iterations from hash-picked rows; stops early when the inertia
-    changes by at most ``tol`` (relative), or runs exactly ``iters`` steps when
-    ``tol`` is None."""
+    books, inertia = lloyd_step(df, centroids[None], c)
+    return books[0], inertia
+
+
+MAX_STEPS, TOL = 300, 1e-9
+
+
+def kmeans_fit(df: DataFrame, k: int, d: int, iters: int = MAX_STEPS, seed: int = SEED,
+               tol: float | None = TOL, c: str = "embedding") -> np.ndarray:
+    """Lloyd iterations from hash-picked rows until the centroids rest (see ``lloyd``)."""
     data = df.select("row_id", V.as_double_array(c).alias(c)).persist()
     try:
-        cent = init_centroids(data, k, d, seed, c)
-        prev = None
-        for _ in range(iters):
-            cent, inertia = kmeans_step(data, cent, c)
-            if tol is not None and prev is not None and abs(prev - inertia) <= tol * max(1.0, prev):
+        return lloyd(data, init_centroids(data, k, d, seed, c)[None], iters, tol, c).books[0]
+    finally:
+        data.unpersist()
+
+
+# --------------------------------------------------------------------------
+# mini-batch k-means
+# --------------------------------------------------------------------------
+
+def _weighted_seeds(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the weighted points by distance-weighted draws, then moved by a few weighted Lloyd steps."""
+    chosen = [int(np.argmax(weights))]
+    dist = ((points - points[chosen[0]]) ** 2).sum(1)
+    for _ in range(k - 1):
+        mass = dist * weights
+        total = mass.sum()
+        i = int(rng.choice(len(points), p=mass / total)) if total > 0 else int(rng.integers(len(points)))
+        chosen.append(i)
+        dist = np.minimum(dist, ((points - points[i]) ** 2).sum(1))
+    cent = points[chosen].copy()
+    for _ in range(10):
+        code, _ = kernels.nearest(points, cent)
+        mass = np.bincount(code, weights=weights, minlength=k)
+        for j in range(points.shape[1]):
+            sums = np.bincount(code, weights=weights * points[:, j], minlength=k)
+            cent[:, j] = np.where(mass > 0, sums / np.maximum(mass, 1e-300), cent[:, j])
+    return cent
+
+
+def oversampled_seeds(df: DataFrame, k: int, d: int, rounds: int = 5, seed: int = SEED,
+                      c: str = "embedding") -> np.ndarray:
+    """k seeds by repeated distance-weighted sampling over all rows.
+
+    Each round draws every row with probability 2 k times its share of the squared distance
+    to the points drawn so far (about 2 k rows, decided by a hash of the row's id, so a
+    repeated task draws the same). The points, about 2 k a round, are weighted by the rows
+    nearest to them and reduced to k on the driver.
+    """
+    points = init_centroids(df, 1, d, seed, c)
+    near = kernels.nearest_distance(df, points, vec_col=c).persist()
+    for turn in range(1, rounds + 1):
+        cost = near.agg(F.sum("sq_dist")).first()[0] or 0.0
+        if cost <= 0:
+            break
+        chance = F.col("sq_dist") * F.lit(2.0 * k / cost)
+        drawn = near.where(_hashed(seed, turn) / F.lit(float(HASH_MOD)) < chance).orderBy("row_id")
+        _, new = kernels.collect_block(drawn, "row_id", c, d, 2 * k + 20 * int(np.sqrt(2 * k)) + 100)
+        if not len(new):
+            continue
+        last, near = near, kernels.nearest_distance(near, new, before=len(points), vec_col=c).persist()
+        points = np.concatenate([points, new])
+        near.count()                # made before the table it comes from is let go
+        last.unpersist()
+    rows = near.groupBy("near").count().collect()       # one per point
+    near.unpersist()
+    weights = np.zeros(len(points))
+    for r in rows:
+        weights[r["near"]] = r["count"]
+    return _weighted_seeds(points, weights, k, np.random.default_rng(seed))
+
+
+def minibatch_fit(df: DataFrame, k: int, d: int, batch_rows: int | None = None, batches: int = 30, polish: int = 20,
+                  patience: int = 5, seed: int = SEED, c: str = "embedding") -> Fit:
+    """Mini-batch k-means from oversampled seeds, then up to ``polish`` full Lloyd steps.
+
+    A batch is a sample of about ``batch_rows`` rows (default 10 k, 1024 at least) picked by a
+    hash; a centroid moves to its batch's mean by its share of all rows it has been given so
+    far. Batches end after ``batches`` or when the smoothed inertia a row has not improved
+    for ``patience`` of them. ``converged`` tells whether the last full step moved the inertia by
+    less than a thousandth.
+    """
+    data = df.select("row_id", V.as_double_array(c).alias(c)).persist()
+    try:
+        n = data.count()
+        cent = oversampled_seeds(data, k, d, seed=seed, c=c)[None]
+        given, smooth, best, waited = np.zeros((1, k)), None, np.inf, 0
+        size = batch_rows or max(1024, 10 * k)
+        share, steps = min(1.0, size / max(n, 1)), 0
+        for turn in range(1, batches + 1 if share < 1 else 1):      # a batch of all rows is a Lloyd step
+            part = data.where(_hashed(seed, 100 + turn) < F.lit(int(share * HASH_MOD)))
+            total, count, sq = _collected(step_sums(part, cent, c), cent)
+            given += count
+            cent = cent + (total - count[..., None] * cent) / np.maximum(given, 1)[..., None]
+            per_row, steps = sq / max(count.sum(), 1), turn
+            smooth = per_row if smooth is None else smooth + (per_row - smooth) * min(1.0, 2 * share * 10)
+            best, waited = (smooth, 0) if smooth < best * (1 - 1e-4) else (best, waited + 1)
+            if waited >= patience:
+                break
+        before, inertia, converged = np.inf, np.inf, False
+        for _ in range(polish):
+            cent, inertia = lloyd_step(data, cent, c)
+            steps += 1
+            converged = before - inertia <= 1e-3 * inertia
+            if converged:
                 break
-            prev = inertia
-        return cent
+            before = inertia
+        return Fit(cent, inertia, steps, converged)
     finally:
         data.unpersist()
 
 
-def cluster_global(model: EmbeddingModel, k: int, iters: int = 20,
-                   tol: float | None = 1e-9) -> EmbeddingModel:
+def cluster_global(model: EmbeddingModel, k: int, method: str = "minibatch", iters: int = MAX_STEPS,
+                   tol: float | None = TOL) -> EmbeddingModel:
     """k-means over every token's (decoded) vector: weights -> k centroids,
-    token_to_row -> assignment. k >= vocabulary size passes the vectors through."""
+    token_to_row -> assignment. k >= vocabulary size passes the vectors through.
+
+    ``method``: ``minibatch`` (see ``minibatch_fit``) or ``lloyd`` (full steps from hash-picked
+    rows until the centroids rest). Warns when the fit did not converge.
+    """
     spark = model.weights.sparkSession
     toks = resolved(model).withColumnRenamed("token_id", "row_id")
     n = model.tokens
@@ -147,7 +283,15 @@ def cluster_global(model: EmbeddingModel, k: int, iters: int = 20,
     if k >= n:
         return model.tagged(tag, kind=DENSE, weights=toks, num_rows=n, bits=None, codebook=None,
                             pq_codebooks=None, token_to_row=None, vocab_size=n)
-    cent = kmeans_fit(toks, k, model.dim, iters, tol=tol)
+    if method == "minibatch":
+        fit = minibatch_fit(toks, k, model.dim)
+        if not fit.converged:
+            warnings.warn(f"{tag}: still improving after {fit.steps} steps", stacklevel=2)
+        cent = fit.books[0]
+    elif method == "lloyd":
+        cent = kmeans_fit(toks, k, model.dim, iters, tol=tol)
+    else:
+        raise ValueError(f"no way of clustering is called {method!r}; there are 'minibatch' and 'lloyd'")
     weights = spark.createDataFrame([(i, [float(x) for x in cent[i]]) for i in range(k)],
                                     "row_id bigint, embedding array<double>")
     t2r = kmeans_assign(toks, cent).select(F.col("row_id").alias("token_id"),
@@ -162,9 +306,9 @@ def cluster_global(model: EmbeddingModel, k: int, iters: int = 20,
 
 def _check_pq(d: int, m: int, k: int) -> int:
     if d % m:
-        raise ValueError(f"embed_dim={d} not divisible by num_subvectors={m}")
-    if k > 256:
-        raise ValueError("centroids_per_sub must be <= 256 (one byte per code)")
+        raise ValueError(f"vectors of width {d} cannot be cut into {m} equal parts")
+    if not 0 < k <= 256:
+        raise ValueError(f"a code is one byte, so a part has 1 to 256 centroids, not {k}")
     return d // m
 
 
@@ -174,46 +318,32 @@ def pq_encode(df: DataFrame, books: np.ndarray, c: str = "embedding") -> DataFra
     return a.select("row_id", F.col("codes").cast("array<smallint>").alias("codes"))
 
 
-def pq_step(df: DataFrame, books: np.ndarray, c: str = "embedding") -> tuple[np.ndarray, float]:
-    """One Lloyd update of all M codebooks in one job: assign, then
-    groupBy(sub, code) of the sub-vector sums."""
-    m, k, dsub = books.shape
-    a = kernels.assign_codes(df.select("row_id", c), books, vec_col=c)
-    j = a.join(df.select("row_id", c), "row_id")
-    parts = j.select(F.posexplode("codes").alias("sub", "code"), c) \
-             .select("sub", "code", F.slice(c, F.col("sub") * dsub + 1, dsub).alias("sv"))
-    sums = V.sum_vectors(parts, ["sub", "code"], "sv", dsub,
-                         extra=[F.count(F.lit(1)).alias("n")]).collect()   # <= M*K rows
-    inertia = a.agg(F.sum("sq_dist")).first()[0] or 0.0
-    new = books.copy()
-    for r in sums:
-        new[int(r["sub"]), int(r["code"])] = np.asarray(r["sv"], dtype=np.float64) / r["n"]
-    return new, float(inertia)
-
-
-def pq_fit(df: DataFrame, m: int, k: int, d: int, iters: int = 15, seed: int = SEED,
-           tol: float | None = 1e-9, c: str = "embedding") -> np.ndarray:
-    """(M, K, D/M) codebooks; initial centroids are k hash-picked rows."""
+def pq_seeds(df: DataFrame, m: int, k: int, d: int, seed: int = SEED, c: str = "embedding") -> np.ndarray:
+    """(M, K, D/M) first centroids: each part takes k rows of its own, the first by its own hash."""
     dsub = _check_pq(d, m, k)
+    first = Window.partitionBy("sub").orderBy("h", "row_id")
+    picked = (df.select("row_id", c, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("sub"))
+              .select("row_id", "sub", _hashed(seed, "sub").alias("h"),
+                      F.slice(V.as_double_array(c), F.col("sub") * dsub + 1, dsub).alias("part"))
+              .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k))
+    books = np.zeros((m, k, dsub))
+    for r in picked.orderBy("sub", "nth").collect():         # M x K rows
+        books[r["sub"], r["nth"] - 1:] = r["part"]           # a table of fewer rows repeats its last
+    return books
+
+
+def pq_fit(df: DataFrame, m: int, k: int, d: int, iters: int = MAX_STEPS, seed: int = SEED,
+           tol: float | None = TOL, c: str = "embedding") -> np.ndarray:
+    """(M, K, D/M) codebooks: Lloyd steps of all parts together until they rest (see ``lloyd``)."""
     data = df.select("row_id", V.as_double_array(c).alias(c)).persist()
     try:
-        init = init_centroids(data, k, d, seed, c)
-        if len(init) < k:
-            init = np.concatenate([init, np.repeat(init[-1:], k - len(init), axis=0)])
-        books = np.stack([init[:, j * dsub:(j + 1) * dsub] for j in range(m)])
-        prev = None
-        for _ in range(iters):
-            books, inertia = pq_step(data, books, c)
-            if tol is not None and prev is not None and abs(prev - inertia) <= tol * max(1.0, prev):
-                break
-            prev = inertia
-        return books
+        return lloyd(data, pq_seeds(data, m, k, d, seed, c), iters, tol, c).books
     finally:
         data.unpersist()
 
 
 def pq(model: EmbeddingModel, num_subvectors: int, centroids_per_sub: int = 256,
-       iters: int = 15, tol: float | None = 1e-9) -> EmbeddingModel:
+       iters: int = MAX_STEPS, tol: float | None = TOL) -> EmbeddingModel:
     """Decode to dense, fit M codebooks, encode. Tag ``pq-m{M}-k{K}``."""
     _check_pq(model.dim, num_subvectors, centroids_per_sub)
     dense = decode(model) if model.kind != DENSE else model.weights.select("row_id", "embedding")

@@ -140,14 +140,14 @@ def q_quantize(spark, sf):
 
 def _sql_pq_fit():
     from .registry_learn import _sql_pq
-    return _sql_pq(2, books=True)
+    return _sql_pq(books=True)
 
 
 @register("pq_fit", _sql_pq_fit)
 def q_pq_fit(spark, sf):
-    """The M x K x D/M codebooks after exactly two Lloyd steps from the hash-picked rows."""
+    """The M x K x D/M codebooks of a fit that came to rest."""
     m = base(spark, sf)
-    books = L.pq_fit(m.weights, PQ_M, PQ_K, m.dim, iters=2, tol=None)
+    books = L.pq_fit(m.weights, PQ_M, PQ_K, m.dim)
     rows = [(j, c, o, round(float(books[j, c, o]), 6)) for j in range(books.shape[0])
             for c in range(books.shape[1]) for o in range(books.shape[2])]
     return spark.createDataFrame(rows, "sub int, code int, dim int, value double")
@@ -236,8 +236,8 @@ SCALED = {
     "int8": P.RECIPES["int8"], "int4": P.RECIPES["int4"], "turbo-lloyd-1": P.RECIPES["turbo-lloyd-1"],
     "pca-16d": [("pca", {"dim": 16})],
     "pca-16d_int4": [("pca", {"dim": 16}), ("quantize", {"bits": 4, "method": "uniform"})],
-    "cluster-k32_int8": [("cluster_global", {"k": 32, "iters": 5}), ("quantize", {"bits": 8, "method": "uniform"})],
-    "pq-m8-k16": [("pq", {"num_subvectors": 8, "centroids_per_sub": 16, "iters": 5})],
+    "cluster-k32_int8": [("cluster_global", {"k": 32}), ("quantize", {"bits": 8, "method": "uniform"})],
+    "pq-m8-k16": [("pq", {"num_subvectors": 8, "centroids_per_sub": 16})],
     "empty": [],
 }
 

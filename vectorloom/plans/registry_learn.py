@@ -41,7 +41,7 @@ def q_covariance(spark, sf):
 
 def _init_sql(s: O.Sql, k: int) -> str:
     d = s.dense()
-    s.add("init", f"SELECT row_id, (row_number() OVER (ORDER BY (row_id * {L.HASH_MULT} + {L.SEED}) % {L.HASH_MOD}, "
+    s.add("init", f"SELECT row_id, (row_number() OVER (ORDER BY {L.hash_sql(L.SEED)}, "
                   f"row_id) - 1)::INTEGER AS cid FROM (SELECT DISTINCT row_id FROM {d}) QUALIFY cid < {k}")
     return s.add("cent", f"SELECT i.cid, d.dim, d.x FROM init i JOIN {d} d USING (row_id)")
 
@@ -86,25 +86,39 @@ def q_kmeans_step(spark, sf):
     return spark.createDataFrame(rows, "cid int, dim int, value double")
 
 
-def _sql_cluster_global(steps: int = 2):
-    s = O.Sql()
+# Lloyd steps unrolled in SQL: more than the fits need at the scale of the check, and a step
+# that finds every centroid at rest changes nothing
+SQL_STEPS = 45
+
+
+def _lloyd_sql(s: O.Sql, cur: str, steps: int) -> str:
     d = s.dense()
-    cur = _init_sql(s, K_TEST)
     for t in range(steps):
         a = _assign_sql(s, cur, f"asg{t}")
         s.add(f"mean{t}", f"SELECT a.cid, x.dim, avg(x.x) AS x FROM {a} a JOIN {d} x USING (row_id) GROUP BY a.cid, x.dim")
         cur = s.add(f"cent{t + 1}", f"SELECT c.cid, c.dim, coalesce(m.x, c.x) AS x FROM {cur} c "
                                     f"LEFT JOIN mean{t} m USING (cid, dim)")
-    a = _assign_sql(s, cur, "final")
+    return cur
+
+
+def _sql_kmeans_fit(steps: int = SQL_STEPS):
+    s = O.Sql(materialized=True)
+    a = _assign_sql(s, _lloyd_sql(s, _init_sql(s, K_TEST), steps), "final")
     return s.build(f"SELECT row_id AS token_id, cid FROM {a}")
 
 
-@register("cluster_global", _sql_cluster_global)
-def q_cluster_global(spark, sf):
-    """k-means (k=16) from the hash-picked initial rows, exactly two Lloyd steps;
+@register("kmeans_fit", _sql_kmeans_fit)
+def q_kmeans_fit(spark, sf):
+    """k-means (k=16) from the hash-picked rows by full Lloyd steps until the centroids rest;
     token_to_row of the clustered model."""
-    m = base(spark, sf)
-    c = L.cluster_global(m, K_TEST, iters=2, tol=None)
+    c = L.cluster_global(base(spark, sf), K_TEST, method="lloyd")
+    return c.token_to_row.select(F.col("token_id").cast("bigint"), F.col("row_id").cast("int").alias("cid"))
+
+
+@register("cluster_global")
+def q_cluster_global(spark, sf):
+    """Mini-batch k-means (k=16) from oversampled seeds; token_to_row of the clustered model."""
+    c = L.cluster_global(base(spark, sf), K_TEST)
     return c.token_to_row.select(F.col("token_id").cast("bigint"), F.col("row_id").cast("int").alias("cid"))
 
 
@@ -134,11 +148,14 @@ def q_pq_encode(spark, sf):
     return _codes_by_sub(L.pq_encode(m.weights, books))
 
 
-def _sql_pq(steps: int = 2, books: bool = False):
-    s = O.Sql()
+def _sql_pq(steps: int = SQL_STEPS, books: bool = False):
+    s = O.Sql(materialized=True)
     d = s.dense()
     dsub = 64 // PQ_M
-    cur = _init_sql(s, PQ_K)
+    h = L.hash_sql(L.SEED, "sub")
+    s.add("init", f"SELECT sub, row_id, (row_number() OVER (PARTITION BY sub ORDER BY {h}, row_id) - 1)::INTEGER AS cid "
+                  f"FROM (SELECT DISTINCT row_id FROM {d}), (SELECT range AS sub FROM range({PQ_M})) QUALIFY cid < {PQ_K}")
+    cur = s.add("cent", f"SELECT i.cid, d.dim, d.x FROM init i JOIN {d} d ON d.row_id = i.row_id AND d.dim // {dsub} = i.sub")
 
     def assign(c, name):
         s.add(f"{name}_d", f"SELECT x.row_id, c.cid, x.dim // {dsub} AS sub, round(sum((x.x - c.x) * (x.x - c.x)), 9) AS dist "
@@ -161,9 +178,8 @@ def _sql_pq(steps: int = 2, books: bool = False):
 
 @register("pq", _sql_pq)
 def q_pq(spark, sf):
-    """PQ m=8, k=16 from the hash-picked initial rows, exactly two Lloyd steps."""
-    m = base(spark, sf)
-    return _codes_by_sub(L.pq(m, PQ_M, PQ_K, iters=2, tol=None).weights)
+    """PQ m=8, k=16, every part from hash-picked rows of its own, fitted until it rests."""
+    return _codes_by_sub(L.pq(base(spark, sf), PQ_M, PQ_K).weights)
 
 
 @register("pca")
