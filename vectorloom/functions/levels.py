@@ -55,8 +55,6 @@ def uniform_codebook(bits: int) -> list[float]:
 
 def hadamard_signs(d: int, seed: int = ROTATION_SEED) -> list[int]:
     """Random +-1 diagonal applied before the Hadamard transform."""
-    if d <= 0 or d & (d - 1):
-        raise ValueError(f"Hadamard rotation needs a power-of-two width, got {d}")
     rng = np.random.default_rng(seed)
     return [int(x) for x in rng.choice(np.array([-1, 1]), size=d)]
 
@@ -68,10 +66,37 @@ def qr_rotation(d: int, seed: int = ROTATION_SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))[None, :]
 
 
+def hadamard_blocks(d: int) -> list[int]:
+    """Powers of two that add up to the width, the widest first: 768 is 512 + 256."""
+    if d <= 0:
+        raise ValueError(f"a rotation needs at least one dimension, not {d}")
+    return [1 << b for b in reversed(range(d.bit_length())) if d >> b & 1]
+
+
+def butterfly(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Rows times diag(signs) H / sqrt(width), block by block, in log2(width) passes of sums and
+    differences. Agrees with ``hadamard_matrix`` and keeps every row's norm."""
+    out = x * signs
+    start = 0
+    for width in hadamard_blocks(x.shape[1]):
+        part = np.ascontiguousarray(out[:, start:start + width])
+        half = 1
+        while half < width:
+            pairs = part.reshape(len(x), width // (2 * half), 2, half)
+            part = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], axis=2)
+            half *= 2
+        out[:, start:start + width] = part.reshape(len(x), width) / math.sqrt(width)
+        start += width
+    return out
+
+
 def hadamard_matrix(d: int, seed: int = ROTATION_SEED) -> np.ndarray:
-    """The full orthogonal matrix of ``rotate_hadamard`` (for tests / kernels)."""
+    """The full orthogonal matrix of ``rotate_hadamard`` (for tests)."""
     s = np.array(hadamard_signs(d, seed), dtype=np.float64)
-    idx = np.arange(d)
-    parity = np.array([[bin(i & j).count("1") & 1 for j in idx] for i in idx])
-    h = np.where(parity == 0, 1.0, -1.0)
-    return (s[:, None] * h) / math.sqrt(d)
+    out, start = np.zeros((d, d)), 0
+    for width in hadamard_blocks(d):
+        idx = np.arange(width)
+        parity = np.array([[bin(i & j).count("1") & 1 for j in idx] for i in idx])
+        out[start:start + width, start:start + width] = np.where(parity == 0, 1.0, -1.0) / math.sqrt(width)
+        start += width
+    return s[:, None] * out

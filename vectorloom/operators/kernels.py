@@ -11,6 +11,7 @@ a bounded running state.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -248,6 +249,22 @@ def matmul(df: DataFrame, matrix: np.ndarray, vec_col: str = "embedding",
     return src.mapInArrow(_matmul_fn(bm, keep, vec_col, d, out), ddl)
 
 
+def rotate(df: DataFrame, turn: Callable[[np.ndarray], np.ndarray], d: int, vec_col: str = "embedding",
+           out: str | None = None) -> DataFrame:
+    """Each batch's vectors (rows x D) through ``turn``, a function shipped with its few values."""
+    out = out or vec_col
+    keep = [c for c in df.columns if c != vec_col]
+
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows:
+                y = turn(_matrix(rb.column(len(keep)), d))
+                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), _list_array(y)], names=[*keep, out])
+    src = df.select(*keep, F.col(vec_col).cast("array<double>").alias(vec_col))
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
+    return src.mapInArrow(run, f"{ddl}`{out}` array<double>")
+
+
 # --------------------------------------------------------------------------
 # nearest centroid
 # --------------------------------------------------------------------------

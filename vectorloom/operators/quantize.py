@@ -2,23 +2,30 @@
 
 Quantizers are narrow projections (no shuffle): one ``aggregate`` fold per row
 finds the row scale and its finish lambda emits the codes. Rotations multiply
-by a broadcast D x D matrix in an Arrow kernel.
+in an Arrow kernel (sums and differences, or a broadcast D x D matrix).
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.levels import (hadamard_matrix, lloyd_levels, midpoints, qr_rotation,
+from ..functions import levels
+from ..functions.levels import (butterfly, hadamard_signs, lloyd_levels, midpoints, qr_rotation,
                                 stored_codebook, uniform_qmax)
 from . import kernels
 from .tables import CODEBOOK, PQ, UNIFORM, EmbeddingModel
 
 
+cloudpickle.register_pickle_by_value(levels)        # executors need only numpy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --------------------------------------------------------------------------
 # row expressions
 # --------------------------------------------------------------------------
@@ -64,9 +71,10 @@ def codebook_codes_df(df: DataFrame, d: int, bits: int, c: str = "embedding") ->
 def hadamard_df(df: DataFrame, d: int, c: str = "embedding", out: str | None = None,
                 seed: int | None = None) -> DataFrame:
     """Random-sign Walsh-Hadamard rotation: rows @ (diag(s) H / sqrt(D)),
-    H[i, j] = (-1)^popcount(i & j); the D x D matrix is broadcast to a kernel."""
-    m = hadamard_matrix(d) if seed is None else hadamard_matrix(d, seed)
-    return kernels.matmul(df, m, vec_col=c, out=out)
+    H[i, j] = (-1)^popcount(i & j), as log2(D) passes of sums and differences over a batch.
+    A width that is no power of two is rotated in blocks that are."""
+    signs = np.array(hadamard_signs(d) if seed is None else hadamard_signs(d, seed), dtype=np.float64)
+    return kernels.rotate(df, lambda x: butterfly(x, signs), d, vec_col=c, out=out)
 
 
 # --------------------------------------------------------------------------
@@ -120,7 +128,7 @@ def quantize(model: EmbeddingModel, bits: int = 4, method: str = "turbo-lloyd",
         return quantize_uniform(model, bits)
     if method == "turbo-lloyd":
         return turbo_lloyd(model, bits, rotation)
-    raise ValueError(f"Unknown method: {method!r}. Use 'uniform' or 'turbo-lloyd'.")
+    raise ValueError(f"no quantizer is called {method!r}; there are 'uniform' and 'turbo-lloyd'")
 
 
 def quantization_error(original: DataFrame, model: EmbeddingModel,

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.joins import skew_join
 from ..functions.levels import uniform_qmax
 
 DENSE, UNIFORM, CODEBOOK, PQ, PACKED = "dense", "uniform", "codebook", "pq", "packed"
@@ -168,9 +169,9 @@ def remap_token_ids(tokens: DataFrame, id_map: DataFrame | None) -> DataFrame:
     """old -> new token id; ids missing from a non-empty map become 0."""
     if id_map is None:
         return tokens
-    m = F.broadcast(id_map.select(F.col("old_id").alias("token_id"), "new_id"))
+    m = id_map.select(F.col("old_id").alias("token_id"), "new_id")
     rest = [c for c in tokens.columns if c != "token_id"]
-    return (tokens.join(m, "token_id", "left")
+    return (skew_join(tokens, m, "token_id", "left", 48)
             .select(*rest, F.coalesce(F.col("new_id"), F.lit(0)).cast("bigint").alias("token_id")))
 
 
@@ -178,7 +179,7 @@ def resolve_token_rows(tokens: DataFrame, token_to_row: DataFrame | None) -> Dat
     """Attach the weights row of each token (identity when there is no map)."""
     if token_to_row is None:
         return tokens.withColumn("row_id", F.col("token_id"))
-    return tokens.join(F.broadcast(token_to_row), "token_id")
+    return skew_join(tokens, token_to_row, "token_id", row_bytes=48)
 
 
 def gather_rows(ids: DataFrame, model: EmbeddingModel) -> DataFrame:

@@ -1,9 +1,11 @@
 """Task scores on embeddings: Spearman (STS), pair average precision,
 classification accuracy, and the per-task main score / average.
 
-Ranking statistics need an order over a task's rows. Ranks are computed per
-value bucket (approximate-quantile bounds per task, a small broadcast table)
-and shifted by the sizes of earlier buckets, so no task is sorted in one place.
+Ranks and cumulative counts need an order over a task's rows. Rows of equal value are
+counted first, so a value is one row however many rows share it. The distinct (task, value)
+rows are range-partitioned by value; each partition's totals, one row per task and partition,
+are scanned and added to the running sums inside the partitions. No task's rows are sorted
+or gathered in one place.
 """
 
 from __future__ import annotations
@@ -11,89 +13,96 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = 6
-
+from ..session import cut_lineage
 
-BUCKETS = 64
-# Attach per-group bucket bounds as a literal expression up to this many groups
-# (each group has at most BUCKETS - 1 bounds); beyond it they are joined.
-MAX_LITERAL_GROUPS = 256
+DIGITS = 6
 
 
-def _bucketed(df: DataFrame, col: str, part: list[str], buckets: int, desc: bool) -> DataFrame:
-    """Add ``_b``: the value bucket of ``col`` within each group of ``part``.
+def prefix_sums(counts: DataFrame, value: str, part: list[str], sums: list[str], desc: bool = False,
+                partitions: int | None = None) -> DataFrame:
+    """Adds ``before_<s>``: the sum of ``s`` over the rows of the group that come before the row's
+    value (above it if ``desc``). ``counts`` has one row per group and value.
 
-    Bucket bounds are approximate quantiles per group (a small table, at most
-    ``buckets`` values per group). Equal values always share a bucket, and buckets
-    are numbered in value order (descending when ``desc``), so a rank is the
-    rank inside the bucket plus the sizes of all earlier buckets.
+    The rows are range-partitioned by (group, value) and written; a group may span any number
+    of partitions.
     """
+    spark = counts.sparkSession
+    order = F.desc(value) if desc else F.asc(value)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(counts.repartitionByRange(n, *part, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*part, "_p").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    # range partitions are numbered in the order of the values; one row per group and partition
+    earlier = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, "_p", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}")
+                                           for s in sums])
+    within = Window.partitionBy(*part, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in part] + [F.col("d._p") == F.col("o._p")]
+    joined = dealt.alias("d").join(offsets.alias("o"), on)
+    return joined.select("d.*", *[F.col(f"o._o_{s}") for s in sums]).select(
+        *counts.columns, *[(F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(within), F.lit(0))).alias(f"before_{s}")
+                           for s in sums])
+
+
+def _ranks(counts: DataFrame, value: str, part: list[str], out: str) -> DataFrame:
+    """(*part, value, out): the mean position of the rows of each value, from 1, ties sharing one."""
+    per_value = counts.groupBy(*part, value).agg(F.sum("n").alias("n"))
+    ranked = prefix_sums(per_value, value, part, ["n"])
+    return ranked.select(*part, value, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(out))
+
+
+def _same(a: str, b: str, cols: list[str]):
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+
+
+def avg_rank(df: DataFrame, col: str, part: list[str], out: str) -> DataFrame:
+    """``df`` with the average rank (ties share the mean of their positions) of ``col`` within
+    each ``part`` group. Null values get no rank."""
     if not part:
         raise ValueError("rank statistics need at least one group column (e.g. task)")
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*part).agg(F.percentile_approx(col, probs, 10000).alias("_q"))
-    few = bounds.limit(MAX_LITERAL_GROUPS + 1).collect()
-    if len(few) <= MAX_LITERAL_GROUPS:
-        expr = None
-        for r in few:
-            cond = None
-            for p in part:
-                c = F.col(p).eqNullSafe(F.lit(r[p]))
-                cond = c if cond is None else cond & c
-            arr = F.array(*[F.lit(float(x)) for x in (r["_q"] or [])]).cast("array<double>")
-            expr = F.when(cond, arr) if expr is None else expr.when(cond, arr)
-        j = df.withColumn("_q", expr if expr is not None else F.array().cast("array<double>"))
-    else:
-        j = df.join(bounds, part)
-    v = F.col(col)
-    below = F.size(F.filter(F.array_distinct("_q"), lambda q: q < v))
-    b = (F.size(F.array_distinct("_q")) - below) if desc else below
-    return j.withColumn("_b", b).drop("_q")
-
-
-def _offsets(bucketed: DataFrame, part: list[str], sums: dict) -> DataFrame:
-    """Per (group, bucket): totals of earlier buckets (small table)."""
-    tot = bucketed.groupBy(*part, "_b").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return tot.select(*part, "_b", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_off{n}")
-                                     for n in sums])
-
-
-def avg_rank(df: DataFrame, col: str, part: list[str], out: str, buckets: int = BUCKETS) -> DataFrame:
-    """Average rank (ties share the mean of their positions) of ``col`` within
-    each ``part`` group, computed bucket by bucket (no group sorted in one task)."""
-    bk = _bucketed(df, col, part, buckets, desc=False)
-    offs = _offsets(bk, part, {"n": F.lit(1)})
-    w = Window.partitionBy(*part, "_b").orderBy(col)
-    ties = Window.partitionBy(*part, "_b", col)
-    r = bk.join(F.broadcast(offs), part + ["_b"]) \
-          .withColumn(out, F.rank().over(w) + F.col("_offn") + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
-    return r.drop("_b", "_offn")
+    known = df.where(F.col(col).isNotNull()).groupBy(*part, col).agg(F.count(F.lit(1)).alias("n"))
+    ranks = _ranks(known, col, part, out)
+    return df.alias("d").join(ranks.alias("r"), _same("d", "r", [*part, col]), "left").select("d.*", F.col(f"r.{out}"))
 
 
 def spearman(df: DataFrame, x: str, y: str, part: list[str]) -> DataFrame:
-    """Spearman correlation of x and y per group (average ranks for ties)."""
-    r = avg_rank(df.select(*part, x, y, F.monotonically_increasing_id().alias("_row")), x, part, "_rx")
-    r = avg_rank(r, y, part, "_ry")
-    return r.groupBy(*part).agg(F.round(F.corr("_rx", "_ry"), DIGITS).alias("spearman"))
+    """Spearman correlation of x and y per group (average ranks for ties).
+
+    Pairs with a null value are left out. Works on the distinct (group, x, y) with their
+    numbers; the correlation is of the ranks weighted by them. A group whose x or y has one
+    value only has no correlation (null).
+    """
+    if not part:
+        raise ValueError("rank statistics need at least one group column (e.g. task)")
+    pairs = cut_lineage(df.dropna(subset=[x, y]).groupBy(*part, x, y).agg(F.count(F.lit(1)).alias("n")), "pairs")
+    rx, ry = _ranks(pairs, x, part, "rx"), _ranks(pairs, y, part, "ry")
+    r = pairs.alias("p").join(rx.alias("a"), _same("p", "a", [*part, x])).join(ry.alias("b"), _same("p", "b", [*part, y]))
+    # ranks are halves around the group's mean rank (n + 1) / 2, which is taken off first
+    r = r.select(*[F.col(f"p.{c}").alias(c) for c in part], F.col("p.n").alias("n"), "rx", "ry")
+    mean = r.groupBy(*part).agg(((F.sum("n") + 1) / 2.0).alias("mean"))
+    c = r.alias("p").join(mean.alias("m"), _same("p", "m", part)).select(
+        *[F.col(f"p.{k}").alias(k) for k in part], "n", (F.col("rx") - F.col("mean")).alias("dx"),
+        (F.col("ry") - F.col("mean")).alias("dy"))
+    s = c.groupBy(*part).agg(F.sum(F.col("n") * F.col("dx") * F.col("dy")).alias("xy"),
+                             F.sum(F.col("n") * F.col("dx") * F.col("dx")).alias("xx"),
+                             F.sum(F.col("n") * F.col("dy") * F.col("dy")).alias("yy"))
+    apart = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
+    return s.select(*part, F.round(F.when(apart > 0, F.col("xy") / apart), DIGITS).alias("spearman"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, part: list[str]) -> DataFrame:
     """AP of a score against 0/1 labels; equal scores share one threshold.
 
-    Cumulative counts (rows and positives with a score >= the row's) are the
-    counts inside the row's value bucket plus the totals of higher buckets.
+    At a value, precision counts the rows and positives with at least that score; each of the
+    value's positives adds it once. Rows without score or label are left out.
     """
-    bk = _bucketed(df.select(*part, score, label), score, part, BUCKETS, desc=True)
-    offs = _offsets(bk, part, {"n": F.lit(1), "tp": F.col(label)})
-    w = Window.partitionBy(*part, "_b").orderBy(F.desc(score)) \
-              .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    c = bk.join(F.broadcast(offs), part + ["_b"]).select(
-        *part, label, (F.sum(label).over(w) + F.col("_offtp")).alias("_tp"),
-        (F.count(F.lit(1)).over(w) + F.col("_offn")).alias("_n"))
-    return c.groupBy(*part).agg(F.round(
-        F.coalesce(F.sum(F.when(F.col(label) > 0, F.col("_tp") / F.col("_n"))) / F.sum(label), F.lit(0.0)),
-        DIGITS).alias("average_precision"))
+    if not part:
+        raise ValueError("rank statistics need at least one group column (e.g. task)")
+    per_value = df.dropna(subset=[score, label]).groupBy(*part, score).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(label) > 0).cast("bigint")).alias("tp"))
+    c = prefix_sums(per_value, score, part, ["n", "tp"], desc=True)
+    found = (F.col("before_tp") + F.col("tp")) / (F.col("before_n") + F.col("n"))
+    return c.groupBy(*part).agg(F.round(F.coalesce(
+        F.sum(F.when(F.col("tp") > 0, F.col("tp") * found)) / F.sum("tp"), F.lit(0.0)), DIGITS).alias("average_precision"))
 
 
 def main_score(task_scores: DataFrame) -> DataFrame:
@@ -114,11 +123,11 @@ def task_average(main_scores: DataFrame) -> DataFrame:
 def classification_accuracy(df: DataFrame, label: str, vec: str = "embedding",
                             key: str = "row_id", test_mod: int = 5, seed: int = 42) -> DataFrame:
     """Logistic regression on the vectors; rows with hash(key) % test_mod == 0 are
-    held out. One row: accuracy, train and test counts."""
+    held out. One row: accuracy and test rows. Rows without label or vector are left out."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
-    data = df.select(key, F.col(label).cast("double").alias("label"),
-                     array_to_vector(vec).alias("features"))
+    data = df.dropna(subset=[label, vec]).select(key, F.col(label).cast("double").alias("label"),
+                                                 array_to_vector(vec).alias("features"))
     held = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(test_mod)) == 0
     train, test = data.where(~held), data.where(held)
     model = LogisticRegression(maxIter=50, regParam=1e-3).fit(train)

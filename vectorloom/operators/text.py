@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_bounded
+from ..functions.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_bounded, skew_join
 from .tables import EmbeddingModel, remap_token_ids
 
 WORD_PATTERN = r"[\p{L}\p{N}]+"
@@ -65,10 +65,8 @@ def token_weights(texts: DataFrame, vocab: DataFrame, a: float = 1e-3,
 def tokenize(texts: DataFrame, vocab: DataFrame, id_col: str = "text_id",
              text_col: str = "text") -> DataFrame:
     """(text_id, pos, token_id) for in-vocabulary words; pos counts all words."""
-    v, _ = broadcast_if_bounded(vocab.select("word", "token_id"), 96)
-    return (texts.select(F.col(id_col).alias("text_id"),
-                         F.posexplode(words_expr(text_col)).alias("pos", "word"))
-            .join(v, "word").select("text_id", "pos", "token_id"))
+    words = texts.select(F.col(id_col).alias("text_id"), F.posexplode(words_expr(text_col)).alias("pos", "word"))
+    return skew_join(words, vocab.select("word", "token_id"), "word").select("text_id", "pos", "token_id")
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..operators import rank as R
 from ..operators import reports as RP
 from ..operators import tasks as TK
-from ..session import materialize, scratch_path
+from ..operators.text import encode
+from ..session import cut_lineage, materialize, scratch_path
 from ..sources import testdata as T
 from ..operators import relevance as M
 from . import evaluation as E
@@ -293,9 +294,13 @@ def q_task_average(spark, sf):
 
 @register("classification_accuracy")
 def q_classification_accuracy(spark, sf):
-    m = base(spark, sf)
-    e = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
-    return TK.classification_accuracy(m.weights.join(e, "row_id"), "label")
+    """Each class column of ``labels`` learned from the encoded documents: task, accuracy, test_rows."""
+    m = model_artifact(spark, sf, "turbo-lloyd-1")
+    vectors = cut_lineage(encode(T.texts(spark, sf), m, vocab(spark, sf, base(spark, sf))), "encoded")
+    rows = vectors.join(T.table(spark, sf, "labels").withColumnRenamed("doc_id", "text_id"), "text_id")
+    parts = [TK.classification_accuracy(rows, c, key="text_id").select(F.lit(c).alias("task"), "*")
+             for c in ("quality", "toxic")]
+    return parts[0].unionByName(parts[1])
 
 
 # --------------------------------------------------------------------------

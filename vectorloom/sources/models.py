@@ -93,7 +93,7 @@ def export_packed(model: EmbeddingModel) -> tuple[DataFrame, dict]:
     stored, so unpack + lookup reproduces the uniform decode exactly.
     """
     if model.kind not in (UNIFORM, CODEBOOK):
-        raise TypeError(f"Expected quantized weights, got {model.kind!r}. Run a quantization step first.")
+        raise TypeError(f"only scalar codes can be packed, and the weights are {model.kind!r}: quantize them first")
     d, bits = model.dim, model.bits
     if model.kind == UNIFORM:
         shift = uniform_qmax(bits) + 1
