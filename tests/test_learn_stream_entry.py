@@ -72,20 +72,29 @@ def test_pca_subspace_matches_numpy_svd(spark, sf):
     assert np.allclose(y @ y.T, p @ p.T, atol=1e-6)       # sign-free comparison
 
 
-def test_stream_replay_keeps_state(spark, sf):
+def test_stream_goes_on_from_its_state(spark, sf):
+    """Half of the shards, a restart with the other half, and a restart with nothing new: the state
+    equals the batch ranking, and nothing but the stream's checkpoint was written."""
+    import os
+    import shutil
+    import tempfile
     from vectorloom.plans import registry_streams as RS
     from vectorloom.session import scratch_path
     from vectorloom.streaming import corpus as S
-    from vectorloom.operators.text import encode
     m, v = registry._model_and_vocab(spark, sf)
-    q = encode(T.topics_b(spark, sf).select(F.col("qid").alias("text_id"), "text"), m, v) \
-        .withColumnRenamed("text_id", "qid")
-    src = RS.write_stream_corpus(spark, sf)
-    state, ckpt = scratch_path(spark, "st"), scratch_path(spark, "ck")
-    first, _ = S.stream_topk(S.stream_corpus(spark, src, RS.STREAM_GLOB), q, m, v, 10, state, ckpt)
-    a = {tuple(r) for r in first.collect()}
-    again, _ = S.stream_topk(S.stream_corpus(spark, src, RS.STREAM_GLOB), q, m, v, 10, state, ckpt)
-    assert {tuple(r) for r in again.collect()} == a and len(a) > 0
+    q = RS._topic_vectors(spark, sf, m, v)
+    src, ckpt = RS.write_stream_passages(spark, sf), scratch_path(spark, "ck")
+    arriving = tempfile.mkdtemp(prefix="vectorloom-arriving-")
+    shards = sorted(f for f in os.listdir(src) if f.endswith(".gz"))
+    run = lambda: S.stream_topk(RS._stream(spark, arriving), q, m, v, 100, ckpt)[0]     # noqa: E731
+    for half in (shards[:4], shards[4:], []):
+        for f in half:
+            shutil.copy(f"{src}/{f}", arriving)
+        top = run()
+    batch = {tuple(r) for r in registry.QUERIES["topk_full"](spark, sf).collect()}
+    assert {tuple(r) for r in RS._ranked_out(top).collect()} == batch
+    assert os.listdir(os.path.dirname(ckpt)) and not any(
+        f.endswith(".parquet") for _, _, files in os.walk(ckpt) for f in files)
 
 
 def test_stateful_stream_equals_batch(spark, sf):

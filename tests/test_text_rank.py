@@ -124,5 +124,5 @@ def test_topk_of_string_ids_within_groups(spark):
     want = []
     for qid, lang, q in queries:
         near = sorted((-round(float(np.dot(q, v)), 9), d) for d, g, v in rows if lang and g == lang)[:6]
-        want += [(qid, d, i + 1, -s) for i, (s, d) in enumerate(near)]
+        want += [(qid, lang, d, i + 1, -s) for i, (s, d) in enumerate(near)]
     assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -69,17 +69,18 @@ def num_relevant(j: Judgments) -> DataFrame:
 def ranked_rels(ranked: DataFrame, j: Judgments) -> DataFrame:
     """ranked (qid, *by, docid, rank, ...) + rel; unjudged documents get 0.
 
-    By rule: the ranked pairs get their query's keys and meet the passages on id and keys
-    together, an inner join, so that the short ranked list can be the side that is sent.
+    By rule: the query's keys are joined to the ranked rows, then passages that have the same
+    id and keys. The ranked list is read once, since all of the ranking hangs on it.
     """
     pair = _unique(*j.query, "docid")
     if j.explicit:
         rels = j.qrels.select(*pair, F.col("rel").cast("int").alias("rel"))
-    else:
-        on = _unique("docid", *j.by, *j.keys)
-        asked = ranked.select(*pair).join(j.query_keys.select(*_unique(*j.query, *j.keys)), j.query)
-        rels = j.doc_keys.select(*on).join(asked, on).select(*pair, F.lit(1).alias("rel")).distinct()
-    return ranked.join(rels, pair, "left").withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)))
+        return ranked.join(rels, pair, "left").withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)))
+    extra = [k for k in j.keys if k not in j.by]
+    asked = ranked.join(j.query_keys.select(*j.query, *[F.col(k).alias(f"_q_{k}") for k in extra]), j.query, "left")
+    same = j.doc_keys.select(*j.doc, *[F.col(k).alias(f"_q_{k}") for k in extra], F.lit(1).alias("rel"))
+    labelled = asked.join(same, [*j.doc, *[f"_q_{k}" for k in extra]], "left")
+    return labelled.select(*ranked.columns, F.coalesce("rel", F.lit(0)).alias("rel"))
 
 
 def pooled_docids(j: Judgments) -> DataFrame:

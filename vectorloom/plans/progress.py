@@ -25,9 +25,11 @@ def _entry(log: str, model: str, lang: str) -> str:
 
 def committed(spark: SparkSession, log: str, schema: str) -> DataFrame:
     """(model, lang, metrics, seconds) of every pair in the log; ``schema`` names the metrics."""
-    return (spark.read.schema(f"model string, lang string, {schema}, seconds double")
-            .parquet(f"{log.rstrip('/')}/*/scores") if store.files(spark, f"{log.rstrip('/')}/*/scores")
-            else spark.createDataFrame([], f"model string, lang string, {schema}, seconds double"))
+    entries = f"{log.rstrip('/')}/[0-9a-f]*/scores"          # not what is being written aside
+    full = f"model string, lang string, {schema}, seconds double"
+    if not store.files(spark, entries):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(entries)
 
 
 def todo(requested: DataFrame, log: DataFrame, keys=KEYS) -> DataFrame:

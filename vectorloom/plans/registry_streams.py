@@ -1,7 +1,7 @@
 """Registered queries: the Structured Streaming corpus pass.
 
-The corpus is written from ``documents`` (passages B: doc_id % 7 <> 0) as gzip
-JSON-lines shards, then consumed as a stream in micro-batches. The streamed
+``documents`` are written as gzip JSON-lines shards, then consumed as a stream in
+micro-batches. The streamed
 results must equal the batch ones, so the checks reuse the batch SQL.
 """
 
@@ -23,55 +23,73 @@ SHARDS = 8
 STREAM_GLOB = "part-*.json.gz"
 
 
-def write_stream_corpus(spark, sf, shards: int | None = None) -> str:
-    shards = shards or SHARDS
+def _write_shards(docs, spark, shards: int | None) -> str:
     path = scratch_path(spark, "stream-corpus")
-    (T.passages_b(spark, sf).select(F.col("docid").cast("string").alias("docid"),
-                                    F.lit(None).cast("string").alias("title"), "text")
-       .repartition(shards).write.mode("overwrite").option("compression", "gzip").json(path))
+    (docs.select(F.col("docid").cast("string").alias("docid"), F.lit(None).cast("string").alias("title"), "text")
+     .repartition(shards or SHARDS).write.mode("overwrite").option("compression", "gzip").json(path))
     return path
 
 
-def _stream(spark, sf):
-    return S.stream_corpus(spark, write_stream_corpus(spark, sf), glob=STREAM_GLOB, files_per_batch=2,
-                           id_type="bigint")
+def write_stream_corpus(spark, sf, shards: int | None = None) -> str:
+    """All documents as shards."""
+    return _write_shards(T.passages(spark, sf), spark, shards)
+
+
+def write_stream_passages(spark, sf, shards: int | None = None) -> str:
+    """The passages of the ranked queries (topics B are documents themselves and stay out)."""
+    return _write_shards(T.passages_b(spark, sf), spark, shards)
+
+
+def _stream(spark, path, files_per_batch: int = 2):
+    return S.stream_corpus(spark, path, glob=STREAM_GLOB, files_per_batch=files_per_batch, id_type="bigint")
 
 
-@register("stream_corpus", "SELECT text_id AS docid, text FROM (" + O.PASSAGES_B + ")")
+@register("stream_corpus", "SELECT text_id AS docid, coalesce(text, '') AS text FROM (" + O.DOCS + ")")
 def q_stream_corpus(spark, sf):
     out = scratch_path(spark, "stream-raw")
-    S._run(_stream(spark, sf).writeStream.format("parquet").option("path", out),
+    S._run(_stream(spark, write_stream_corpus(spark, sf)).writeStream.format("parquet").option("path", out),
            scratch_path(spark, "ckpt-raw"))
     return spark.read.parquet(out)
 
 
-@register("stream_encode", _sql_encode("turbo-lloyd-1", O.PASSAGES_B))
+@register("stream_encode", _sql_encode("turbo-lloyd-1", O.DOCS))
 def q_stream_encode(spark, sf):
     m, v = _model_and_vocab(spark, sf)
-    enc, _ = S.stream_encode(_stream(spark, sf), m, v, scratch_path(spark, "stream-enc"),
+    enc, _ = S.stream_encode(_stream(spark, write_stream_corpus(spark, sf)), m, v, scratch_path(spark, "stream-enc"),
                              scratch_path(spark, "ckpt-enc"))
     return V.long_form(enc.withColumnRenamed("docid", "text_id"), "text_id", "embedding")
 
 
-def _stream_topk(spark, sf, state, k=100):
-    m, v = _model_and_vocab(spark, sf)
-    q = encode(T.topics_b(spark, sf).select(F.col("qid").alias("text_id"), "text"), m, v) \
+def _topic_vectors(spark, sf, m, v):
+    return encode(T.topics_b(spark, sf).select(F.col("qid").alias("text_id"), "text"), m, v) \
         .withColumnRenamed("text_id", "qid")
-    return S.stream_topk(_stream(spark, sf), q, m, v, k, state,
-                         scratch_path(spark, "ckpt-topk"))
 
 
 @register("stream_topk", _sql_topk_full)
 def q_stream_topk(spark, sf):
-    top, _ = _stream_topk(spark, sf, scratch_path(spark, "stream-state"))
+    m, v = _model_and_vocab(spark, sf)
+    top, _ = S.stream_topk(_stream(spark, write_stream_passages(spark, sf)), _topic_vectors(spark, sf, m, v), m, v, 100,
+                           scratch_path(spark, "ckpt-topk"))
     return _ranked_out(top)
 
 
-@register("stream_progress")
+PROGRESS_FILES = 12
+
+
+@register("stream_progress", (
+    f"SELECT r.i AS batch_id, (SELECT count(*) FROM documents) AS passages, {PROGRESS_FILES}::BIGINT AS batches "
+    f"FROM (SELECT range::BIGINT AS i FROM range({PROGRESS_FILES})) r"))
 def q_stream_progress(spark, sf):
-    state = scratch_path(spark, "stream-state")
-    _stream_topk(spark, sf, state, k=10)
-    return S.progress_rows(spark, state)
+    """Progress of a pass over all documents, a shard a batch: every batch, and the passages that
+    all of them report together (the figures of a single batch follow how shards fall)."""
+    folder = scratch_path(spark, "stream-progress")
+    m, v = _model_and_vocab(spark, sf)
+    q = T.vector_queries(spark, sf).select("qid", "embedding")
+    S.stream_topk(_stream(spark, write_stream_corpus(spark, sf, PROGRESS_FILES), 1), q, m, v, 10,
+                  scratch_path(spark, "ckpt-progress"), folder)
+    rows = S.progress_rows(spark, folder)
+    whole = rows.agg(F.max("total_rows").alias("passages"), F.count(F.lit(1)).alias("batches"))
+    return rows.select("batch_id", F.lit(1).alias("k")).join(whole.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 @register("stream_quantize", _sql_turbo(2))

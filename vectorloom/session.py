@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -71,7 +72,7 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-_MATERIALIZED: dict[tuple, str] = {}
+_MATERIALIZED: dict[tuple, tuple[str, StructType]] = {}
 
 
 def materialize(df_builder, key: tuple, spark: SparkSession, name: str = "table",
@@ -85,9 +86,9 @@ def materialize(df_builder, key: tuple, spark: SparkSession, name: str = "table"
     """
     from .sources.store import fingerprint
     full_key = (ensure_checkpoint_dir(spark), fingerprint(spark, *data)) + tuple(key)
-    path = _MATERIALIZED.get(full_key)
-    if path is None:
-        path = scratch_path(spark, name)
-        df_builder().write.mode("overwrite").parquet(path)
-        _MATERIALIZED[full_key] = path
-    return spark.read.parquet(path)
+    if full_key not in _MATERIALIZED:
+        path, built = scratch_path(spark, name), df_builder()
+        built.write.mode("overwrite").parquet(path)
+        _MATERIALIZED[full_key] = path, built.schema
+    path, schema = _MATERIALIZED[full_key]
+    return spark.read.schema(schema).parquet(path)       # known, so that no job looks for it

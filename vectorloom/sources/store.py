@@ -45,6 +45,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small text file at ``path``, replacing one that is there."""
+    fs, at = _file_system(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, partition_by: str | None = None) -> str:
     """Writes the tables to ``path/<name>`` as one: aside first, then moved by one rename.
 

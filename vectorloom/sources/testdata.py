@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import vectors as V
 from ..operators.relevance import Judgments
@@ -24,8 +25,16 @@ QUERY_MOD = 7
 VECTOR_QUERY_MOD = 10
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the folder. Its schema is looked up in the files once per state of them."""
+    path, = paths(sf_dir, name)
+    key = path, fingerprint(spark, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def paths(sf_dir: str, *names: str) -> list[str]:
