@@ -265,6 +265,57 @@ def rotate(df: DataFrame, turn: Callable[[np.ndarray], np.ndarray], d: int, vec_
     return src.mapInArrow(run, f"{ddl}`{out}` array<double>")
 
 
+# --------------------------------------------------------------------------
+# codes
+# --------------------------------------------------------------------------
+
+def unpacked(column: pa.Array, d: int, bits: int) -> np.ndarray:
+    """The (rows, D) codes of a binary column of packed rows (layout: ``functions.bits``)."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+    if bits not in (1, 2, 4):
+        return raw[:, :d]
+    per = 8 // bits
+    shifts = np.arange(per - 1, -1, -1, dtype=np.uint8) * bits          # the first code is in the top bits
+    return ((raw[:, :, None] >> shifts) & ((1 << bits) - 1)).reshape(len(raw), -1)[:, :d]
+
+
+def unpack_rows(df: DataFrame, d: int, bits: int, key: str = "row_id", packed: str = "packed") -> DataFrame:
+    """(key, codes array<int>) of packed rows."""
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows:
+                codes = unpacked(rb.column(1), d, bits).astype(np.int32)
+                ends = pa.array(np.arange(0, codes.size + 1, d, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([rb.column(0), pa.ListArray.from_arrays(ends, pa.array(codes.reshape(-1)))],
+                                                 names=[key, "codes"])
+    return df.select(key, packed).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, codes array<int>")
+
+
+def decode_rows(df: DataFrame, keep: list[str], d: int, codes: str, bits: int | None = None,
+                levels: list[float] | None = None, books: np.ndarray | None = None) -> DataFrame:
+    """(*keep, embedding): PQ codes looked up in their broadcast codebooks, or packed codes in the
+    levels and scaled. The codebooks never enter the plan."""
+    held = df.sparkSession.sparkContext.broadcast(books if books is not None else np.asarray(levels))
+    n = len(keep)
+
+    def run(batches):
+        values = held.value
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            if bits is None:
+                m = values.shape[0]
+                at = rb.column(n).flatten().to_numpy(zero_copy_only=False).reshape(-1, m).astype(np.int64)
+                x = values[np.arange(m), at].reshape(-1, d)
+            else:
+                x = values[unpacked(rb.column(n), d, bits)] * np.asarray(rb.column(n + 1))[:, None]
+            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in range(n)), _list_array(x)],
+                                             names=[*keep, "embedding"])
+    src = df.select(*keep, codes, *([] if bits is None else ["scale"]))
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:n])
+    return src.mapInArrow(run, f"{ddl}embedding array<double>")
+
+
 # --------------------------------------------------------------------------
 # nearest centroid
 # --------------------------------------------------------------------------

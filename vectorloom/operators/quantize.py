@@ -139,7 +139,7 @@ def quantization_error(original: DataFrame, model: EmbeddingModel,
     (pass it as ``original`` with ``rotated=True``), since rotation is not undone.
     """
     d = model.dim
-    dec = model.weights.select("row_id", model.decode_expr().alias("_y"))
+    dec = model.decoded(model.weights, ["row_id"]).withColumnRenamed("embedding", "_y")
     j = original.select("row_id", V.as_double_array("embedding").alias("_x")).join(dec, "row_id")
     return j.agg((F.sum(V.sq_dist_expr("_x", "_y")) / (F.count(F.lit(1)) * F.lit(float(d)))).alias("mse"),
                  F.count(F.lit(1)).alias("rows"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.joins import skew_join
 from ..functions.levels import uniform_qmax
+from . import kernels
 
 DENSE, UNIFORM, CODEBOOK, PQ, PACKED = "dense", "uniform", "codebook", "pq", "packed"
 
@@ -95,6 +96,15 @@ class EmbeddingModel:
                                        F.element_at(F.col("codes"), j + 1).cast("int") + 1)))
         raise ValueError(f"unknown weight kind {self.kind!r}")
 
+    def decoded(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """(*keep, embedding) of rows that hold the columns of ``weights``; codebooks of PQ and
+        packed models are broadcast to a kernel instead of written into the plan."""
+        if self.kind == PQ:
+            return kernels.decode_rows(rows, keep, self.dim, "codes", books=self.pq_codebooks)
+        if self.kind == PACKED:
+            return kernels.decode_rows(rows, keep, self.dim, "packed", self.bits, self.codebook)
+        return rows.select(*keep, self.decode_expr().alias("embedding"))
+
     def weight_columns(self) -> list[str]:
         return {DENSE: ["embedding"], UNIFORM: ["codes", "scale"],
                 CODEBOOK: ["codes", "scale"], PQ: ["codes"],
@@ -129,7 +139,7 @@ def decode(model: EmbeddingModel, rows: DataFrame | None = None) -> DataFrame:
     w = model.weights
     if rows is not None:
         w = w.join(rows.select("row_id").distinct(), "row_id")
-    return w.select("row_id", model.decode_expr().alias("embedding"))
+    return model.decoded(w, ["row_id"])
 
 
 def dense_model(weights: DataFrame, dim: int, num_rows: int,
@@ -184,9 +194,7 @@ def resolve_token_rows(tokens: DataFrame, token_to_row: DataFrame | None) -> Dat
 
 def gather_rows(ids: DataFrame, model: EmbeddingModel) -> DataFrame:
     """weights[idx]: join on row_id first, decode only the matched rows."""
-    j = ids.join(model.weights, "row_id")
-    rest = [c for c in ids.columns]
-    return j.select(*rest, model.decode_expr().alias("embedding"))
+    return model.decoded(ids.join(model.weights, "row_id"), ids.columns)
 
 
 

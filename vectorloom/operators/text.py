@@ -124,7 +124,7 @@ def encode(texts: DataFrame, model: EmbeddingModel, vocab: DataFrame,
     texts = spread(texts)
     lx = lex if lex is not None else lexicon(model, vocab)
     decoded_row = 64 + 8 * model.dim
-    dec = lx.select("word", model.decode_expr().alias("embedding"))
+    dec = model.decoded(lx, ["word"])
     if vocab_rows is not None:
         small = vocab_rows * decoded_row <= DECODED_LEXICON_BYTES
         dec_lx = F.broadcast(dec) if small else dec
@@ -158,8 +158,8 @@ def encode_models(texts: DataFrame, models: dict[str, EmbeddingModel], vocab: Da
     d = max(m.dim for m in models.values())
     lex, size = None, 0
     for name, m in models.items():
-        wide = m.decode_expr() if m.dim == d else F.concat(m.decode_expr(), F.array_repeat(F.lit(0.0), d - m.dim))
-        part = lexicon(m, vocab).select("word", F.lit(name).alias("model"), wide.alias("embedding"))
+        wide = F.concat("embedding", F.array_repeat(F.lit(0.0), d - m.dim)) if m.dim < d else F.col("embedding")
+        part = m.decoded(lexicon(m, vocab), ["word"]).select("word", F.lit(name).alias("model"), wide.alias("embedding"))
         lex = part if lex is None else lex.unionByName(part)
         size += m.tokens * (64 + 8 * d)
         lex = lex.unionByName(vocab.sparkSession.createDataFrame([("", name, None)], lex.schema))

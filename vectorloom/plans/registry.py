@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import vectors as V
 from ..functions.levels import uniform_qmax
+from ..operators import kernels
 from ..operators import quantize as Q
 from ..operators import rank as R
 from ..operators import relevance as M
@@ -396,7 +397,7 @@ def q_unpack_codes(spark, sf):
     for r in PACK_RECIPES:
         mr = recipe(spark, sf, r, m)
         p = _packed(mr)
-        u = p.select("row_id", B.unpack(F.col("packed"), mr.dim, mr.bits).alias("codes"))
+        u = kernels.unpack_rows(p, mr.dim, mr.bits)
         outs.append(codes_long(u, with_scale=False).select(F.lit(r).alias("name"), "row_id", "dim", "code"))
     out = outs[0]
     for o in outs[1:]:

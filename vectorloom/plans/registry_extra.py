@@ -133,9 +133,23 @@ def q_rotate_qr(spark, sf):
     return V.long_form(Q.rotate_qr(m.weights, m.dim), "row_id", "embedding")
 
 
-@register("quantize", _sql_turbo(3))
+def _sql_quantize():
+    s = O.Sql()
+    uniform = s.uniform_codes(4, s.dense(), "u4")
+    return (f"SELECT 'turbo-lloyd' AS way, * FROM ({_sql_turbo(3)()}) UNION ALL SELECT 'turbo-lloyd-qr', * FROM "
+            f"({_sql_turbo_qr()}) UNION ALL SELECT 'again', * FROM ({_sql_turbo(3)()}) UNION ALL SELECT 'uniform', * FROM ("
+            + s.build(f"SELECT row_id, dim, code, round(scale, 6) AS scale FROM {uniform}") + ")")
+
+
+@register("quantize", _sql_quantize)
 def q_quantize(spark, sf):
-    return codes_long(Q.quantize(base(spark, sf), bits=3, method="turbo-lloyd").weights)
+    """Every way of the dispatch: both rotations, uniform codes, and a quantized model, which stays."""
+    m = base(spark, sf)
+    turbo = Q.quantize(m, bits=3, method="turbo-lloyd")
+    ways = {"turbo-lloyd": turbo, "turbo-lloyd-qr": Q.quantize(m, bits=2, method="turbo-lloyd", rotation="qr"),
+            "again": Q.quantize(turbo, bits=4, method="uniform"), "uniform": Q.quantize(m, bits=4, method="uniform")}
+    parts = [codes_long(q.weights).select(F.lit(way).alias("way"), "*") for way, q in ways.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def _sql_pq_fit():
@@ -160,14 +174,15 @@ def q_pq_fit(spark, sf):
 NO_WORDS = "SELECT item_id::BIGINT AS text_id, regexp_replace(text, '[\\p{L}\\p{N}]', '', 'g') AS text FROM benchmark"
 
 
-@register("encode_empty", _sql_encode("turbo-lloyd-1", NO_WORDS))
+@register("encode_empty", _sql_encode("turbo-lloyd-1", NO_WORDS + " UNION ALL SELECT -1 - item_id::BIGINT, NULL FROM benchmark"))
 def q_encode_empty(spark, sf):
-    """Texts with no letter or digit left (benchmark texts stripped of them) and a
-    null text: every one still gets exactly one zero vector."""
+    """Texts with no letter or digit left (benchmark texts stripped of them) and as many
+    null texts: every one still gets exactly one zero vector."""
     m, v = _model_and_vocab(spark, sf)
-    t = T.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("text_id"), F.regexp_replace("text", r"[\p{L}\p{N}]", "").alias("text"))
-    return V.long_form(X.encode(t, m, v), "text_id", "embedding")
+    b = T.table(spark, sf, "benchmark")
+    t = b.select(F.col("item_id").alias("text_id"), F.regexp_replace("text", r"[\p{L}\p{N}]", "").alias("text"))
+    null = b.select((-1 - F.col("item_id")).alias("text_id"), F.lit(None).cast("string").alias("text"))
+    return V.long_form(X.encode(t.unionByName(null), m, v), "text_id", "embedding")
 
 
 @register("batched_encode", _sql_encode("turbo-lloyd-1", O.DOCS))
@@ -254,14 +269,21 @@ def _sql_compress_all():
         ("cluster-k32_int8", "embeddings_cluster-k32_int8", "32", "(32 * 64 * 8 + 7) // 8 + 4 * 32"),
         ("pq-m8-k16", "embeddings_pq-m8-k16", n, f"{n} * 8 + 4 * 8 * 16 * 8"),
     ]
-    return " UNION ALL ".join(f"SELECT '{r}' AS recipe, '{mname}' AS model, ({nr})::BIGINT AS num_rows, "
-                              f"({sz})::BIGINT AS size_bytes" for r, mname, nr, sz in rows)
+    s = O.Sql()
+    sq = {r: f"(SELECT round(sum(x * x), 4) FROM {s.model(r)})" for r in ("baseline", "int8", "int4", "turbo-lloyd-1")}
+    sq["pca-16d"] = f"round({n}::DOUBLE, 4)"              # its rows have norm 1
+    return s.build(" UNION ALL ".join(f"SELECT '{r}' AS recipe, '{mname}' AS model, ({nr})::BIGINT AS num_rows, "
+                                      f"({sz})::BIGINT AS size_bytes, {sq.get(r, 'NULL::DOUBLE')} AS squares"
+                                      for r, mname, nr, sz in rows))
 
 
 @register("compress_all", _sql_compress_all)
 def q_compress_all(spark, sf):
+    """Each written model with its rows, size and, where SQL has the same fit, the sum of the squares
+    of its decoded values."""
     done = P.compress_all(base(spark, sf), list(SCALED), SCALED, scratch_path(spark, "compress"))
-    return P.compress_summary(spark, done)
+    fitted = ["pca-16d_int4", "cluster-k32_int8", "pq-m8-k16"]
+    return P.compress_summary(spark, done).withColumn("squares", F.when(~F.col("recipe").isin(fitted), F.col("squares")))
 
 
 # --------------------------------------------------------------------------

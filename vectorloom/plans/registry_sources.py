@@ -105,18 +105,20 @@ def q_pooled_passages(spark, sf):
 
 
 @register("load_eval_set",
-          "SELECT (SELECT count(DISTINCT qid) FROM (" + O.QRELS_A + "))::BIGINT AS num_queries, "
-          "(SELECT count(*) FROM (" + O.QRELS_A + "))::BIGINT AS num_qrels, "
-          "(SELECT count(DISTINCT docid) FROM (" + O.QRELS_A + "))::BIGINT AS num_passages")
+          "SELECT 'topic' AS part, item_id::VARCHAR AS id, '' AS other, regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') AS value "
+          "FROM benchmark WHERE item_id IN (SELECT qid FROM (" + O.QRELS_A + ")) UNION ALL "
+          "SELECT 'qrel', qid::VARCHAR, docid::VARCHAR, rel::VARCHAR FROM (" + O.QRELS_A + ") UNION ALL "
+          "SELECT 'passage', docid, '', text FROM (" + SQL_PASSAGE + ") WHERE docid IN (SELECT docid::VARCHAR FROM ("
+          + O.QRELS_A + "))")
 def q_load_eval_set(spark, sf):
+    """Judged topics, qrels and pooled passages of the set, one under the other."""
     topics, qrels, passages = TR.load_eval_set(spark, write_topics(spark, sf), write_qrels(spark, sf),
                                                write_corpus(spark, sf), glob=CORPUS_GLOB)
-    tagged = (topics.select(F.lit("t").alias("w")).unionByName(qrels.select(F.lit("q").alias("w")))
-              .unionByName(passages.select(F.lit("p").alias("w"))))
-    w = F.col("w")
-    return tagged.agg(F.count(F.when(w == "t", 1)).cast("bigint").alias("num_queries"),
-                      F.count(F.when(w == "q", 1)).cast("bigint").alias("num_qrels"),
-                      F.count(F.when(w == "p", 1)).cast("bigint").alias("num_passages"))
+    rows = lambda df, part, id_, other, value: df.select(F.lit(part).alias("part"), F.col(id_).alias("id"),
+                                                         other.alias("other"), value.alias("value"))
+    return (rows(topics, "topic", "qid", F.lit(""), F.col("text"))
+            .unionByName(rows(qrels, "qrel", "qid", F.col("docid"), F.col("rel").cast("string")))
+            .unionByName(rows(passages, "passage", "docid", F.lit(""), F.col("text"))))
 
 
 def _sql_model_roundtrip():

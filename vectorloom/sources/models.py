@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions.levels import lloyd_levels, uniform_codebook, uniform_qmax
-from ..operators.tables import CODEBOOK, UNIFORM, EmbeddingModel
+from ..operators.tables import CODEBOOK, UNIFORM, EmbeddingModel, decode
 
 PACKED = "packed"
 
@@ -119,11 +119,7 @@ def packed_model(packed: DataFrame, meta: dict) -> EmbeddingModel:
 
 def decode_packed(packed: DataFrame, meta: dict) -> DataFrame:
     """(row_id, embedding) = scale * codebook[unpacked code]."""
-    d, bits = int(meta["embed_dim"]), int(meta["bits"])
-    cb = F.lit([float(v) for v in meta["codebook"]])
-    codes = B.unpack(F.col("packed"), d, bits)
-    return packed.select("row_id", F.transform(
-        codes, lambda c: F.col("scale") * F.element_at(cb, c + 1)).alias("embedding"))
+    return decode(packed_model(packed, meta))
 
 
 def save_packed(packed: DataFrame, meta: dict, path: str) -> str:
