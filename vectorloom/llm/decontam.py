@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import tokens as T
 
@@ -209,7 +210,7 @@ def overlaps(docs: DataFrame, items: DataFrame, n: int = 4, min_score: float = 0
 
 def _aligner(spark, block: Items, id_field):
     shared = T.share(spark, block)       # at most block_chars characters
-    item_type = pa.int64() if id_field.dataType.simpleString() == "bigint" else None
+    item_type = to_arrow_type(id_field.dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hasher = shared(), T.Hasher()

@@ -43,14 +43,25 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int =
     return mean, basis @ r
 
 
+def _filled(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    """The vectors, scaled to norm 1; shorter ones are filled up with zeros, which turns no angle."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = np.zeros((len(lengths), d))
+    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    x[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - starts] = flat
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def _codes(reps: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
     d, bits = projection.shape
     weights = (np.uint64(1) << np.arange(bits, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = _filled(b.column(2), d)
             code = np.where((x - mean) @ projection >= 0, weights, np.uint64(0)).sum(axis=1, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(code.view(np.int64))], names=[*b.schema.names, "code"])
@@ -74,37 +85,36 @@ def near_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
                tables: int = 4, max_distance: int = 18) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
-    members: vec_id, rep (least id with the same label and vector), copies; only
-    rows that can link. links: a < b, one row per pair of different vectors of a
-    label found with a cosine of at least ``threshold``.
+    members: uid, id, rep (least id of the rows with the same label and direction), copies; only
+    rows that can link. links: a < b, one row per pair of representatives of a label found
+    with a cosine of at least ``threshold``.
 
-    The rotation is learned on about ``sample_rows`` rows picked by a hash of the
-    vector; codes, tables and rerank cover every row. Vectors of another length
-    than the commonest one, zero vectors and those with null or non-finite
-    components, and rows with a null label link with nothing. A repeated id is
-    one vector per distinct value.
+    ``vectors`` has a column ``uid`` that no two rows share. The rotation is learned on about
+    ``sample_rows`` rows picked by a hash of the vector; codes, tables and rerank cover every row.
+    Vectors link only with vectors of their own length. Zero vectors and those with null or
+    non-finite components, rows with a null label and rows with a null id link with nothing.
+    Vectors are scaled by their largest component first, so no product overflows.
     """
-    good = (vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"),
-                           F.col(vector_col).alias("v"))
+    size = F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    good = (vectors.select("uid", F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"),
+                           F.col(f"`{vector_col}`").alias("v"))
             .filter(F.col("label").isNotNull() & F.col("id").isNotNull() & _finite("v"))
             .withColumn("v", F.transform("v", lambda x: x.cast("double") + F.lit(0.0)))
-            .filter(F.exists("v", lambda x: x != 0)))
+            .withColumn("size", size).filter("size > 0")
+            .withColumn("v", F.transform("v", lambda x: x / F.col("size")))
+            .select("uid", "id", F.struct("label", F.size("v").alias("d")).alias("label"), "v"))
     spark = vectors.sparkSession
-    widths = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not widths:
-        none = spark.createDataFrame([], "id bigint, rep bigint, copies bigint")
+    rows, d = good.agg(F.count("*"), F.max("label.d")).first()
+    if not rows:
+        none = spark.createDataFrame([], "uid bigint, id bigint, rep bigint, copies bigint")
         return none, spark.createDataFrame([], "a bigint, b bigint")
-    d, rows = widths[0]["d"], widths[0]["count"]
-    good = good.filter(F.size("v") == d)
-    reps = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = reps.select("rep", "label", "v", "copies")
+    # a representative is a row: ids may repeat over different vectors
+    reps = good.groupBy("label", "v").agg(F.min(F.struct("id", "uid")).alias("least"), F.count("*").alias("copies"))
+    reps = reps.select(F.col("least.uid").alias("rep"), "label", "v", "copies")
 
     share = min(1.0, sample_rows / rows)
     picked = reps.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v")
-    sample = (picked.limit(2 * sample_rows).toArrow().column("v").combine_chunks().flatten()
-              .to_numpy(zero_copy_only=False).reshape(-1, d))
-    sample = np.array(sample)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = _filled(picked.limit(2 * sample_rows).toArrow().column("v"), d)
     bits = min(64, d)
     mean, projection = learn_rotation(sample, bits)
     coded = cut_lineage(_codes(reps, mean, projection), "codes")
@@ -141,28 +151,33 @@ def near_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     vb = vecs.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
     cosine = _dot("va", "vb") / (F.sqrt(_dot("va", "va")) * F.sqrt(_dot("vb", "vb")))
     links = (pairs.join(va, "a").join(vb, "b").filter(cosine >= F.lit(threshold)).select("a", "b"))
-    members = good.join(coded.select("rep", "label", "v", "copies"), ["label", "v"]).select("id", "rep", "copies")
+    members = good.join(coded.select("rep", "label", "v", "copies"), ["label", "v"]).select("uid", "id", "rep", "copies")
     return members, cut_lineage(links, "links")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", **options) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
+                    label_col: str = "label", **options) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept. See ``near_links``.
 
-    n_links counts the other vectors linked directly, copies included. A row that
-    links with nothing is its own component. An empty table gives an empty result.
+    n_links counts the other rows linked directly, copies included; component_id is the least
+    id of the rows reachable by links. A row that links with nothing is its own component.
+    Rows that repeat, and rows of one id with different vectors, each count and give a row. An
+    empty table gives an empty result; other columns are ignored.
     """
-    members, links = near_links(vectors, id_col=id_col, **options)
-    copies = members.select("rep", "copies").distinct()
+    rows = cut_lineage(vectors.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, vector_col, label_col))],
+                                      F.monotonically_increasing_id().alias("uid")), "vectors")
+    members, links = near_links(rows, id_col=id_col, vector_col=vector_col, label_col=label_col, **options)
+    members = cut_lineage(members, "vector_members")
+    reps = members.groupBy("rep").agg(F.min("id").alias("least"), F.first("copies").alias("copies"))
     both = links.union(links.select("b", "a"))
-    others = (both.join(copies.select(F.col("rep").alias("b"), "copies"), "b")
+    others = (both.join(reps.select(F.col("rep").alias("b"), "copies"), "b")
               .groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others")))
-    of = components(links).select(F.col("node").alias("rep"), "component_id")
-    found = (members.join(others, "rep", "left").join(of, "rep", "left")
-             .select(F.col("id").alias(id_col),
-                     (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                     F.coalesce("component_id", "rep").alias("component_id")))
-    ids = vectors.select(id_col)
-    out = ids.join(found, id_col, "left")
-    return out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                      F.coalesce("component_id", F.col(id_col)).cast("bigint").alias("component_id"),
-                      (F.coalesce("component_id", F.col(id_col)) == F.col(id_col)).alias("kept"))
+    of = components(links).select(F.col("node").alias("rep"), F.col("component_id").alias("group"))
+    named = reps.join(of, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    found = (members.join(named.select("rep", "group"), "rep").join(least, "group").join(others, "rep", "left")
+             .select("uid", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    out = rows.select(F.col(f"`{id_col}`"), "uid").join(found, "uid", "left")
+    component = F.coalesce("component_id", F.col(f"`{id_col}`"))
+    return out.select(F.col(f"`{id_col}`"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                      component.cast("bigint").alias("component_id"), (component == F.col(f"`{id_col}`")).alias("kept"))
