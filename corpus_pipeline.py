@@ -44,6 +44,8 @@ def language_limits(docs: DataFrame, model: language_id.KernelModel) -> tuple[di
 
 
 def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of a recognised language. Null texts and texts without a letter go (they are ``und``);
+    a score at the limit stays; repeated rows are judged each; an empty table gives an empty result."""
     model = language_id.fit(*language_id.training_sample(docs))
     own, overall = language_limits(docs, model)
     limit = spark.createDataFrame(list(own.items()), "__l string, __limit double")      # a row per language
@@ -54,21 +56,36 @@ def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with later repeats of line runs deleted; a row all of whose lines are deleted goes. Null
+    texts stay as they are; of equal rows the first keeps its lines; an empty table stays empty."""
     left = line_dedup.dedup_lines(docs).filter("n_deleted = 0 or n_deleted < n_lines")
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.join_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    extra = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that of the least doc_id, a null one last, then the first.
+
+    Rows are told apart by their place, not by doc_id, so a row that repeats goes as a copy and
+    a unique text stays whatever other rows share its id. Texts without words link with nothing
+    and stay. An empty table gives an empty result.
+    """
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())       # docs is a written table
+    groups = jaccard_join.join_components(rows, n=NEAR_WORDS, percent=NEAR_PERCENT, id_col="__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    chosen = (rows.select("__row", "doc_id").join(groups.select("__row", "component_id"), "__row")
+              .groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row")))
+    return rows.join(chosen, "__row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that overlap no benchmark item. Null texts overlap nothing; rows that share an id with
+    a contaminated row go with it; without rows or items nothing changes."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places. A null text is an empty one; repeated rows are packed
+    each; an empty table gives no piece."""
     return packing.pack(packing.cut_documents(docs))
 
 
