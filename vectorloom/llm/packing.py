@@ -16,6 +16,7 @@ import base64
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,14 @@ SPECIAL = "<|endoftext|>"
 CACHE_WORDS = 400_000
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class ByteBpe:
     """Ids of the byte-level BPE, as little-endian unsigned 32-bit bytes.
 
@@ -51,8 +60,19 @@ class ByteBpe:
         self._words: dict[str, bytes] = {}
         self._odd = re.compile(r"\s ")
 
+    @classmethod
+    def held(cls, ranks_path: str, pattern: str, special_id: int) -> ByteBpe:
+        """The tokenizer of this Python worker, with the words it has met in earlier tasks."""
+        import public_tokenizers          # a module that outlives the task's own copy of this one
+
+        kept = public_tokenizers.__dict__.setdefault("_byte_bpe_of_worker", {})
+        key = ranks_path, pattern, special_id
+        if key not in kept:
+            kept[key] = cls(*key)
+        return kept[key]
+
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self._bpe.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        return _bytes(self._bpe.encode(text, allowed_special="all"))
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -65,11 +85,12 @@ class ByteBpe:
             known.clear()
         out = list(map(known.get, words[1:]))
         if None in out:
+            plain = self._bpe.encode_ordinary         # the special token's text is in no word here
             for i, found in enumerate(out):
                 if found is None:
                     w = words[i + 1]
                     if (got := known.get(w)) is None:
-                        got = known[w] = self._encode(" " + w)
+                        got = known[w] = _bytes(plain(" " + w))
                     out[i] = got
         return self._encode(words[0]) + b"".join(out)
 
@@ -82,15 +103,16 @@ def cut_documents(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe
     piece and the rest is the last piece. A null or empty text is ``end_id``
     alone. Repeated rows are packed each on its own; other columns are ignored.
     """
-    import public_tokenizers
-
-    ranks, pattern = public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN
     special_id = 50256
     id_type = docs.schema[id_col].dataType
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = ByteBpe(ranks, pattern, special_id), np.asarray([end_id], "<u4").tobytes()
+        import public_tokenizers
+
+        # the path is looked up where the file is read
+        bpe = ByteBpe.held(public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN, special_id)
+        end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
             for i, text in enumerate(b.column(1)):
