@@ -30,7 +30,7 @@ from ..session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPECIAL = "<|endoftext|>"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -60,17 +60,6 @@ class ByteBpe:
         self._words: dict[str, bytes] = {}
         self._odd = re.compile(r"\s ")
 
-    @classmethod
-    def held(cls, ranks_path: str, pattern: str, special_id: int) -> ByteBpe:
-        """The tokenizer of this Python worker, with the words it has met in earlier tasks."""
-        import public_tokenizers          # a module that outlives the task's own copy of this one
-
-        kept = public_tokenizers.__dict__.setdefault("_byte_bpe_of_worker", {})
-        key = ranks_path, pattern, special_id
-        if key not in kept:
-            kept[key] = cls(*key)
-        return kept[key]
-
     def _encode(self, text: str) -> bytes:
         return _bytes(self._bpe.encode(text, allowed_special="all"))
 
@@ -111,7 +100,7 @@ def cut_documents(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe
         import public_tokenizers
 
         # the path is looked up where the file is read
-        bpe = ByteBpe.held(public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN, special_id)
+        bpe = ByteBpe(public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN, special_id)
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
