@@ -190,7 +190,7 @@ def brute_lines(rows, min_words, sure):
         lines[i] = (h, [len(x.split()) for x in own])
     prints, gone = defaultdict(list), {i: set() for i in lines}
     for i, (h, w) in lines.items():
-        at, key = line_dedup.winnow(np.asarray(h, np.uint64), np.asarray(w, np.int64), min_words, sure)
+        at, key, *_ = line_dedup.winnow(np.asarray(h, np.uint64), np.asarray(w, np.int64), min_words, sure)
         for a, k in zip(at.tolist(), key.tolist()):
             prints[k].append((i, a))
     for places in prints.values():

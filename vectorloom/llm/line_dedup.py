@@ -9,6 +9,14 @@ is joined with its first place in the corpus (least document, then least line),
 with all others, so a line that a third of all documents hold costs one row a place.
 Around each pair of places the match is extended both ways, line by line, and the run
 is deleted where it stands later. The first place of a line is never deleted.
+
+The first place of a fingerprint may hold less than a later repeat does: it has the
+fingerprint's lines, and the lines beside them are repeated elsewhere only. So the runs
+of ``sure_words`` words around a fingerprint that its match does not cover are hashed
+whole and joined, in the same way, with the first place of the same run. Two places of
+a run choose the same fingerprint and end their matches with its first place alike, so
+either both runs are covered or both are joined: every line of a repeated run of
+``sure_words`` words goes, wherever it stands later.
 """
 
 from __future__ import annotations
@@ -44,14 +52,16 @@ def line_table(hasher: T.Hasher, buf: np.ndarray, offs: np.ndarray
 
 
 def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int, sure_words: int
-           ) -> tuple[np.ndarray, np.ndarray]:
-    """Of one text's lines: the first lines of the fingerprint shingles, and their hashes."""
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text's lines: the first lines of the fingerprint shingles, their hashes, and the
+    first and the end of the lines whose windows have chosen them."""
     n = len(hashes)
     total = np.concatenate([[0], np.cumsum(words)])
     end = np.searchsorted(total, total[:-1] + min_words)            # of the shingle from each line
     m = int(np.searchsorted(end, n, side="right"))                   # the rest have too few words
     if m == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
     length = end[:m] - np.arange(m)
     shingle = np.full(m, np.uint64(min_words), dtype=np.uint64)
     for k in range(int(length.max())):
@@ -60,44 +70,40 @@ def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int, sure_words: in
             shingle[live] = T.mix(shingle[live] * np.uint64(0xA24BAED4963EE407) + hashes[live + k])
     window = np.searchsorted(total, total[:m] + sure_words)          # end line of each window
     last = np.searchsorted(end[:m], np.minimum(window, n), side="right")
-    picked = set()
-    for i in range(m):
-        if window[i] <= n or i == 0:                                 # a short text is one window
-            part = shingle[i:last[i]]
-            picked.add(int(last[i]) - 1 - int(np.argmin(part[::-1])))
-    at = np.asarray(sorted(picked), np.int64)
-    return at, shingle[at]
+    full = max(1, int(np.searchsorted(window, n, side="right")))     # a short text is one window
+    chosen = np.asarray([last[i] - 1 - int(np.argmin(shingle[i:last[i]][::-1])) for i in range(full)], np.int64)
+    at, lo = np.unique(chosen, return_index=True)                    # the choice never goes back
+    return at, shingle[at], lo, np.append(lo[1:], full)
 
 
 def _lines(docs: DataFrame, min_words: int, sure_words: int) -> DataFrame:
-    """doc, lines (hashes), words, prints (struct of line and hash) per document."""
+    """doc, lines (hashes), words, prints (struct of line, hash and range of windows) per document."""
     id_type = docs.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = T.Hasher()
         for b in batches:
-            h, w, p, ph = [], [], [], []
+            h, w, p, ph, lo_of, hi_of = [], [], [], [], [], []
             for lo, hi, part, at in T.chunks(*T.text_bytes(b.column(1))):
                 hashes, own, _, words = line_table(hasher, part, at)
                 cut = T.bounds(own, hi - lo)
                 for i in range(hi - lo):
                     h.append(hashes[cut[i]:cut[i + 1]])
                     w.append(words[cut[i]:cut[i + 1]])
-                    first, key = winnow(h[-1], w[-1], min_words, sure_words)
-                    p.append(first)
-                    ph.append(key)
+                    for to, x in zip((p, ph, lo_of, hi_of), winnow(h[-1], w[-1], min_words, sure_words)):
+                        to.append(x)
 
             def lists(parts: list[np.ndarray]) -> pa.Array:
                 cuts = np.cumsum([0, *map(len, parts)])
                 flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
                 return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.view(np.int64)))
 
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(h), lists(w), lists(p), lists(ph)],
-                                             names=["doc", "lines", "words", "at", "h"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(lists, (h, w, p, ph, lo_of, hi_of))],
+                                             names=["doc", "lines", "words", "at", "h", "lo", "hi"])
 
     out = docs.mapInArrow(run, f"doc {id_type.simpleString()}, lines array<bigint>, words array<bigint>, "
-                               "at array<bigint>, h array<bigint>")
-    return out.select("doc", "lines", "words", F.arrays_zip("at", "h").alias("prints"))
+                               "at array<bigint>, h array<bigint>, lo array<bigint>, hi array<bigint>")
+    return out.select("doc", "lines", "words", F.arrays_zip("at", "h", "lo", "hi").alias("prints"))
 
 
 def matched_run(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -110,13 +116,45 @@ def matched_run(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int]
     return i - back, i + (ahead if same.all() else int(np.argmin(same)))
 
 
+def window_ends(words: np.ndarray, sure_words: int) -> np.ndarray:
+    """Of each line, and of the end: the end of the shortest run of ``sure_words`` words from it on
+    (one more than there are lines, where there is none)."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    return np.searchsorted(total, total + sure_words)
+
+
+def uncovered(ends: np.ndarray, lo: int, hi: int, start: int, end: int) -> list[tuple[int, int]]:
+    """The runs of the windows lo to hi that do not lie within start to end.
+
+    Those of a line are the shortest run from it on, and every longer one that would have
+    too few words without that line: together with those of the other lines they cover
+    each line of any run of enough words, within that run.
+    """
+    n = len(ends) - 1
+    if ends[0] > n:                                                  # a short text is one window
+        return [] if start == 0 and end == n else [(0, n)]
+    return [(s, e) for s in range(lo, hi)
+            for e in range(max(int(ends[s]), end + 1 if s >= start else 0), max(ends[s], ends[s + 1] - 1) + 1)]
+
+
+def run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash of the lines of each run, of their number too."""
+    length = ends - starts
+    h = T.mix(length.astype(np.uint64))
+    for k in range(int(length.max(initial=0))):
+        live = np.flatnonzero(length > k)
+        with np.errstate(over="ignore"):
+            h[live] = T.mix(h[live] * np.uint64(0xA24BAED4963EE407) + lines[starts[live] + k])
+    return h
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 8, sure_words: int = 20) -> DataFrame:
     """doc, from_line, to_line (exclusive, among non-blank lines): the later repeated runs.
 
     ``docs`` has ``doc``, of any type with an order, and ``text``. Rows of one ``doc``
-    are one document. Runs of a document may overlap. Of the fingerprints that two
-    documents share, in the order of the distance of their lines and then of the line,
-    one inside a run that is already found is not extended again.
+    are one document. Runs of a document may overlap. Every line of a later repeat of a run
+    of ``sure_words`` words is in one of them, and each of them repeats a run of ``min_words``
+    words that stands earlier.
     """
     lines = cut_lineage(_lines(docs, min_words, sure_words).dropDuplicates(["doc"]), "lines")
     prints = lines.select("doc", F.inline("prints"))
@@ -124,32 +162,45 @@ def repeated_runs(docs: DataFrame, min_words: int = 8, sure_words: int = 20) ->
              .filter("n > 1").select("h", F.col("first.doc").alias("doc0"), F.col("first.at").alias("at0")))
     later = prints.join(first, "h").filter("doc <> doc0 or at <> at0")
     per_pair = (later.groupBy("doc", "doc0")
-                .agg(F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("at0")).alias("shift"), "at")))
+                .agg(F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("at0")).alias("shift"), "at", "lo", "hi")))
                      .alias("places")))
     joined = (per_pair.join(lines.select(F.col("doc").alias("doc0"), F.col("lines").alias("lines0")), "doc0")
               .join(lines.select("doc", "lines", "words"), "doc")
-              .select("doc", "lines", "words", "lines0", F.col("places.shift").alias("shifts"),
-                      F.col("places.at").alias("ats")))
+              .select("doc", "lines", "words", "lines0", *(F.col(f"places.{c}") for c in ("shift", "at", "lo", "hi"))))
     id_type = docs.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, starts, ends = [], [], []
+            rows, starts, ends, keys = [], [], [], []
             for r in range(b.num_rows):
-                x, y, shifts, ats = (b.column(c)[r].values.to_numpy() for c in (1, 3, 4, 5))
-                found = np.zeros(len(x), dtype=bool)
-                for shift, at in zip(shifts.tolist(), ats.tolist()):
-                    if not found[at]:
+                x, words, y, *places = (b.column(c)[r].values.to_numpy() for c in range(1, 8))
+                reach = window_ends(words, sure_words)
+                found, left, seen = [], [], None
+                for shift, at, lo, hi in zip(*(p.tolist() for p in places)):
+                    if seen != shift or at >= end:                   # else inside the run just found
                         start, end = matched_run(x, y, at, at - shift)
-                        found[start:end] = True
-                        rows.append(r)
-                        starts.append(start)
-                        ends.append(end)
+                        found.append((start, end))
+                        seen = shift
+                    left += uncovered(reach, lo, hi, start, end)
+                first, stop = (np.asarray(v, np.int64) for v in zip(*found, *left))
+                rows += [r] * len(first)
+                starts.append(first)
+                ends.append(stop)
+                hashes = run_hashes(x.view(np.uint64), first[len(found):], stop[len(found):])
+                keys += [None] * len(found) + hashes.view(np.int64).tolist()
+            flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (starts, ends)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),
-                 pa.array(ends, pa.int64())], names=["doc", "from_line", "to_line"])
-
-    return joined.mapInArrow(run, f"doc {id_type.simpleString()}, from_line bigint, to_line bigint")
+                [b.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, flat), pa.array(keys, pa.int64())],
+                names=["doc", "from_line", "to_line", "h"])
+
+    found = cut_lineage(joined.mapInArrow(run, f"doc {id_type.simpleString()}, from_line bigint, to_line bigint, "
+                                               "h bigint"), "runs")
+    windows = found.filter("h is not null")
+    first = (windows.groupBy("h").agg(F.min(F.struct("doc", "from_line")).alias("first"), F.count("*").alias("n"))
+             .filter("n > 1").select("h", "first"))
+    again = windows.join(first, "h").filter("doc <> first.doc or from_line <> first.from_line")
+    span = ["doc", "from_line", "to_line"]
+    return found.filter("h is null").select(span).unionByName(again.select(span))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8, sure_words: int = 20, id_col: str = "doc_id",
