@@ -17,6 +17,7 @@ import html
 import re
 import sys
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,12 +31,15 @@ RECORD = ("record_id string, record_type string, refers_to string, concurrent_to
           "record_date string, content_type string, payload_digest string, block_digest string, "
           "content_length bigint, block binary")
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")       # the URL name space of RFC 4122
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)"
-                     r"|<(/?[a-z][a-z0-9]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<[!?][^>]*>", re.S | re.I)
+_OPEN = re.compile(r"<(?:(!--)|(script|style|template|noscript)\b|(/?[a-z][a-z0-9]*)|[!?])", re.I)
+_ATTRIBUTES = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")          # up to the tag's end, or a quote left open
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "template", "noscript")}
 _BLOCKS = frozenset("address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header "
                     "hr html li main nav ol option p pre section table td th title tr ul".split())
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title\s*>", re.I)
+_ANCHOR = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_NUMBER = re.compile(r"&#0*([0-9]+);?")
 
 
 def digest(data: bytes) -> str:
@@ -46,17 +50,97 @@ def urn(*name: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(0).join(map(str, name)))}>"
 
 
+class _TagEnds:
+    """Where the tag ends whose attributes begin at a place, or -1. All places cost one pass over the page:
+    when the scans that met no end have read the page's length, the ends of all places are worked out at once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.spent = page, 0
+        self.at: list[int] = []
+        self.end: list[int] = []
+
+    def __call__(self, start: int) -> int:
+        if not self.at:
+            end = _ATTRIBUTES.match(self.page, start).end()
+            if self.page.startswith(">", end):
+                return end
+            self.spent += end - start
+            if self.spent <= len(self.page):
+                return -1
+            self._all()
+        k = bisect_left(self.at, start)
+        return self.end[k] if k < len(self.at) else -1
+
+    def _all(self) -> None:
+        marks = [(m.start(), m[0]) for m in re.finditer("[>\"']", self.page)]
+        self.at = [i for i, _ in marks] + [len(self.page)]
+        self.end = [-1] * (len(marks) + 1)
+        closing = {}                                                  # the next quote of each kind
+        for k in range(len(marks) - 1, -1, -1):
+            i, mark = marks[k]
+            self.end[k] = i if mark == ">" else self.end[closing[mark] + 1] if mark in closing else -1
+            closing[mark] = k
+
+
 def visible_text(page: str) -> str:
-    """The text a reader sees: markup, comments, scripts and styles go, block elements end lines."""
-    def space(m: re.Match) -> str:
-        return "\n" if m[2] and m[2].lstrip("/").lower() in _BLOCKS else ""
+    """The text a reader sees: markup, comments, scripts and styles go, block elements end lines.
 
-    lines = (" ".join(x.split()) for x in html.unescape(_MARKUP.sub(space, page)).split("\n"))
-    return "\n".join(x for x in lines if x)
+    What opens a tag and never ends one is text; a comment or script left open goes to the end.
+    """
+    out, done, at, tag_end, closes = [], 0, 0, _TagEnds(page), True
+    while m := _OPEN.search(page, at):
+        comment, hidden, name = m.groups()
+        brk = ""
+        if comment:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        elif hidden:
+            close = _ENDS[hidden.lower()].search(page, m.end()) if hidden.isascii() else None
+            end = close.end() if close else len(page)
+        elif name:
+            end = tag_end(m.end()) + 1
+            brk = "\n" if name.lstrip("/").lower() in _BLOCKS else ""
+        else:
+            end = page.find(">", m.end()) + 1 if closes else 0
+            closes = end > 0
+        at = end or m.start() + 1
+        if end:
+            out += (page[done:m.start()], brk)
+            done = end
+    text = unescape("".join(out) + page[done:])
+    return "\n".join(x for x in (" ".join(x.split()) for x in text.split("\n")) if x)
+
+
+def unescape(text: str) -> str:
+    """Character references resolved; a number of any length beyond the last character is U+FFFD."""
+    long = lambda m: m[0] if len(m[0]) < 20 else f"&#{m[1]};" if len(m[1]) < 10 else "\ufffd"
+    return html.unescape(_NUMBER.sub(long, text))
 
 
 def one_line(text: str) -> str:
-    return " ".join(html.unescape(text).split())
+    return " ".join(unescape(text).split())
+
+
+def page_title(page: str) -> str | None:
+    begin = _TITLE.search(page)
+    start = page.find(">", begin.end()) + 1 if begin else 0
+    end = _TITLE_END.search(page, start) if start else None
+    return page[start:end.start()] if end else None
+
+
+def links(page: str) -> list[str]:
+    """The targets of all anchors: the first href before the tag's first ``>``."""
+    out, href, at = [], None, 0
+    while m := _ANCHOR.search(page, at):
+        if href is None or href.start() < m.end():
+            href = _HREF.search(page, m.end())
+            if not href:
+                break
+        close = page.find(">", m.end(), href.start())
+        at = href.end() if close < 0 else close
+        if close < 0:
+            out.append("".join(x or "" for x in href.groups()))
+    return out
 
 
 def derivatives(record_id: str, uri: str, date: str, block: bytes, payload_digest: str) -> list[tuple]:
@@ -64,12 +148,12 @@ def derivatives(record_id: str, uri: str, date: str, block: bytes, payload_diges
     head, _, body = block.partition(b"\r\n\r\n")
     page = body.decode("utf-8", "replace")
     meta_id, text_id = urn("metadata", record_id), urn("conversion", record_id)
-    title = _TITLE.search(page)
+    title = page_title(page)
     fields = [("source-record", record_id), ("source-payload-digest", payload_digest),
               ("source-block-digest", digest(block)), ("source-length", len(body))]
     fields += [("source-header", one_line(x)) for x in head.decode("latin-1").split("\r\n") if x]
-    fields += [("title", one_line(title[1]))] if title else []
-    fields += [("outlink", one_line("".join(x))) for x in _LINK.findall(page)]
+    fields += [("title", one_line(title))] if title is not None else []
+    fields += [("outlink", one_line(x)) for x in links(page)]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     text = visible_text(page).encode()
     return [(meta_id, "metadata", record_id, text_id, uri, date, "application/warc-fields", None, digest(meta),
