@@ -180,7 +180,7 @@ def _spread(docs: DataFrame, block: Items, text_col: str) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(own.hash[used].view(np.int64)), pa.array(total[used])],
                                          names=["seed", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "seed bigint, n bigint").groupBy("seed").sum("n").collect()
+    rows = docs.select(text_col).mapInArrow(T.kernel(run), "seed bigint, n bigint").groupBy("seed").sum("n").collect()
     return dict(map(tuple, rows))
 
 
@@ -204,7 +204,7 @@ def overlaps(docs: DataFrame, items: DataFrame, n: int = 4, min_score: float = 0
     for block in item_blocks(items, n, min_score, item_id_col, item_text_col, block_chars):
         if len(block.hash):
             block.keep_rarest(_spread(rows, block, "text"))
-            out = out.union(rows.mapInArrow(_aligner(spark, block, items.schema[item_id_col]), schema))
+            out = out.union(rows.mapInArrow(T.kernel(_aligner(spark, block, items.schema[item_id_col])), schema))
     return out
 
 

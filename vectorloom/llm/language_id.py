@@ -167,4 +167,4 @@ def predict(docs: DataFrame, model: KernelModel, text_col: str = "text",
                  pa.array(top, pa.float64())], names=[*names, pred, score])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[:-1])
-    return docs.mapInArrow(run, f"{schema}, {pred} string, {score} double")
+    return docs.mapInArrow(T.kernel(run), f"{schema}, {pred} string, {score} double")

@@ -22,7 +22,7 @@ either both runs are covered or both are joined: every line of a repeated run of
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -80,28 +80,22 @@ def _lines(docs: DataFrame, min_words: int, sure_words: int) -> DataFrame:
     """doc, lines (hashes), words, prints (struct of line, hash and range of windows) per document."""
     id_type = docs.schema["doc"].dataType
 
+    def lists(parts: Sequence[np.ndarray]) -> pa.Array:
+        cuts = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = T.Hasher()
         for b in batches:
-            h, w, p, ph, lo_of, hi_of = [], [], [], [], [], []
             for lo, hi, part, at in T.chunks(*T.text_bytes(b.column(1))):
                 hashes, own, _, words = line_table(hasher, part, at)
                 cut = T.bounds(own, hi - lo)
-                for i in range(hi - lo):
-                    h.append(hashes[cut[i]:cut[i + 1]])
-                    w.append(words[cut[i]:cut[i + 1]])
-                    for to, x in zip((p, ph, lo_of, hi_of), winnow(h[-1], w[-1], min_words, sure_words)):
-                        to.append(x)
-
-            def lists(parts: list[np.ndarray]) -> pa.Array:
-                cuts = np.cumsum([0, *map(len, parts)])
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.view(np.int64)))
-
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(lists, (h, w, p, ph, lo_of, hi_of))],
-                                             names=["doc", "lines", "words", "at", "h", "lo", "hi"])
+                h, w = (np.split(v, cut[1:-1]) for v in (hashes, words))
+                prints = [winnow(*hw, min_words, sure_words) for hw in zip(h, w)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(lists, (h, w, *zip(*prints)))],
+                                                 names=["doc", "lines", "words", "at", "h", "lo", "hi"])
 
-    out = docs.mapInArrow(run, f"doc {id_type.simpleString()}, lines array<bigint>, words array<bigint>, "
+    out = docs.mapInArrow(T.kernel(run), f"doc {id_type.simpleString()}, lines array<bigint>, words array<bigint>, "
                                "at array<bigint>, h array<bigint>, lo array<bigint>, hi array<bigint>")
     return out.select("doc", "lines", "words", F.arrays_zip("at", "h", "lo", "hi").alias("prints"))
 
@@ -193,7 +187,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 8, sure_words: int = 20) ->
                 [b.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, flat), pa.array(keys, pa.int64())],
                 names=["doc", "from_line", "to_line", "h"])
 
-    found = cut_lineage(joined.mapInArrow(run, f"doc {id_type.simpleString()}, from_line bigint, to_line bigint, "
+    found = cut_lineage(joined.mapInArrow(T.kernel(run), f"doc {id_type.simpleString()}, from_line bigint, to_line bigint, "
                                                "h bigint"), "runs")
     windows = found.filter("h is not null")
     first = (windows.groupBy("h").agg(F.min(F.struct("doc", "from_line")).alias("first"), F.count("*").alias("n"))
@@ -227,8 +221,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, sure_words: int = 20, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = T.Hasher()
         for b in batches:
-            counts, deleted, texts = [], [], []
             for lo, hi, part, offs in T.chunks(*T.text_bytes(b.column(text_at))):
+                counts, deleted, texts = [], [], []
                 _, own, row, _ = line_table(hasher, part, offs)
                 cut = T.bounds(own, hi - lo)
                 for i in range(hi - lo):
@@ -243,10 +237,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, sure_words: int = 20, id_co
                         drop = set(row[cut[i]:cut[i + 1]][gone].tolist())
                         text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
                     texts.append(text)
-            cols = [b.column(i) for i in range(len(names))]
-            cols[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())],
-                                             names=[*names, "n_lines", "n_deleted"])
+                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(names))]
+                cols[text_at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())],
+                                                 names=[*names, "n_lines", "n_deleted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{schema}, n_lines bigint, n_deleted bigint")
+    return joined.mapInArrow(T.kernel(run), f"{schema}, n_lines bigint, n_deleted bigint")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import tokens as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -119,7 +120,7 @@ def cut_documents(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe
                  *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))], names=names)
 
     schema = f"doc_id {id_type.simpleString()}, " + ", ".join(f"{c} bigint" for c in names[1:])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(T.kernel(run), schema)
 
 
 class CapacityTree:
@@ -232,4 +233,4 @@ def pack(pieces: DataFrame, size: int = 2048, bucket_rows: int = 20_000) -> Data
                 names=[*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(T.kernel(place), f"{schema}, sequence_id bigint, offset bigint")

@@ -8,6 +8,8 @@ about 2^-64 per pair.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import pickle
 import sys
 from collections.abc import Callable, Iterator
@@ -29,6 +31,25 @@ def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(sent.value)
 
 
+def give_back() -> None:
+    """Return the memory that this worker has freed to the system. Executors keep their Python
+    workers, and allocators keep what the largest task took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)            # glibc only
+    if trim:
+        trim(0)
+
+
+def kernel(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+           ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches, after which the worker keeps only what it needs."""
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+    return task
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
