@@ -18,13 +18,13 @@ brute-force version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm import decontam, jaccard_join, language_id, line_dedup, packing
 from vectorloom.session import cut_lineage
 
-LANGUAGE_QUANTILE = 0.001
+LANGUAGE_QUANTILE, SCORE_STEPS = 0.001, 1 << 14
 NEAR_WORDS, NEAR_PERCENT = 5, 80       # op3 has a contract of its own: 4 words, 85 %
 
 
@@ -32,15 +32,20 @@ def language_limits(docs: DataFrame, model: language_id.KernelModel) -> tuple[di
     """The least score of each language, and that of languages without held-out documents.
 
     A low quantile of the scores of all held-out documents that are found to be of the
-    language of their label. It follows the number of languages, as the scores do: a text
-    that shares nothing with L learned languages scores about 1 / L. With one learned
+    language of their label, down to the next of ``SCORE_STEPS`` steps; it is counted, so it is
+    the same however the rows are partitioned. It follows the number of languages, as the scores
+    do: a text that shares nothing with L learned languages scores about 1 / L. With one learned
     language every score is 1 and nothing but ``und`` is dropped.
     """
     held = docs.filter(language_id.held_out("doc_id") & F.col("lang").isNotNull()).select("lang", "text")
     right = language_id.predict(held, model, pred="__lang", score="__score").filter("__lang = lang")
-    rows = right.rollup("lang").agg(F.percentile_approx("__score", LANGUAGE_QUANTILE, 10_000)).collect()
-    own = {lang: limit for lang, limit in rows if lang is not None}
-    return own, next((limit for lang, limit in rows if lang is None and limit is not None), 0.0)
+    counts = (right.select("lang", F.floor(F.col("__score") * SCORE_STEPS).alias("step"))
+              .groupingSets([["lang", "step"], ["step"]], "lang", "step").count())     # a row per language and step
+    own = Window.partitionBy("lang")
+    rows = (counts.withColumn("upto", F.sum("count").over(own.orderBy("step")))
+            .withColumn("total", F.sum("count").over(own)).filter(F.col("upto") >= F.col("total") * LANGUAGE_QUANTILE)
+            .groupBy("lang").agg(F.min("step") / SCORE_STEPS).collect())
+    return {lang: limit for lang, limit in rows if lang is not None}, next((x for lang, x in rows if lang is None), 0.0)
 
 
 def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
