@@ -15,17 +15,23 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+def by_key(table: DataFrame) -> DataFrame:
+    """A side of a join that is met by its sorted key. The rounds here and the turns of a similarity join
+    have dozens of joins, whose small sides would each be collected by the driver and held by it."""
+    return table.hint("merge")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    joined = both.join(least, "a").filter("b > a")
+    joined = both.join(by_key(least), "a").filter("b > a")
     return joined.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(by_key(least), "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -33,7 +39,7 @@ def _settled(links: DataFrame) -> bool:
     """Whether every node that is not a root hangs on one root."""
     if not links.groupBy("a").count().filter("count > 1").isEmpty():
         return False
-    return links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+    return links.join(by_key(links.select(F.col("a").alias("b"))), "b", "left_semi").isEmpty()
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -44,11 +50,11 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     node = lambda c: F.coalesce(F.col(f"l_{c}"), F.col(c))      # noqa: E731
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component_id").alias(f"l_{c}"))
     links = links.select("a", "b").filter("a <> b")
-    between = cut_lineage(links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = cut_lineage(links.join(by_key(of("a")), "a", "left").join(by_key(of("b")), "b", "left")
                           .select("a", "b", node("a").alias("x"), node("b").alias("y")), "contracted")
     moved = components(between, "x", "y").select(F.col("node").alias("component_id"), F.col("component_id").alias("to"))
     ends = between.select(F.col("a").alias("node"), F.col("x").alias("component_id")).union(between.select("b", "y"))
-    return (labels.union(ends).distinct().join(moved, "component_id", "left")
+    return (labels.union(ends).distinct().join(by_key(moved), "component_id", "left")
             .select("node", F.coalesce("to", "component_id").alias("component_id")))
 
 
