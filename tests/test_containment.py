@@ -32,3 +32,18 @@ def test_containment_exact(spark):
     want = {(dd, ii) for dd, t in docs for ii, x in items if None not in (t, x) and x in t}
     assert got == want
     assert (4, 10) in got and (3, 10) not in got and len([p for p in got if p[1] == 11]) == 32
+
+
+def test_few_items_are_searched_without_a_join(spark):
+    docs = [(1, "a one two three four b"), (1, "a one two three four b"), (1, "one two three fourx"), (None, "one two three four"),
+            (2, "one two"), (3, None), (4, "x one two three y")]
+    items = [(1, "one two three four"), (1, "one two three four"), (2, "one two"), (None, "one two three"), (None, "one"),
+             (3, "one two three")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    few = containment_pairs(d, it, "doc_id", "item_id")
+    assert "Join" not in few._jdf.queryExecution().toString() and "Exchange" not in few._jdf.queryExecution().toString()
+    joined = containment_pairs(d, it, "doc_id", "item_id", scanned_chars=0)
+    assert "Join" in joined._jdf.queryExecution().toString()
+    in_order = lambda df: sorted(map(str, df.collect()))      # noqa: E731
+    assert in_order(few) == in_order(joined)
