@@ -86,3 +86,41 @@ def test_held_lexicon_adds_up_repeated_words():
 def test_similarity_matrix_takes_a_tenth_of_the_vectors(spark, sf):
     n = G.base(spark, sf).weights.where("row_id % 10 = 0").count()
     assert G.QUERIES["similarity_matrix"](spark, sf).select("qid").distinct().count() == n
+
+
+def test_lexicons_beyond_the_bound_are_held_in_parts(spark, sf, monkeypatch):
+    models = {r: G.model_artifact(spark, sf, r) for r in ("baseline", "int8", "turbo-lloyd-1")}
+    v = G.vocab(spark, sf, models["baseline"])
+    doubled = models["int8"].derive(weights=models["int8"].weights.union(models["int8"].weights.where("row_id < 9")))
+    models["twice"] = doubled
+    words = [r.word for r in v.collect()]
+    rows = [(1, " ".join(words)), (1, words[0].upper()), (2, None), (3, ""), (4, "zzqq"), (None, words[1]), (5, " ".join(words[:40] * 300))]
+    texts = spark.createDataFrame(rows, "text_id bigint, text string")
+    got = lambda: {(r[0], r[1]): np.array(r[2]) for r in X.encode_models(texts, models, v).collect()}      # noqa: E731
+    joined = got()
+    monkeypatch.setattr(X, "SMALL_TEXTS_BYTES", 0)
+    whole = got()
+    monkeypatch.setattr(X, "HELD_LEXICON_BYTES", len(words) * 300)
+    assert len(X.sent_lexicons(models, v)) == 4         # two slices of one, two models, one
+    monkeypatch.setattr(K, "DECODED_WORDS", 3)
+    parts = got()
+    assert joined.keys() == whole.keys() == parts.keys()
+    for k in joined:
+        assert np.allclose(joined[k], whole[k], atol=1e-12) and np.allclose(joined[k], parts[k], atol=1e-12), k
+    plan = X.encode_models(texts, models, v)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_compact_lexicon_has_the_decoded_vectors(spark, sf):
+    for m in [G.model_artifact(spark, sf, r) for r in ("baseline", "int8", "int4", "turbo-lloyd-2")] + [_packed(spark, sf)]:
+        lex = X.lexicon(m, G.vocab(spark, sf, m))
+        word, vectors, _ = X.held_compactly(lex, m, m.dim)
+        assert isinstance(vectors, K.Coded) or vectors.dtype == np.float32
+        want = {r[0]: r[1] for r in m.decoded(lex, ["word"]).collect()}
+        taken = np.asarray(vectors[np.arange(len(word))], dtype=np.float64)
+        assert len(want) == len(word) and all(want[w] == x for w, x in zip(word.to_pylist(), taken.tolist()))
+
+
+def _packed(spark, sf):
+    from vectorloom.sources.models import export_packed, packed_model
+    return packed_model(*export_packed(G.recipe(spark, sf, "int4")))
