@@ -124,3 +124,83 @@ def test_compact_lexicon_has_the_decoded_vectors(spark, sf):
 def _packed(spark, sf):
     from vectorloom.sources.models import export_packed, packed_model
     return packed_model(*export_packed(G.recipe(spark, sf, "int4")))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e12, 1e20])
+def test_single_precision_loses_no_near_tie(scale):
+    """Products are made in single precision: scores that only double tells apart keep their order."""
+    rng = np.random.default_rng(3)
+    qm, one = rng.normal(size=(40, 16)), rng.normal(size=16)
+    x = one + rng.normal(size=(9000, 16)) * 1e-8
+    ids = rng.permutation(len(x))
+    best = K._Best(qm, 20)
+    for lo in range(0, len(x), 3000):
+        best.add(x[lo:lo + 3000] * scale, ids[lo:lo + 3000])
+    q, i, s = best.rows(np.arange(len(qm)))
+    pairs = np.einsum("ij,kj->ik", qm, x * scale)
+    for a in range(len(qm)):
+        got = s[q == a]
+        assert len(got) == 20 and np.allclose(got, np.sort(np.round(pairs[a], K.SCORE_DIGITS))[::-1][:20], rtol=1e-12, atol=2e-9)
+
+
+def test_most_pairs_are_not_scored_in_double(monkeypatch):
+    rng = np.random.default_rng(4)
+    qm, x = rng.normal(size=(512, 8)), rng.normal(size=(40000, 8))
+    best, seen = K._Best(qm, 10), []
+    scored = K._BestPart.scored
+    monkeypatch.setattr(K._BestPart, "scored", lambda self, *a: (seen.append(scored(self, *a)), seen[-1])[1])
+    best.add(x, np.arange(len(x)))
+    assert sum(len(f[0]) for f in seen if f is not None) < qm.shape[0] * len(x) / 100
+    assert sum(f is None for f in seen) <= 2
+
+
+def test_places_of_a_mask():
+    for n in (0, 5, 8, 4096):
+        mask = np.random.default_rng(5).random((3, n)) < 0.05
+        assert K._few_places(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+def test_tiles_are_dealt_evenly_whatever_the_shuffle_partitions(spark):
+    """200 shuffle partitions were 200 tasks for some 40 tiles, of which several fell into one."""
+    rows = spark.range(3000).select(F.lit(1).alias("side"), (F.col("id") % 5).cast("string").alias("g"),
+                                    F.lit(None).cast("bigint").alias("qid"), F.col("id").alias("docid"),
+                                    F.array(F.col("id") + 1.0, F.lit(1.0)).alias("v"))
+    q = rows.where("docid < 100").select(F.lit(0).alias("side"), "g", F.col("docid").alias("qid"),
+                                         F.lit(None).cast("bigint").alias("docid"), "v")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        scores = R.tiled_scores(q.unionByName(rows), q.select("g"), 3, 2, "bigint", "bigint", True)
+        per_task = [n for n in scores.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(per_task) == 4 * cores and sum(n > 0 for n in per_task) == min(4 * cores, 5 * min(8, cores))
+
+
+def test_vectors_of_texts_that_occur_once_are_not_shuffled(spark, sf, monkeypatch):
+    import pickle
+
+    from vectorloom.plans import evaluation as E
+    m = G.model_artifact(spark, sf, "turbo-lloyd-1")
+    v = G.vocab(spark, sf, m)
+    words = [r.word for r in v.limit(9).collect()]
+    once = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(8)] + [(None, words[0])], "text_id bigint, text string")
+    monkeypatch.setattr(X, "SMALL_TEXTS_BYTES", 0)
+    held = X.sent_lexicons({"": m}, v)
+    assert b"vectorloom" not in pickle.dumps(held[0].value)       # read by workers without this package
+    one = lambda df: sorted((r[0] is None, r[0], r[1]) for r in df.collect())       # noqa: E731
+    enc = X.encode(once, m, v, held=held)
+    assert "hashpartitioning" not in enc._jdf.queryExecution().executedPlan().toString()
+    assert one(enc) == one(X.encode(once, m, v, held=held, repeats=True))
+    twice = once.union(once.where("text_id = 3 or text_id is null"))
+    some = X.encode(twice, m, v, held=held)
+    assert "hashpartitioning" in some._jdf.queryExecution().executedPlan().toString()
+    assert one(some) == one(X.encode(twice, m, v, held=held, repeats=True)) and some.count() == 9
+    monkeypatch.setattr(X, "REPEATED_IDS", 1)
+    assert one(X.encode(twice, m, v, held=held)) == one(some)
+    # evaluations that share a lexicon do not read it again
+    monkeypatch.setattr(E, "SMALL_TEXTS_BYTES", 0)
+    monkeypatch.setattr(E, "sent_lexicons", None)
+    q, p = E.encode_pair(m, v, once.withColumnRenamed("text_id", "qid"), once.withColumnRenamed("text_id", "docid"), held=held)
+    assert q.count() == p.count() == 9
