@@ -63,3 +63,21 @@ def test_join_by_a_row_number(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d e f"] * 3 + ["z y x w v"])], "`row.no` bigint, text string")
     got = {tuple(r)[0]: tuple(r)[2] for r in jaccard_join.join_components(docs, id_col="row.no").collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_no_table_of_the_jaccard_join_repeats_its_joins(spark, monkeypatch):
+    """What a turn reads many times is written once: each join is a broadcast that the driver holds for a while."""
+    joins, written = {}, jaccard_join.cut_lineage
+
+    def counted(df, name="stage"):
+        joins[name] = max(joins.get(name, 0), df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard_join, "cut_lineage", counted)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1:]])) for i in range(0, 40, 13)]
+    rows += [(100 + i, " ".join(f"v{i}_{j}" for j in range(20))) for i in range(3)] + [(200, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_components(docs, n=1, percent=80).collect()}
+    assert got == {i: 0 if i < 40 else i for i, _ in rows}
+    assert max(joins.values()) <= 12, joins
